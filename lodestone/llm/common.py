@@ -138,3 +138,28 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+# ---------------------------------------------------------------- columns computed from whole texts
+
+
+def add_columns(docs: DataFrame, text: str, made: str, start, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (all columns, or those of ``keep``) with the columns of the schema ``made``, computed from a text column in Python.
+
+    ``start()`` is called once a task and returns a function from a list of texts (None for null) to a list of Arrow arrays,
+    one for each new column. Column names may hold any characters or clash with nothing but those of ``made``.
+    """
+    from pyspark.sql import types as T
+
+    keep = docs.columns if keep is None else keep
+    names = [f"c{k}" for k in range(len(keep))]
+    new = T.StructType.fromDDL(made)
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("t"))
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names, strict=True)] + list(new))
+
+    def run(batches):
+        f = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *f(batch.column("t").to_pylist())], [*names, *new.names])
+
+    return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *new.names)

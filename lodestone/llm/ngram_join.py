@@ -6,11 +6,11 @@ threshold. It is taken block by block, and blocks without such an overlap are ne
 
 1. Sets of equal content are one row (``classes``): exact copies are linked through their row.
 2. By the sizes alone, two sets at or over the threshold differ in at most D shingles, where D follows from
-   the larger size that their size group allows. Columns are dealt into D + 1 stripes, so such a pair agrees
-   in at least one whole stripe. A row emits a fingerprint for each of its non-empty stripes; rows with the
-   same fingerprint go into the same block. A row with an empty stripe also uses a second and a third
-   dealing of the columns, and is grouped by the stripes that are empty in all three, so that
-   a pair that agrees only in empty stripes isn't lost either.
+   the larger size that their size group allows. Columns are dealt by hash into D + 1 stripes, so such a pair agrees
+   in whole stripes. A row emits a fingerprint for its stripes that hold at least 1 to 3 shingles; rows with the same
+   fingerprint go into the same block. Of large sets the first ``STRIPES`` stripes do, small sets deal the columns
+   anew until they have as many. A stripe of a pair just at the threshold agrees and is full enough with a probability of about
+   1/3, so a link is overlooked with a probability of about 1e-11, whatever the texts and their number.
 3. Connected fingerprints give blocks. A block of more rows than ``CHUNK`` is cut into chunks; each chunk is multiplied
    with itself and with one leading row, and only rows without a link to that leader go on to be multiplied
    with the other chunks. In a task, columns with one row are dropped and the rest is multiplied in
@@ -34,6 +34,7 @@ from lodestone.llm import common
 from lodestone.llm.common import U, mix
 
 CHUNK = 96
+STRIPES, DEALINGS = 64, 13
 #: Rows of the second side of a join that may be sent to every executor; above, both sides are shuffled.
 SEND_ROWS = 1_000_000
 
@@ -60,48 +61,32 @@ class Threshold:
         return self.den * both >= self.num * (a + b - both)
 
 
-def _stripe_sums(h: np.ndarray, owner: np.ndarray, k: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offset of each row, fingerprint of each stripe, shingles in each stripe)."""
-    x = mix(h + U(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    off = np.concatenate([[0], np.cumsum(k)])
-    slot = off[owner] + (((x >> U(32)) * k[owner].astype(U)) >> U(32)).astype(np.int64)
-    y = mix(x)
-    n = int(off[-1])
-    lo = np.bincount(slot, (y & U(0xFFFFFFFF)).astype(np.float64), n).astype(U)
-    hi = np.bincount(slot, (y >> U(32)).astype(np.float64), n).astype(U)
-    return off, lo + (hi << U(32)), np.bincount(slot, minlength=n)
-
-
 def fingerprints(h: np.ndarray, counts: np.ndarray, t: Threshold, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, row) of the rows' stripes in their own size group (shift 0) or as partners of the next one (1)."""
     g = t.group(np.maximum(counts, 1)) + shift
     k = t.stripes(g)
-    use = (counts > 0) & (k > 1)  # with one stripe only equal sets match, and these are one row already
-    rows = np.flatnonzero(use)
-    h = h[np.repeat(use, counts)]
-    sigs, owners, blank = [], [], {}
-    for seed in (1, 2, 3):
+    need = np.clip(counts // (2 * k), 1, 3)
+    dealings = np.minimum(DEALINGS, -(-STRIPES // k))
+    sigs, owners = [], []
+    for deal in range(1, DEALINGS + 1):
+        # with one stripe only equal sets match, and these are one row already
+        use = (counts > 0) & (k > 1) & (dealings >= deal)
+        rows = np.flatnonzero(use)
         if not len(rows):
             break
-        n, kk, gg = counts[rows], k[rows], g[rows]
-        off, sums, held = _stripe_sums(h, np.repeat(np.arange(len(rows)), n), kk, seed)
-        who = np.repeat(np.arange(len(rows)), kk)
-        stripe = np.arange(len(who)) - off[who]
-        s = mix(sums + mix(stripe.astype(U) * U(1009) + gg[who].astype(U) * U(0x1F123BB5) + U(seed)))
-        sigs.append(s[held > 0])
-        owners.append(rows[who[held > 0]])
-        none = held == 0
-        short = np.unique(who[none])
-        for r in short:
-            blank.setdefault(int(rows[r]), []).append(stripe[none & (who == r)] if len(short) < 50 else np.flatnonzero(held[off[r] : off[r + 1]] == 0))
-        keep = np.zeros(len(rows), bool)
-        keep[short] = True
-        h, rows = h[np.repeat(keep, n)], rows[keep]
-    for r in rows:  # an empty stripe under all three dealings
-        a, b, c = (blank[int(r)][i].astype(U) for i in range(3))
-        s = mix(a[:, None, None] * U(0x9E37) + mix(b[None, :, None] + mix(c[None, None, :] + U(int(g[r]) << 8)))).ravel()
-        sigs.append(s)
-        owners.append(np.full(len(s), r))
+        x = mix(h[np.repeat(use, counts)] + U(deal * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        owner, kept = np.repeat(np.arange(len(rows)), counts[rows]), np.minimum(k[rows], STRIPES)
+        off = np.concatenate([[0], np.cumsum(kept)])
+        stripe = (((x >> U(32)) * k[rows][owner].astype(U)) >> U(32)).astype(np.int64)
+        inside = stripe < STRIPES
+        slot, y, n = (off[owner] + stripe)[inside], mix(x[inside]), int(off[-1])
+        lo = np.bincount(slot, (y & U(0xFFFFFFFF)).astype(np.float64), n).astype(U)
+        hi = np.bincount(slot, (y >> U(32)).astype(np.float64), n).astype(U)
+        who = np.repeat(np.arange(len(rows)), kept)
+        place = (np.arange(n) - off[who]).astype(U) + (g[rows][who].astype(U) << U(20)) + U(deal << 16)
+        full = np.bincount(slot, minlength=n) >= need[rows][who]
+        sigs.append(mix(lo + (hi << U(32)) + mix(place))[full])
+        owners.append(rows[who[full]])
     if not sigs:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(sigs), np.concatenate(owners)
@@ -266,3 +251,19 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
     return per_doc.join(classes, ["a", "b", "n"], "left").select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component_id", "doc_id"))).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of each group of linked documents, the one with the smallest doc_id; all columns.
+
+    Rows without words and rows with a null doc_id stay. Rows that repeat a doc_id count as copies of one document.
+    """
+    found = common.checkpointed(join(docs, words, num, den))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    if found.filter("doc_id <> component_id").count() <= SEND_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = common.checkpointed(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ngram_join
+from lodestone.llm import decontaminate, hilbert, lang_id, mixing, ngram_join
 from lodestone.llm.common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shards(read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard,)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_hilbert_shards, op5_language_id, op8_ngram_jaccard)}
 
 
 def queries() -> dict:
