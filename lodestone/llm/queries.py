@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, hilbert, lang_id, mixing, ngram_join
+from lodestone.llm import decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units
 from lodestone.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.repeated_units(read(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(read(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.repeated_windows(read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
@@ -28,7 +36,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_hilbert_shards, op5_language_id, op8_ngram_jaccard)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
 
 
 def queries() -> dict:
