@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units
+from lodestone.llm import ball_tree, decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units
 from lodestone.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.repeated_windows(read(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op6_ball_tree_top_k, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
 
 
 def queries() -> dict:
