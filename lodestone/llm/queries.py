@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ball_tree, decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units
+from lodestone.llm import ball_tree, decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units, wrappers
 from lodestone.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.repeated_units(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op6_ball_tree_top_k, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op6_ball_tree_top_k, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
 
 
 def queries() -> dict:
