@@ -3,7 +3,7 @@
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum,
 over all ways to cut it into pieces, of the product of the pieces' probabilities (forward algorithm); a text's is the product over
 its words. Words are runs of letters in lower case, with the vocabulary's mark for a word's start in front; letters that the
-vocabulary doesn't hold cost ``FLOOR``. Runs of over ``PART`` letters are scored in consecutive parts.
+vocabulary doesn't hold cost ``FLOOR``. Runs of over ``PART`` letters count as words of that many.
 
 Training is expectation maximisation on at most about ``sample`` labelled rows a language (all rows when there are
 fewer), chosen by hash; the piece counts are summed on the executors, and only (languages x pieces) numbers reach the driver.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from lodestone.llm import common
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UND = "und"
 FLOOR = 1e-8
-PART = 32
-LETTERS = re.compile(r"[^\W\d_]+")
+PART = 31
+LETTERS = re.compile(rf"[^\W\d_]{{1,{PART}}}")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,13 +44,8 @@ def pieces_of(path: str = VOCABULARY) -> list[str]:
 
 
 def words_in(text: str | None) -> list[str]:
-    """The parts to score: letter runs in lower case, a mark in front of each run's first part."""
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        out.append("▁" + w[: PART - 1])
-        if len(w) >= PART:
-            out += [w[i : i + PART] for i in range(PART - 1, len(w), PART)]
-    return out
+    """The runs of letters in lower case, long ones in parts."""
+    return LETTERS.findall((text or "").lower())
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -59,12 +55,38 @@ def _codes(words: list[str]) -> np.ndarray:
 class Lattice:
     """Finds the pieces in words of one length."""
 
+    #: Pieces are found in a table of this many bits; those that share a place with another are in a second one.
+    BITS = 19
+
     def __init__(self, pieces: list[str]) -> None:
         self.size = len(pieces)
         self.longest = max(map(len, pieces), default=1)
-        h = np.array([self._fold(_codes([p]))[0] for p in pieces], np.uint64)
-        self.ids = np.argsort(h)
-        self.hashes = h[self.ids]
+        held = {p[:k]: self.size + 1 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
+        names, h = list(held), np.zeros(len(held), np.uint64)
+        for rows in by_length(names).values():
+            h[rows] = self._fold(_codes([names[k] for k in rows]))
+        value = np.fromiter(held.values(), np.int64, len(held))
+        self.tables, left = [], np.arange(len(held))
+        for deal in range(16):
+            keys, ids = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, self.size)
+            at = self._at(h[left], deal)
+            _, first = np.unique(at, return_index=True)
+            keys[at[first]], ids[at[first]] = h[left[first]], value[left[first]]
+            self.tables.append((keys, ids))
+            left = np.delete(left, first)
+            if not len(left):
+                break
+
+    def _at(self, h: np.ndarray, deal: int) -> np.ndarray:
+        return (h >> np.uint64(64 - self.BITS - deal)) & np.uint64((1 << self.BITS) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; ``size`` + 1 for the start of a piece, ``size`` for none."""
+        out = np.full(len(h), self.size)
+        for deal, (keys, ids) in enumerate(self.tables):
+            at = self._at(h, deal)
+            np.copyto(out, ids[at], where=keys[at] == h)
+        return out
 
     @staticmethod
     def _fold(codes: np.ndarray) -> np.ndarray:
@@ -75,28 +97,29 @@ class Lattice:
         return h
 
     def arcs(self, words: list[str]):
-        """(start, end, row, piece) for the pieces; a single letter without a piece has the number ``size``."""
-        codes = _codes(words)
+        """(start, end, row, piece) for the pieces of words with the mark; a letter without a piece has the number ``size``."""
+        codes = np.hstack([np.full((len(words), 1), ord("▁"), np.uint64), _codes(words)])
         n, length = codes.shape
         for i in range(length):
-            h = np.zeros(n, np.uint64)
+            rows, h = np.arange(n), np.zeros(n, np.uint64)
             for j in range(i + 1, min(length, i + self.longest) + 1):
-                h = (h + codes[:, j - 1] + np.uint64(1)) * _MUL
+                h = (h + codes[rows, j - 1] + np.uint64(1)) * _MUL
                 h ^= h >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
-                hit = self.hashes[at] == h
-                piece = np.where(hit, self.ids[at], self.size)
+                piece = self.find(h)
                 if j == i + 1:
-                    yield i, j, np.arange(n), piece
-                elif hit.any():
-                    rows = np.flatnonzero(hit)
-                    yield i, j, rows, piece[rows]
+                    yield i, j, rows, np.minimum(piece, self.size)
+                elif (hit := piece < self.size).any():
+                    yield i, j, rows[hit], piece[hit]
+                open_ = piece != self.size  # words that some piece goes on in
+                rows, h = rows[open_], h[open_]
+                if not len(rows):
+                    break
 
 
 def forward(lattice: Lattice, words: list[str], p: np.ndarray, keep: bool = False):
     """Probability of each word (rows) in each language (columns), summed over all segmentations."""
     arcs = list(lattice.arcs(words))
-    a = np.zeros((len(words[0]) + 1, len(words), p.shape[1]))
+    a = np.zeros((len(words[0]) + 2, len(words), p.shape[1]))
     a[0] = 1
     for i, j, rows, piece in arcs:
         if len(rows) == len(words):
@@ -123,7 +146,7 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarr
                 out += np.bincount(piece, c[r], len(out))
             continue
         a, arcs = forward(lattice, own, p[:, None], keep=True)
-        b = np.zeros((len(own[0]) + 1, len(own)))
+        b = np.zeros((len(own[0]) + 2, len(own)))
         b[-1] = 1
         for i, j, r, piece in reversed(arcs):
             b[i][r] += b[j][r] * p[piece]
@@ -192,29 +215,31 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: in
 class Scorer:
     """Log-likelihoods of texts; words that were scored are kept, at most ``most`` of them."""
 
-    def __init__(self, model: Model, most: int = 200_000) -> None:
+    def __init__(self, model: Model, most: int = 400_000) -> None:
         self.lattice, self.p, self.most = Lattice(model.pieces), model.p, most
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((0, model.p.shape[1]))
+        self.logs = np.zeros((1 << 14, model.p.shape[1]))
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known, self.logs = {}, self.logs[:0]
-        logs = np.zeros((len(words), self.p.shape[1]))
+        start = len(self.known)
+        while len(self.logs) < start + len(words):
+            self.logs = np.vstack([self.logs, np.zeros_like(self.logs)])
         for rows in by_length(words).values():
             for s in range(0, len(rows), 20_000):
-                logs[rows[s : s + 20_000]] = np.log(np.maximum(forward(self.lattice, [words[k] for k in rows[s : s + 20_000]], self.p), 1e-300))
-        self.known |= {w: len(self.logs) + k for k, w in enumerate(words)}
-        self.logs = np.vstack([self.logs, logs])
+                part = rows[s : s + 20_000]
+                self.logs[start + np.array(part)] = np.log(np.maximum(forward(self.lattice, [words[k] for k in part], self.p), 1e-300))
+        self.known.update(zip(words, range(start, start + len(words)), strict=True))
 
-    def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
+    def texts(self, texts: list[str | None], run: int = 1_000) -> list[np.ndarray | None]:
         out: list[np.ndarray | None] = []
-        for first in range(0, len(texts), 256):
-            parts = [words_in(t) for t in texts[first : first + 256]]
-            fresh = list({w for ws in parts for w in ws if w not in self.known})
+        for first in range(0, len(texts), run):
+            parts = [words_in(t) for t in texts[first : first + run]]
+            every = set(chain.from_iterable(parts))
+            fresh = [w for w in every if w not in self.known]
+            if len(self.known) + len(fresh) > self.most:
+                self.known.clear()
+                fresh = list(every)
             if fresh:
-                if len(self.known) + len(fresh) > self.most:
-                    fresh = list({w for ws in parts for w in ws})
                 self.learn(fresh)
             for ws in parts:
                 letters = any(c.isalpha() for w in ws for c in w)
