@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import telemetry
+from lodestone.plans import corpus, telemetry
 
-MODULES = (telemetry,)
+MODULES = (telemetry, corpus)
 
 
 def queries() -> dict:
