@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, telemetry
+from lodestone.plans import corpus, graph, telemetry
 
-MODULES = (telemetry, corpus)
+MODULES = (telemetry, corpus, graph)
 
 
 def queries() -> dict:
