@@ -116,7 +116,9 @@ def occurrences(s: Column, part: Column) -> Column:
 def match_lines(s: Column, part: Column) -> Column:
     """numbers, from 1, of the lines in which a match starts."""
     pieces = F.split(s, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
-    return F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a["at"] + F.size(F.split(p, "\n", -1)) - 1 + 0).alias("at"), F.concat(a["out"], F.array(a["at"] + F.size(F.split(p, "\n", -1)) - 1)).alias("out")), lambda a: a["out"])
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    step = lambda a, p: F.struct((a["at"] + feeds(p) + feeds(part)).alias("at"), F.concat(a["out"], F.array(a["at"] + feeds(p))).alias("out"))
+    return F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
 
 
 def common_prefix(a: Column, b: Column) -> Column:

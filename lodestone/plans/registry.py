@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, graph, telemetry
+from lodestone.plans import corpus, graph, sessions, telemetry, text
 
-MODULES = (telemetry, corpus, graph)
+MODULES = (telemetry, corpus, graph, text, sessions)
 
 
 def queries() -> dict:
