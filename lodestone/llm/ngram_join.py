@@ -10,7 +10,8 @@ threshold. It is taken block by block, and blocks without such an overlap are ne
    in whole stripes. A row emits a fingerprint for its stripes that hold at least 1 to 3 shingles; rows with the same
    fingerprint go into the same block. Of large sets the first ``STRIPES`` stripes do, small sets deal the columns
    anew until they have as many. A stripe of a pair just at the threshold agrees and is full enough with a probability of about
-   1/3, so a link is overlooked with a probability of about 1e-11, whatever the texts and their number.
+   1/3, so a link is overlooked with a probability of about 1e-11, whatever the texts and their number. Blocks of over
+   ``LOOSE`` rows are dealt once more by pairs of stripes, three for each stripe, which about 1e-10 of the links don't share.
 3. Connected fingerprints give blocks. A block of more rows than ``CHUNK`` is cut into chunks; each chunk is multiplied
    with itself and with one leading row, and only rows without a link to that leader go on to be multiplied
    with the other chunks. In a task, columns with one row are dropped and the rest is multiplied in
@@ -35,6 +36,8 @@ from lodestone.llm.common import U, mix
 
 CHUNK = 96
 STRIPES, DEALINGS = 64, 13
+#: Blocks of more rows are dealt again by pairs of stripes.
+LOOSE = 256
 #: Rows of the second side of a join that may be sent to every executor; above, both sides are shuffled.
 SEND_ROWS = 1_000_000
 
@@ -61,13 +64,16 @@ class Threshold:
         return self.den * both >= self.num * (a + b - both)
 
 
-def fingerprints(h: np.ndarray, counts: np.ndarray, t: Threshold, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, row) of the rows' stripes in their own size group (shift 0) or as partners of the next one (1)."""
+def fingerprints(h: np.ndarray, counts: np.ndarray, t: Threshold, shift: int, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, row) of the rows' stripes in their own size group (shift 0) or as partners of the next one (1).
+
+    With ``strict``, of pairs of stripes: each with the one, two and three places further on.
+    """
     g = t.group(np.maximum(counts, 1)) + shift
     k = t.stripes(g)
     need = np.clip(counts // (2 * k), 1, 3)
     dealings = np.minimum(DEALINGS, -(-STRIPES // k))
-    sigs, owners = [], []
+    sigs, owners, fulls = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for deal in range(1, DEALINGS + 1):
         # with one stripe only equal sets match, and these are one row already
         use = (counts > 0) & (k > 1) & (dealings >= deal)
@@ -84,12 +90,23 @@ def fingerprints(h: np.ndarray, counts: np.ndarray, t: Threshold, shift: int) ->
         hi = np.bincount(slot, (y >> U(32)).astype(np.float64), n).astype(U)
         who = np.repeat(np.arange(len(rows)), kept)
         place = (np.arange(n) - off[who]).astype(U) + (g[rows][who].astype(U) << U(20)) + U(deal << 16)
-        full = np.bincount(slot, minlength=n) >= need[rows][who]
-        sigs.append(mix(lo + (hi << U(32)) + mix(place))[full])
-        owners.append(rows[who[full]])
-    if not sigs:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(owners)
+        sigs.append(mix(lo + (hi << U(32)) + mix(place)))
+        owners.append(rows[who])
+        fulls.append(np.bincount(slot, minlength=n) >= need[rows][who])
+    sig, row, full = np.concatenate(sigs), np.concatenate(owners), np.concatenate(fulls)
+    if not strict:
+        return sig[full], row[full]
+    order = np.argsort(row, kind="stable")
+    sig, row, full = sig[order], row[order], full[order]
+    first = np.searchsorted(row, row)
+    size = np.searchsorted(row, row, "right") - first
+    pairs, whose = [], []
+    for step in (1, 2, 3):
+        other = first + (np.arange(len(row)) - first + step) % np.maximum(size, 1)
+        both = full & full[other]
+        pairs.append(mix(sig[both] * U(3) + mix(sig[other[both]] + U(step))))
+        whose.append(row[both])
+    return np.concatenate(pairs), np.concatenate(whose)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -168,11 +185,11 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
     n_buckets = buckets or int(min(1 << 15, max(256, per_doc.count() // 500)))
     bits = max(1, (n_buckets - 1).bit_length())
 
-    def fingerprint(batches):
+    def fingerprint(batches, strict=False):
         for batch in batches:
             for _, h, counts in _sets(batch, words):
                 a, _ = _set_keys(h, counts)
-                found = [fingerprints(h, counts, t, s) for s in (0, 1)]
+                found = [fingerprints(h, counts, t, s, strict) for s in (0, 1)]
                 sig, row = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
                 where = (sig >> U(64 - bits)).astype(np.uint16)
                 order = np.argsort(where, kind="stable")
@@ -190,15 +207,22 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
         pairs = np.unique(np.stack([lead, node], 1)[lead != node], axis=0)
         return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
-    near = docs.mapInArrow(fingerprint, "bucket int, sig binary, node binary").groupBy("bucket").applyInArrow(meet, "src long, dst long").distinct()
-    blocks = common.components(near)
+    def meeting(given: DataFrame, f) -> DataFrame:
+        return common.components(given.mapInArrow(f, "bucket int, sig binary, node binary").groupBy("bucket").applyInArrow(meet, "src long, dst long").distinct())
+
+    def only(ids: DataFrame, n: int) -> DataFrame:
+        return docs.join(F.broadcast(ids) if n <= SEND_ROWS else ids, "doc_id", "left_semi")
+
+    blocks = common.checkpointed(meeting(docs, fingerprint))
+    loose = common.checkpointed(blocks.join(blocks.groupBy("component").count().filter(F.col("count") > LOOSE), "component").select("node", "component"))
+    if n_loose := loose.count():
+        # Large blocks are mostly chains of texts with a passage in common: they are dealt again by stricter fingerprints.
+        again = classes.join(loose.withColumnRenamed("node", "a"), "a").select(F.col("rep").alias("doc_id"))
+        blocks = blocks.join(loose.select("node"), "node", "left_anti").unionByName(meeting(only(again, n_loose), lambda batches: fingerprint(batches, True)))
     # Rows of a block: one for each class; all classes of one fingerprint ``a`` take part.
     rows = classes.join(blocks.withColumnRenamed("node", "a"), "a").select("rep", "component")
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     rows = common.checkpointed(rows.join(sizes, "component").withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))))
-    wanted = rows.select(F.col("rep").alias("doc_id"))
-    if rows.count() <= SEND_ROWS:
-        wanted = F.broadcast(wanted)
 
     def incidence(batches):
         for batch in batches:
@@ -206,7 +230,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
                 cuts = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["rep", "n", "h"])
 
-    matrix = docs.join(wanted, "doc_id", "left_semi").mapInArrow(incidence, "rep long, n long, h binary").dropDuplicates(["rep"])
+    matrix = only(rows.select(F.col("rep").alias("doc_id")), rows.count()).mapInArrow(incidence, "rep long, n long, h binary").dropDuplicates(["rep"])
     matrix = common.checkpointed(rows.join(matrix, "rep"))
     leader = matrix.filter("chunks > 1").groupBy("component", "chunks").agg(F.min_by(F.struct("rep", "n", "h"), F.xxhash64("rep")).alias("x"))
     leader = leader.select("component", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "x.*", F.lit(True).alias("lead"))
