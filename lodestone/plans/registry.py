@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, graph, sessions, telemetry, text
+from lodestone.plans import corpus, graph, relational, sessions, telemetry, text
 
-MODULES = (telemetry, corpus, graph, text, sessions)
+MODULES = (telemetry, corpus, graph, text, sessions, relational)
 
 
 def queries() -> dict:
