@@ -11,10 +11,10 @@ from lodestone.session import table
 TOOLS = {"view": "analyze_file", "click": "analyze_directory", "purchase": "analyze_symbol", "signup": "exec_command", "error": "edit_replace"}
 
 
-def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry log; ``k`` drives the sparse fields."""
+def metric_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The telemetry log; ``k`` drives the sparse fields. A stream of ``events`` has no sequence numbers."""
     tool = F.coalesce(*[F.when(F.col("event_type") == e, t) for e, t in TOOLS.items()], F.lit("unknown"))
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = (table(spark, sf_dir, "events") if events is None else events).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k = F.col("k")
     flag = lambda n, t, f: F.when(k % n == t, True).when(k % n == f, False)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -27,7 +27,7 @@ def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("result"),
         F.when(F.col("event_type") == "error", F.when(k % 3 == 0, "invalid_params").when(k % 3 == 1, "internal")).alias("error_type"),
         F.col("user_id").cast("string").alias("session_id"),
-        (F.row_number().over(w) - 1).alias("seq"),
+        (F.row_number().over(w) - 1 if events is None else F.lit(None).cast("int")).alias("seq"),
         flag(3, 0, 1).alias("cache_hit"),
         F.when(k % 3 == 0, F.when(k % 2 == 0, "l1_memory").otherwise("l2_disk")).alias("cache_tier"),
         (k % 17 == 0).alias("cache_write_failure"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, graph, relational, sessions, telemetry, text
+from lodestone.plans import corpus, extraction, graph, relational, sessions, streams, telemetry, text
 
-MODULES = (telemetry, corpus, graph, text, sessions, relational)
+MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational)
 
 
 def queries() -> dict:
