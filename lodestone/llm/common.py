@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """All columns of ``docs`` as the struct ``row``, and some of them again: what is added beside can't clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in dict.fromkeys(columns)])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +66,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP[:n], _DOWN[:n]
 
 
-def words_of(texts: pa.Array, fold: bool = True, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words_of(texts: pa.Array, fold: bool = True, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Hashes of all words, for runs of texts with about ``most`` bytes: (first, last, hash of each word, words of each text).
 
     Words are runs of anything but ASCII white space; with ``fold`` A-Z count as a-z. A null text has no words.
@@ -142,6 +147,20 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 # ---------------------------------------------------------------- columns computed from whole texts
 
+#: Rows that are Python objects at a time.
+SLICE = 1_000
+
+
+def release() -> None:
+    """Gives free memory of this Python worker back: workers are kept from one stage to the next, and so is what they hold."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
 
 def add_columns(docs: DataFrame, text: str, made: str, start, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those of ``keep``) with the columns of the schema ``made``, computed from a text column in Python.
@@ -151,15 +170,18 @@ def add_columns(docs: DataFrame, text: str, made: str, start, keep: list[str] |
     """
     from pyspark.sql import types as T
 
-    keep = docs.columns if keep is None else keep
-    names = [f"c{k}" for k in range(len(keep))]
     new = T.StructType.fromDDL(made)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    names = [f"c{k}" for k in range(len(keep))]
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("t"))
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names, strict=True)] + list(new))
 
     def run(batches):
         f = start()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *f(batch.column("t").to_pylist())], [*names, *new.names])
+            for s in range(0, batch.num_rows, SLICE):
+                part = batch.slice(s, SLICE)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *f(part.column("t").to_pylist())], [*names, *new.names])
+            release()
 
     return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *new.names)

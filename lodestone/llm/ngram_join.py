@@ -179,6 +179,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
             for rows, h, counts in _sets(batch, words):
                 a, b = _set_keys(h, counts)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n", "a", "b"])
+            common.release()
 
     per_doc = common.checkpointed(docs.mapInArrow(describe, "doc_id long, n long, a long, b long"))
     classes = common.checkpointed(per_doc.filter("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
@@ -187,15 +188,21 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
 
     def fingerprint(batches, strict=False):
         for batch in batches:
+            sigs, nodes = [], []
             for _, h, counts in _sets(batch, words):
                 a, _ = _set_keys(h, counts)
-                found = [fingerprints(h, counts, t, s, strict) for s in (0, 1)]
-                sig, row = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                for shift in (0, 1):
+                    sig, row = fingerprints(h, counts, t, shift, strict)
+                    sigs.append(sig)
+                    nodes.append(a[row])
+            if sigs:
+                sig, node = np.concatenate(sigs), np.concatenate(nodes)
                 where = (sig >> U(64 - bits)).astype(np.uint16)
                 order = np.argsort(where, kind="stable")
-                sig, node, cuts = sig[order], a[row[order]], np.searchsorted(where[order], np.arange((1 << bits) + 1))
+                sig, node, cuts = sig[order], node[order], np.searchsorted(where[order], np.arange((1 << bits) + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([sig[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([node[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], ["bucket", "sig", "node"])
+            common.release()
 
     def meet(table: pa.Table) -> pa.Table:
         sig, node = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("sig", U), ("node", np.int64)))
@@ -229,6 +236,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
             for part, h, counts in _sets(batch, words):
                 cuts = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["rep", "n", "h"])
+            common.release()
 
     matrix = only(rows.select(F.col("rep").alias("doc_id")), rows.count()).mapInArrow(incidence, "rep long, n long, h binary").dropDuplicates(["rep"])
     matrix = common.checkpointed(rows.join(matrix, "rep"))
