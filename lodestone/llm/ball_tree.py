@@ -6,7 +6,7 @@ together: at each node the queries whose bound is below their current k-th score
 their bounds, and leaves are scored exactly. The current k-th score is shared: a first pass searches one shard for
 each query, and its k-th score is where the other shards start. The best k of all shards are merged.
 
-A component x counts as floor(256 * x), x as double; products are exact integers (Python's beyond 2**62, cut to the range of long).
+A component x counts as floor(256 * x), x as double; products are exact integers, those out of the range of long cut to it before they are ranked.
 Vectors that are null, hold a null or non-finite component, or have no vec_id take no part. Vectors are
 compared with those of their own length only. Rows that repeat a vec_id are candidates of their own, but none for a query of
 that vec_id; a query that is repeated with the same vector counts once, and with other vectors its best scores are merged.
@@ -64,7 +64,7 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if top**2 * max(1, q.shape[1]) < 2**53:
         return q @ x.T
     big = np.array([[int(v) for v in r] for r in q], object).reshape(q.shape) @ np.array([[int(v) for v in r] for r in x], object).reshape(x.shape).T
-    return big
+    return np.minimum(np.maximum(big, -LONG - 1), LONG)
 
 
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, start: np.ndarray, k: int, leaf: int = LEAF) -> list[tuple[int, int, int]]:
@@ -75,7 +75,8 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, star
     norm = np.sqrt((q * q).sum(1))
     bound = q @ centre.T + norm[:, None] * radius[None, :]
     bound += 1e-9 * (np.abs(bound) + norm[:, None] * np.sqrt((centre * centre).sum(1))[None, :] + 1)
-    kth = start.astype(float).copy()
+    slack = lambda v: v - np.abs(v) * 1e-12 if np.isfinite(v) else v  # noqa: E731  a double may be above the long it stands for
+    kth = np.array([slack(v) for v in start.astype(float)])
     best: list[list[tuple[int, int]]] = [[] for _ in q]
     todo = [(0, np.arange(len(q)))]
     while todo:
@@ -94,7 +95,7 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, star
             if len(hit):
                 best[i] = sorted(best[i] + [(-int(scores[r, h]), int(ids[s + h])) for h in hit])[:k]
                 if len(best[i]) == k:
-                    kth[i] = max(kth[i], -best[i][-1][0])
+                    kth[i] = max(kth[i], slack(float(-best[i][-1][0])))
     return [(i, row, -score) for i, own in enumerate(best) for score, row in own]
 
 
@@ -142,7 +143,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
                     qids = np.frombuffer(qid, np.int64)
                     found = search(x, ids, np.floor(256 * np.frombuffer(q, np.float64).reshape(-1, d)), qids, np.frombuffer(start, np.float64), k)
                     out += [(int(qids[i]), row, score) for i, row, score in found]
-            return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([max(-LONG - 1, min(LONG, o[2])) for o in out], pa.int64())})
+            return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.int64())})
 
         return both.groupBy("dim", "shard").applyInArrow(visit, "query_id long, vec_id long, score long")
 

@@ -150,4 +150,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item is found, all columns."""
-    return scan(docs, benchmark, rate).filter(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scan(common.whole(docs, "text"), benchmark, rate, keep=["row"]).filter(F.size("hits") == 0).select("row.*")

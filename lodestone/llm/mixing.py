@@ -60,6 +60,12 @@ def fit(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT)
         if more > 0:
             take[i] += more
             left -= more * lengths[i]
+    for i in reversed(order):  # a few short documents go back, so that the programme has a choice
+        more = min(take[i], 2)
+        if left + more * lengths[i] > exact // 4:
+            break
+        take[i] -= more
+        left += more * lengths[i]
     # Bounded knapsack: bit s of a row is set if the sum s can be reached with the lengths up to it.
     left = max(0, left)
     full, rows = (1 << min(left, exact) + 1) - 1, [1]
@@ -113,7 +119,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns."""
-    columns = docs.columns
-    held = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *[F.col(f"`{c}`") for c in dict.fromkeys((options.get("key", "doc_id"), options.get("source", "source"), options.get("text", "text")))]), extra=["row"], **options)
+    key, source, text = (options.get(k, v) for k, v in (("key", "doc_id"), ("source", "source"), ("text", "text")))
+    held = mix(common.whole(docs, key, source, text), extra=["row"], **options)
     copies = held.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return copies.select("row.*")

@@ -51,9 +51,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op6_ball_tree_top_k, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
 
 
+#: SQL of the queries that SQL can express. The others hold a trained model, a dynamic programme, a hash that DuckDB lacks, or edit distances.
+ORACLES = {
+    "op6_ball_tree_top_k": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_line_windows": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ w AS (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS at FROM l),
+ c AS (SELECT doc_id, at, trim(ls[at + 1]) || chr(10) || trim(ls[at + 2]) || chr(10) || trim(ls[at + 3]) AS c,
+  length(array_to_string(ls[1:at], chr(10))) + CASE WHEN at > 0 THEN 1 ELSE 0 END AS s, length(array_to_string(ls[1:at + 3], chr(10))) AS e FROM w),
+ q AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, at) AS k FROM c WHERE c <> chr(10) || chr(10)),
+ i AS (SELECT *, CASE WHEN lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 3 >= at THEN 0 ELSE 1 END AS new FROM q WHERE k > 1),
+ z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY at) AS run FROM i)
+SELECT doc_id, CAST(min(at) AS INTEGER) AS first_line, CAST(max(at) + 2 AS INTEGER) AS last_line, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM z GROUP BY doc_id, run""",
+    "op8_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gs FROM w),
+ p AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS s FROM g),
+ l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+ r AS (SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT y, root FROM r JOIN l ON x = node)
+SELECT doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, min(root) AS component_id FROM g JOIN r ON node = doc_id GROUP BY 1, 2""",
+}
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
