@@ -72,7 +72,7 @@ QUERIES = {
     "a10_o4_frequencies": lambda s, d: G.frequencies(_out(s, d)),
     "j3_w10_reach": lambda s, d: G.reach(_out(s, d), s.createDataFrame([("S1",), ("S2",)], "node string"), 2),
     "g2_j4_chains_outgoing": lambda s, d: _flat(G.chains(_out(s, d), "S1", 1)),
-    "g2_chains_incoming": lambda s, d: _flat(G.chains(_out(s, d), "R1", 1, incoming=True)),
+    "g2_chains_incoming": lambda s, d: _flat(G.chains(_out(s, d), "N1", 1, incoming=True)),
     "g4_blast_radius": lambda s, d: G.blast_radius(_out(s, d), "S1", 3),
     "g5_import_closure": lambda s, d: G.import_closure(_links(s, d), "L4", 3),
     "g5_subgraph": lambda s, d: G.blast_radius(_out(s, d), "N1", 2),
@@ -100,7 +100,7 @@ ORACLES = {
     "a10_o4_frequencies": _E + f", {_O} SELECT neighbor AS name, count(*) AS n, arg_min(left(node, 1) || '.rs', ord) AS path FROM o GROUP BY 1 ORDER BY n DESC, name LIMIT 10",
     "j3_w10_reach": _E + ", r AS (SELECT unnest(['S1', 'S2']) AS node, 0 AS depth UNION SELECT callee, depth + 1 FROM r JOIN e ON node = caller WHERE depth < 2) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node",
     "g2_j4_chains_outgoing": _S1 + "SELECT depth, node, neighbor, chain FROM ch",
-    "g2_chains_incoming": _E + f", {_BFS.format('R1', 1)}, {_CH} SELECT depth, node, neighbor, array_to_string(list_reverse(string_split(chain, '>')), '>') AS chain FROM ch",
+    "g2_chains_incoming": _E + f", {_BFS.format('N1', 1)}, {_CH} SELECT depth, node, neighbor, array_to_string(list_reverse(string_split(chain, '>')), '>') AS chain FROM ch",
     "g4_blast_radius": _E + f", {_BFS.format('S1', 3)} SELECT node, depth FROM q WHERE depth > 0",
     "g5_import_closure": f"WITH RECURSIVE {IMPORTS}, k AS (SELECT 'p' || page_id AS path, module FROM i UNION ALL SELECT DISTINCT module, 'L' || length(module) FROM i WHERE length(module) < 6), r AS (SELECT 'L4' AS node, 0 AS depth UNION SELECT path, depth + 1 FROM r JOIN k ON node = module WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE depth > 0 GROUP BY node",
     "g5_subgraph": _E + f", {_BFS.format('N1', 2)} SELECT node, depth FROM q WHERE depth > 0",
