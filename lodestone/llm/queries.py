@@ -59,13 +59,13 @@ ORACLES = {
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_line_windows": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
- w AS (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS at FROM l),
- c AS (SELECT doc_id, at, trim(ls[at + 1]) || chr(10) || trim(ls[at + 2]) || chr(10) || trim(ls[at + 3]) AS c,
-  length(array_to_string(ls[1:at], chr(10))) + CASE WHEN at > 0 THEN 1 ELSE 0 END AS s, length(array_to_string(ls[1:at + 3], chr(10))) AS e FROM w),
- q AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, at) AS k FROM c WHERE c <> chr(10) || chr(10)),
- i AS (SELECT *, CASE WHEN lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 3 >= at THEN 0 ELSE 1 END AS new FROM q WHERE k > 1),
- z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY at) AS run FROM i)
-SELECT doc_id, CAST(min(at) AS INTEGER) AS first_line, CAST(max(at) + 2 AS INTEGER) AS last_line, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM z GROUP BY doc_id, run""",
+ w AS (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM l),
+ c AS (SELECT doc_id, pos, trim(ls[pos + 1]) || chr(10) || trim(ls[pos + 2]) || chr(10) || trim(ls[pos + 3]) AS c,
+  length(array_to_string(ls[1:pos], chr(10))) + CASE WHEN pos > 0 THEN 1 ELSE 0 END AS s, length(array_to_string(ls[1:pos + 3], chr(10))) AS e FROM w),
+ q AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, pos) AS k FROM c WHERE c <> chr(10) || chr(10)),
+ i AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 3 >= pos THEN 0 ELSE 1 END AS new FROM q WHERE k > 1),
+ z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM i)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS first_line, CAST(max(pos) + 2 AS INTEGER) AS last_line, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM z GROUP BY doc_id, run""",
     "op8_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gs FROM w),
  p AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS s FROM g),
