@@ -121,20 +121,26 @@ def shingles_of(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarr
 # ---------------------------------------------------------------- connected components
 
 
+#: Edges that one task of a round handles at least.
+EDGES_A_TASK = 100_000
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) for the undirected graph of ``edges`` (src, dst: long); a component is named by its smallest node.
 
-    Alternates large-star and small-star steps, each an aggregation and a join, until the edges no longer change.
-    Nodes without an edge are not returned; loops and repeated edges are allowed. No edges give no rows.
+    Alternates large-star and small-star steps, each an aggregation and a join, until the edges no longer change. Rounds use as many
+    tasks as the edges need, since every task of a round leaves files. Nodes without an edge are not returned;
+    loops and repeated edges are allowed. No edges give no rows.
     """
     e = checkpointed(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    seen = None
+    tasks = max(8, -(-e.count() // EDGES_A_TASK))
+    e, seen = e.coalesce(tasks), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        e = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         e = checkpointed(e)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
