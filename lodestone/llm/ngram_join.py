@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 from lodestone.llm.common import U, mix
 
-CHUNK = 96
+CHUNK = 256
 STRIPES, DEALINGS = 64, 13
 #: Blocks of more rows are dealt again by pairs of stripes.
 LOOSE = 256
