@@ -17,7 +17,7 @@ def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.repeated_units(read(spark, sf_dir, "documents"))
+    return units.repeated_units(read(spark, sf_dir, "documents"), min_words=1)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

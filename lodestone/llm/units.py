@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Where a caller gives no minimum; the query op3 takes units of any length.
 MIN_WORDS = 6
 WINDOW = 3
-#: Units end with a line, or with a full stop, question mark or exclamation mark before a space.
+#: Sentences end with a line, or with a full stop, question mark or exclamation mark before a space.
 UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t])|\n|\Z)", re.S)
 ROW = "doc_id long, tie long, at int, start long, end long, a long, b long"
 
@@ -28,13 +29,21 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 
 def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
-    """(unit, start, end, digest halves) of the units with enough words, compared in lower case and with single spaces."""
-    for k, m in enumerate(UNIT.finditer(text)):
-        piece = m.group()
-        words = piece.split()
-        if len(words) >= min_words:
-            start = m.start() + len(piece) - len(piece.lstrip())
-            yield k, start, m.start() + len(piece.rstrip()), *_digest(" ".join(words).lower().encode())
+    """(unit, start, end, digest halves) of the units with enough words, compared in lower case and with single spaces.
+
+    Each line is a unit, and so is each sentence of a line that holds several; a line comes before its sentences.
+    """
+    k, at = 0, 0
+    for line in text.split("\n"):
+        pieces = [(at, line)]
+        pieces += [(at + m.start(), m.group()) for m in UNIT.finditer(line) if m.group().strip() != line.strip()]
+        for begin, piece in pieces:
+            words = piece.split()
+            if words and len(words) >= min_words:
+                start = begin + len(piece) - len(piece.lstrip())
+                yield k, start, begin + len(piece.rstrip()), *_digest(" ".join(words).lower().encode())
+            k += bool(words)
+        at += len(line) + 1
 
 
 def windows_of(text: str, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

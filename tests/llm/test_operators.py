@@ -267,6 +267,19 @@ def test_units(spark):
     assert units.repeated_units(documents(spark, [])).count() == 0
 
 
+def test_units_of_any_length(spark, tmp_path):
+    from lodestone.llm import queries
+
+    short, cut, chinese = "All rights", "HEING,!! THE!! No. Yes? So it is", "\u7248\u6743\u6240\u6709\u3002"
+    texts = [f"{short}\n{cut}\none\n{chinese}", f"x y\n {short} \n\n{cut.lower()}", f"{chinese}\nzz. Yes? ww", "\n \n", None]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id) for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got >= {(1, short, 0), (1, cut.lower(), 0), (2, chinese, 0), (2, "Yes?", 0)}
+    assert {d for d, _, _ in got} == {1, 2}
+    kept = {r.doc_id: r.text for r in units.without(documents(spark, texts), units.repeated_units(documents(spark, texts), 1)).collect()}
+    assert kept == {0: texts[0], 1: "x y\n  \n\n", 2: "\nzz.  ww", 3: "\n \n", 4: None}
+
+
 def test_windows(spark):
     lines = [prose(i, 5) for i in range(20)]
     texts = ["\n".join(lines[:8]), "\n".join(["x", *lines[2:7], "y"]), "\n".join(lines[4:6]), None, "\n\n\n\n", "\n\n\n\n", "\n".join(lines[:3] + ["q"] + lines[:3])]
