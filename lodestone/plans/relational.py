@@ -95,6 +95,7 @@ QUERIES = {
     "x_session_window": lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
     "x_pivot": lambda s, d: table(s, d, "events").groupBy("user_id").pivot("event_type", ["click", "error", "view"]).count(),
     "x_unpivot": lambda s, d: table(s, d, "lineitem").filter("l_orderkey < 500").unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "what", "value"),
+    "x_unpivot_all": lambda s, d: table(s, d, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "what", "value"),
     "x_variant_json": _variant,
     "x_exists_subquery": lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
     "x_cosine_top_k": _cosine,
@@ -121,6 +122,7 @@ ORACLES = {
     "x_session_window": "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1",
     "x_pivot": "SELECT user_id, nullif(count_if(event_type = 'click'), 0) AS click, nullif(count_if(event_type = 'error'), 0) AS error, nullif(count_if(event_type = 'view'), 0) AS view FROM events GROUP BY 1",
     "x_unpivot": "SELECT l_orderkey, l_linenumber, 'l_discount' AS what, l_discount AS value FROM lineitem WHERE l_orderkey < 500 UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem WHERE l_orderkey < 500",
+    "x_unpivot_all": "SELECT l_orderkey, l_linenumber, 'l_discount' AS what, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem",
     "x_variant_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "x_exists_subquery": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') GROUP BY 1",
     "x_cosine_top_k": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT q.vec_id AS q, v.vec_id, round(list_dot_product(v.v, q.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS cos FROM v JOIN v q ON q.vec_id < 5 AND q.vec_id <> v.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY cos DESC, vec_id) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 3",
