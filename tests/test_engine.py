@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,25 @@ def test_whole_tables(spark, tmp_path):
     assert q["x_unpivot_all"](spark, d).count() == 220
 
 
+def test_cosine_of_every_twentieth(spark, tmp_path):
+    import math
+    import random
+
+    from lodestone.plans import relational
+
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(130)] + [(200 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(45)] + [(300, [0.0] * 6), (320, None), (340, [1.0, 2.0]), (341, [2.0, 1.0]), (None, [1.0] * 6)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    good = [(i, [float(np.float32(x)) for x in v]) for i, v in rows if i is not None and v and any(v)]
+    want = []
+    for q, a in good:
+        if q % 20 == 0:
+            cos = [(-round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6), i) for i, b in good if i != q and len(a) == len(b)]
+            want += [(q, i, -c, k + 1) for k, (c, i) in enumerate(sorted(cos)[:3])]
+    for options in ({}, {"rows": 20, "asked": 3}):
+        assert sorted(tuple(x) for x in relational._cosine_all(spark, str(tmp_path), **options).collect()) == sorted(want)
+
+
 def test_rank_test(spark):
     rows = [("A", v) for v in (1.0, 2.0, 2.0)] + [("B", v) for v in (2.0, 3.0)]
     r = sessions.rank_tests(spark.createDataFrame(rows, "condition string, score double"), "score").first()
