@@ -5,7 +5,10 @@ Sources in code point order (null last) weigh 5, 2, 1, repeating. ``share`` of a
 documents: each is taken as often as its target holds the whole source (0, 1 or 2 times), and the remaining budget is fitted
 over the counts of documents by exact length: first the same fraction of each length, then the longest lengths that fit,
 and when the rest is at most ``exact`` words, a bounded-knapsack dynamic programme finds the lengths whose sum is
-nearest to it from below. Which documents of a length are taken is decided by a seeded hash, so reruns agree.
+nearest to it from below. Where that misses the budget, the programme is run again over all of it, with no documents taken before,
+and the nearer sum is used. That one is exact while its bits (budget times splits of the counts) fit ``BITS``; beyond that most
+of the budget is dealt by the same fraction first, and if documents are longer than the programme, sums are kept in
+cells: exact while there are few, else off by at most a cell for each split. Which documents of a length are taken is decided by a seeded hash, so reruns agree.
 
 Only (source, length, count) rows go to the fitting, one task a source. A null text has size 0. Documents of size 0 take nothing.
 A source with no words has the target 0. Equal rows are separate documents.
@@ -13,6 +16,7 @@ A source with no words has the target 0. Equal rows are separate documents.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +28,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 EXACT = 1 << 15
+#: Bits of the programme over a whole budget (128 MB), and sums it holds in all where they are kept one by one.
+BITS = 1 << 30
+SUMS = 1 << 23
 SEED = 20_240_601
 MOST_SOURCES = 100_000
 
@@ -46,10 +53,82 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return out
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT, bits: int = BITS, sums: int = SUMS) -> list[int]:
     """How many documents of each length to take for a sum near ``budget``, never above it."""
+    budget = min(budget, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+    first = _short_rest(lengths, counts, budget, exact)
+    best = sum(n * t for n, t in zip(lengths, first, strict=True))
+    if best == budget:
+        return first
+    second = _whole_budget(lengths, counts, budget, bits, sums)
+    return second if sum(n * t for n, t in zip(lengths, second, strict=True)) > best else first
+
+
+def _splits(lengths: list[int], spare: list[int], left: int) -> list[tuple[int, int]]:
+    """(length's index, documents) whose subsets are all the numbers that fit, the longest lengths first."""
+    out = []
+    for i in sorted((i for i, n in enumerate(lengths) if 0 < n <= left), key=lambda i: -lengths[i]):
+        more, part = min(spare[i], left // lengths[i]), 1
+        while more > 0:
+            use = min(part, more)
+            out.append((i, use))
+            more -= use
+            part *= 2
+    return out
+
+
+def _whole_budget(lengths: list[int], counts: list[int], budget: int, bits: int, sums: int) -> list[int]:
+    """The programme over the whole budget, or over as much of it as ``bits`` allows."""
+    take, left = [0] * len(lengths), budget
+    width = bits // max(1, len(_splits(lengths, counts, left)))
+    if left > width:
+        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+        take = [c * (budget - width // 2) // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
+        left -= sum(n * t for n, t in zip(lengths, take, strict=True))
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            more = min(counts[i] - take[i], (left - width // 2) // lengths[i]) if lengths[i] and left > width else 0
+            take[i] += max(0, more)
+            left -= max(0, more) * lengths[i]
+    if left > width:  # documents longer than the programme
+        take, left = [0] * len(lengths), budget
+    steps = _splits(lengths, [c - t for c, t in zip(counts, take, strict=True)], left)
+    if left <= width:
+        full, rows = (1 << left + 1) - 1, [1]
+        for i, use in steps:
+            rows.append(rows[-1] | rows[-1] << use * lengths[i] & full)
+            if rows[-1] >> left & 1:
+                break
+        s, held = rows[-1].bit_length() - 1, lambda k, s: rows[k] >> s & 1
+        last = len(rows) - 1
+    else:
+        cells = max(1024, sums // max(1, len(steps)))
+        kept = [np.zeros(1, np.int64)]
+        for i, use in steps:
+            both = np.union1d(kept[-1], kept[-1] + use * lengths[i])
+            both = both[both <= left]
+            if len(both) > cells:
+                cell = both // -(-(left + 1) // cells)
+                both = both[np.append(cell[1:] != cell[:-1], True)]  # the highest sum of each cell
+            kept.append(both)
+            if both[-1] == left:
+                break
+        s, last = int(kept[-1][-1]), len(kept) - 1
+
+        def held(k: int, s: int) -> bool:
+            at = int(np.searchsorted(kept[k], s))
+            return at < len(kept[k]) and int(kept[k][at]) == s
+
+    for k in range(last, 0, -1):
+        if not held(k - 1, s):
+            i, use = steps[k - 1]
+            take[i] += use
+            s -= use * lengths[i]
+    return take
+
+
+def _short_rest(lengths: list[int], counts: list[int], budget: int, exact: int) -> list[int]:
+    """The same fraction of each length, and the programme over at most ``exact`` words that are left."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    budget = min(budget, total)
     take = [c * budget // total if total else 0 for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
     order = sorted((i for i, n in enumerate(lengths) if n > 0), key=lambda i: -lengths[i])

@@ -154,6 +154,30 @@ def test_knapsack_is_best():
     assert sum(a * b for a, b in zip(mixing.fit([7, 5, 3], [100, 100, 100], 751), [7, 5, 3])) == 751
 
 
+def test_knapsack_of_long_documents():
+    def got(lengths, counts, budget, **options):
+        take = mixing.fit(lengths, counts, budget, **options)
+        assert all(0 <= t <= c for t, c in zip(take, counts))
+        return sum(a * b for a, b in zip(take, lengths))
+
+    assert got([90_000, 100_000, 110_000], [1, 1, 1], 210_000) == 210_000
+    assert got([40_000, 50_000], [1, 1], 44_000) == 40_000
+    assert got([40_000, 50_001], [10_000, 10_000], 700_003_000) >= 699_999_999 - 10_000  # over BITS, so not always the best
+    assert got([3 * 10**9, 5 * 10**9, 7 * 10**9 + 1], [1, 1, 2], 12 * 10**9 + 1) == 12 * 10**9 + 1
+    r = random.Random(8)
+    for k in range(60):
+        lengths = r.sample(range(30_000, 400_000), r.randint(1, 6))
+        counts = [r.randint(0, 3) for _ in lengths]
+        budget = r.randint(0, 1_500_000)
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        best = max(s for s in sums if s <= budget)
+        assert got(lengths, counts, budget) == best
+        assert got(lengths, counts, budget, bits=1 << 10) == best
+        assert best - got(lengths, counts, budget, bits=1 << 10, sums=1) <= 18 * (budget // 1024 + 1)
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(1, 4), (2, 4), (3, 3), (4, 2)])
 def test_hilbert_neighbours(spark, dims, bits):
     side = 1 << bits
