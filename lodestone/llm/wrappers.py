@@ -1,13 +1,12 @@
 """HTML extraction by union-free regular-expression inference.
 
-Pages become token streams: tags with their class and id words, and texts. From a bounded number of pages of a host (``SAMPLE``,
-chosen by hash) a wrapper is inferred: each page's stream is folded, so that a part that follows itself becomes a
+Pages become token streams: tags with their class and id words, and texts. From all pages of a host
+a wrapper is inferred: each page's stream is folded, so that a part that follows itself becomes a
 repeated group; then the wrapper of the first page is aligned with the others one by one. Texts that differ become slots,
 tags on one side only become optional groups, groups are aligned inside. A wrapper so has constants, slots, ``( )?`` and
 ``( )+``, and no unions. Its parts are labelled once: each is main text or not, from the element it is in (``roles``) and, where a host's pages
-name no article, from where its slots vary. A page is then matched with its host's wrapper, and the slots
-and constants labelled as main text give the page's text. A page that leaves the wrapper is folded into it first, so
-every page is read whole, whatever the sample held.
+name no article, from where its slots vary. Where elements mark main parts, these rules alone decide on a page's text; else
+the constants that all pages of the host share go, compared by digests of whole texts. Constants of optional parts stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Null html and
 pages without main text give an empty text. A null url counts as a host of its own name, ''. One row for each row.
@@ -15,20 +14,20 @@ pages without main text give an empty text. A null url counts as a host of its o
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 import re
 from collections import OrderedDict
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-SAMPLE = 8
-#: Constant texts are kept and compared by so many first letters.
-CUT = 40
+#: Buckets of a host's pages that are aligned apart, before their wrappers are.
+BUCKETS = 256
 #: Wrappers of at most so many bytes in all are sent to every executor; above, pages are joined with their host's wrapper.
 SEND_BYTES = 32 << 20
 
@@ -267,7 +266,7 @@ def size_of(part: list, outside: bool = False) -> int:
 
 
 def constants(parts: list) -> frozenset[str]:
-    """Texts that all pages of the sample share, where the others differ: a template's, as nothing marks the main part."""
+    """Texts (or their digests) that all pages of a wrapper share, where the others differ: a template's, as nothing marks the main part."""
     kept, slots = set(), 0
 
     def walk(parts: list, optional: bool) -> None:
@@ -276,7 +275,7 @@ def constants(parts: list) -> frozenset[str]:
             if p[0] == "s":
                 slots += 1
             elif p[0] == "k" and p[1][0] == "t" and not p[1][1].isspace() and not optional:
-                kept.add(p[1][1][:CUT])
+                kept.add(p[1][1])
             elif p[0] == "e":
                 walk(p[2], optional)
             elif p[0] in "?+":
@@ -327,13 +326,9 @@ class Wrapper:
             if len(self.known) > 2000:
                 self.known.clear()
             own = first_wrapper(forest)
-            fixed = self.fixed
-            if not matches(self.parts, own):  # the wrapper grows by this page, for pages of this shape
-                grown = align(self.parts, own) if self.parts else own
-                fixed = constants(grown) if self.fixed else fixed
             # Main parts are those that the wrapper names; a page that leaves them all out goes by its own.
             marks = marks_of(own)
-            self.known[skeleton] = self.rank if self.rank in marks else main_rank(own), fixed
+            self.known[skeleton] = self.rank if self.rank in marks else main_rank(own), self.fixed
         return main_text(forest, *self.known[skeleton])
 
 
@@ -396,7 +391,7 @@ def main_text(forest: list, rank: str, fixed: frozenset[str] = frozenset()) -> s
                 walk(x[1], inside or not rank or r == rank)
                 if block:
                     end()
-            elif (inside or not rank) and not (fixed and x[0] == "t" and x[1][:CUT] in fixed):
+            elif (inside or not rank) and not (fixed and x[0] == "t" and digest(x[1]) in fixed):
                 line.append(x[1] if x[0] == "t" else " ")
 
     walk(forest, not rank)
@@ -412,9 +407,14 @@ def infer(pages: list[str]) -> list:
     return wrapper or []
 
 
+def digest(text: str) -> str:
+    """What stands for a constant text in a wrapper: white space stays, so that blank texts are known."""
+    return " " if text.isspace() else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def slim(parts: list) -> list:
-    """A wrapper as it is stored: constant texts are cut to their first letters."""
-    return [["k", ("t", p[1][1][:CUT])] if p[0] == "k" and p[1][0] == "t" else ["e", p[1], slim(p[2])] if p[0] == "e" else [p[0], slim(p[1])] if p[0] in "?+" else p for p in parts]
+    """A wrapper as it is stored: digests of whole texts for constant texts."""
+    return [["k", ("t", digest(p[1][1]))] if p[0] == "k" and p[1][0] == "t" else ["e", p[1], slim(p[2])] if p[0] == "e" else [p[0], slim(p[1])] if p[0] in "?+" else p for p in parts]
 
 
 def revive(parts: list) -> list:
@@ -426,24 +426,46 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(url).alias("host"))
-    by = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "html"), "page_id")
-    chosen = rows.filter("html is not null").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample)
-
-    def learn(key, table: pd.DataFrame) -> pd.DataFrame:
-        import json
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(slim(infer(table.sort_values("k")["html"].tolist())), ensure_ascii=False)]})
+    def fold_all(batches):
+        for batch in batches:
+            own = [json.dumps(slim(first_wrapper(elements(tokens(p)))), ensure_ascii=False) for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(own, pa.string())], ["host", "wrapper"])
 
-    learned = common.checkpointed(chosen.groupBy("host").applyInPandas(learn, "host string, wrapper string").withColumnRenamed("host", "h"))
+    def align_all(batches):
+        """Rows come sorted by host and bucket: one wrapper for each."""
+        at, last, wrapper = None, None, None
+        done: list[tuple] = []
+        for batch in batches:
+            for host, b, own in zip(*(batch.column(c).to_pylist() for c in ("host", "b", "wrapper")), strict=True):
+                if (host, b) != at:
+                    if at is not None:
+                        done.append((*at, json.dumps(wrapper, ensure_ascii=False)))
+                    at, wrapper = (host, b), revive(json.loads(own))
+                elif own != last:
+                    wrapper = align(wrapper, revive(json.loads(own)))
+                last = own
+            yield table_of(done)
+            done = []
+        yield table_of([] if at is None else [(*at, json.dumps(wrapper, ensure_ascii=False))])
+
+    def table_of(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["host", "b", "wrapper"])
+
+    def aligned(frame: DataFrame) -> DataFrame:
+        return frame.repartition("host", "b").sortWithinPartitions("host", "b", "wrapper").mapInArrow(align_all, "host string, b int, wrapper string")
+
+    # Every page of a host counts: aligned in buckets by hash, then the buckets' wrappers with each other.
+    folded = rows.filter("html is not null").select("host", "html").mapInArrow(fold_all, "host string, wrapper string")
+    parts = aligned(folded.withColumn("b", F.pmod(F.xxhash64("wrapper"), F.lit(BUCKETS)).cast("int")))
+    learned = common.checkpointed(aligned(parts.withColumn("b", F.lit(0))).select(F.col("host").alias("h"), "wrapper"))
     total = learned.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(learned) if total <= SEND_BYTES else learned, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches):
-        import json
-
         known: OrderedDict[str, Wrapper] = OrderedDict()
         for batch in batches:
             out = []

@@ -366,6 +366,16 @@ def test_wrappers(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_wrappers_of_all_pages(spark):
+    same = "<div class='top'>Same top</div><h3>{0}</h3><div class='b'>{1}</div>"
+    long = "The same forty letters begin each of the texts here "
+    pages = [(i, "http://a.example/x", same.format(f"May {i}", "Copied article")) for i in range(40)]
+    pages += [(40, "http://a.example/y", same.format("June", "Another article"))]
+    pages += [(50 + i, "http://l.example/x", same.format(f"May {i}", long + str(i))) for i in range(3)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(7)).collect()}
+    assert got == {i: f"May {i}\nCopied article" for i in range(40)} | {40: "June\nAnother article"} | {50 + i: f"May {i}\n{long}{i}" for i in range(3)}
+
+
 def test_wrapper_inference():
     one, two = ("<ul><li>a</li><li>b</li></ul><p>t1</p>", "<ul><li>c</li></ul><h2>x</h2><p>t2</p>")
     w = wrappers.infer([one, two])
