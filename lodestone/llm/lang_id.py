@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
@@ -169,16 +169,18 @@ def _probabilities(counts: np.ndarray) -> np.ndarray:
     return np.vstack([c / c.sum(0), np.full((1, counts.shape[1]), FLOOR)])
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: int = 3, most_languages: int = 500) -> Model:
-    """From ``docs`` (text, lang); a null lang or text teaches nothing. ``sample``: expected rows a language."""
+def train(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: int = 3) -> Model:
+    """From ``docs`` (text, lang); a null lang or text teaches nothing. ``sample``: distinct texts a language, those of the lowest hashes."""
     pieces = pieces_of(path)
-    docs = docs.select("text", "lang").filter("lang is not null and text is not null")
-    held = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    docs = docs.select("text", "lang", F.xxhash64(F.lit(5), "text").alias("h")).filter("lang is not null and text is not null")
+    by = Window.partitionBy("lang").orderBy("h")
+    lowest = docs.select("lang", "h").distinct().withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample)
+    lowest = common.checkpointed(lowest.groupBy("lang").agg(F.max("h").alias("last")))
+    held = [r["lang"] for r in lowest.select("lang").collect()]
     languages = sorted(held)
     if not languages:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
-    part = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in held.items()], F.lit(0.0))
-    chosen = docs.filter((F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) / float(1 << 30)) < part)
+    chosen = docs.join(F.broadcast(lowest), "lang").filter("h <= last").select("text", "lang").distinct()  # copies teach once
 
     def count_words(batches):
         for batch in batches:

@@ -220,6 +220,14 @@ def test_language(spark):
     assert lang_id.identify(spark.createDataFrame([(1, "the", None)], "doc_id bigint, text string, lang string")).first().lang_pred == "und"
 
 
+def test_every_language_is_learned(spark):
+    vocabulary = lang_id.pieces_of(lang_id.VOCABULARY)
+    copies = [("the same text in all rows of it", "copied")] * 1000 + [("uno dos", f"l{k:03}") for k in range(510)]
+    model = lang_id.train(spark.createDataFrame(copies, "text string, lang string"), rounds=0)
+    assert model.languages == ["copied", *(f"l{k:03}" for k in range(510))] and len(model.pieces) == len(vocabulary)
+    assert all(model.p[:-1, k].max() > 10 * model.p[:-1, k].min() for k in range(511))  # none is uniform
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁a", "▁", "a", "b", "ab", "▁ab", "ba"]
     lattice = lang_id.Lattice(pieces)
