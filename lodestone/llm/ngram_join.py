@@ -11,7 +11,8 @@ threshold. It is taken block by block, and blocks without such an overlap are ne
    fingerprint go into the same block. Of large sets the first ``STRIPES`` stripes do, small sets deal the columns
    anew until they have as many. A stripe of a pair just at the threshold agrees and is full enough with a probability of about
    1/3, so a link is overlooked with a probability of about 1e-11, whatever the texts and their number. Blocks of over
-   ``LOOSE`` rows are dealt once more by pairs of stripes, three for each stripe, which about 1e-10 of the links don't share.
+   ``LOOSE`` rows are dealt once more by pairs of stripes, three for each stripe, which about 1e-5 of the links
+   at the threshold don't share, as pairs have stripes in common.
 3. Connected fingerprints give blocks. A block of more rows than ``CHUNK`` is cut into chunks; each chunk is multiplied
    with itself and with one leading row, and only rows without a link to that leader go on to be multiplied
    with the other chunks. In a task, columns with one row are dropped and the rest is multiplied in
