@@ -310,20 +310,22 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
         for batch in batches:
             for rows, h, counts in _sets(batch, words):
                 a, b = _set_keys(h, counts)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(t.step(np.maximum(counts, 1)).astype(np.int32)), pa.array(a), pa.array(b)], ["doc_id", "n", "step", "a", "b"])
             common.release()
 
-    per_doc = common.checkpointed(docs.mapInArrow(describe, "doc_id long, n long, a long, b long"))
-    classes = common.checkpointed(per_doc.filter("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
+    per_doc = common.checkpointed(docs.mapInArrow(describe, "doc_id long, n long, step int, a long, b long"))
+    classes = common.checkpointed(per_doc.filter("n > 0 and doc_id is not null").groupBy("a", "b", "n", "step").agg(F.min("doc_id").alias("rep")))
     n_rows, n_classes = per_doc.count(), classes.count()
     repeated = not per_doc.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty()
     job = Job(docs, words, t, n_classes)
 
-    # Texts are shuffled to leave copies out only where most rows are copies.
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    given = docs.join(F.broadcast(reps), "doc_id", "left_semi") if n_classes <= SEND_ROWS else docs.join(reps, "doc_id", "left_semi") if n_classes * 2 < n_rows else docs.filter("doc_id is not null")
+    # Copies share their fingerprints, and of each batch only one row of a fingerprint goes on. Where most rows are copies, only
+    # representatives are read; their texts are shuffled if there are many.
+    given = docs.filter("doc_id is not null")
+    if n_classes * 2 < n_rows:
+        given = job.texts(classes.select(F.col("rep").alias("doc_id")).distinct(), n_classes)
     blocks = common.checkpointed(job.meeting(given, lambda h, counts: fingerprints(h, counts, t)))
-    placed = lambda b: classes.join(b.withColumnRenamed("node", "a"), "a").select(F.col("rep").alias("doc_id"), "a", "b", "n", "component")
+    placed = lambda b: classes.join(b.withColumnRenamed("node", "a"), "a").select(F.col("rep").alias("doc_id"), "a", "b", "n", "step", "component")
     rows = _sized(placed(blocks), chunk)
     big = rows.filter("large").select("doc_id")
     n_big = big.count()
@@ -364,10 +366,6 @@ def _large(job: Job, rows: DataFrame, t: Threshold, repeated: bool, chunk: int,
     n_large = rows.count()
     if not n_large:
         return []
-    step = F.lit(0)
-    for low in t.lows[1:-3].tolist():
-        step = step + (F.col("n") >= low).cast("int")
-    rows = rows.withColumn("step", step)
     held = rows.groupBy("component", "step").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int").alias("chunks"))
     rows = common.checkpointed(rows.join(held, ["component", "step"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "a"), F.col("chunks")).cast("int")).select("doc_id", "a", "b", "n", "component", "step", "chunk"))
     chunks = common.checkpointed(held.select("component", "step", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
