@@ -1,12 +1,24 @@
 """HTML extraction by union-free regular-expression inference.
 
-Pages become token streams: tags with their class and id words, and texts. From all pages of a host
+Pages become token streams: tags with their class and id words (numbers in them don't count), and texts. From all pages of a host
 a wrapper is inferred: each page's stream is folded, so that a part that follows itself becomes a
 repeated group; then the wrapper of the first page is aligned with the others one by one. Texts that differ become slots,
-tags on one side only become optional groups, groups are aligned inside. A wrapper so has constants, slots, ``( )?`` and
-``( )+``, and no unions. Its parts are labelled once: each is main text or not, from the element it is in (``roles``) and, where a host's pages
-name no article, from where its slots vary. Where elements mark main parts, these rules alone decide on a page's text; else
-the constants that all pages of the host share go, compared by digests of whole texts. Constants of optional parts stay.
+parts on one side only become optional groups, groups are aligned inside. A wrapper so has constants, slots, ``( )?`` and
+``( )+``, and no unions.
+
+The wrapper's parts are labelled once (``Wrapper``), from the names of elements, the words and the mass of the text in
+its slots: a part is main text or not. A page is then matched with its host's wrapper, and its text is what matches slots
+and constants labelled as main text:
+
+* Elements of ``OUT_TAGS`` or ``OUT_WORDS`` are out.
+* Main parts are those marked as article, main or by a content word; an article counts only if it has a quarter of the mass of the
+  other text that isn't out. Where nothing is marked, the whole page is a main part, but lists whose text is all in links.
+* A block that is the same constant on all pages is the template's if the slots of the main part hold most text: ``MARKED`` times the
+  constants' on at least ``MARKED_PAGES`` pages in marked parts, as much as them elsewhere. So pages that are copies but for a date stay.
+
+A page without any of the wrapper's main parts is labelled by the wrapper inferred from itself; a part of a page that the wrapper doesn't hold
+goes by the part around it. Elements nested deeper than ``DEEPEST`` are read in line with the one at that depth; a wrapper
+takes up no more than ``WIDEST`` parts of one element from other pages. Neither drops text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Null html and
 pages without main text give an empty text. A null url counts as a host of its own name, ''. One row for each row.
@@ -18,7 +30,8 @@ import hashlib
 import html
 import json
 import re
-from collections import OrderedDict
+from bisect import bisect_left, bisect_right
+from collections import Counter, OrderedDict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +43,10 @@ from lodestone.llm import common
 BUCKETS = 256
 #: Wrappers of at most so many bytes in all are sent to every executor; above, pages are joined with their host's wrapper.
 SEND_BYTES = 32 << 20
+DEEPEST, WIDEST = 64, 2_000
+MARKED, MARKED_PAGES = 4, 5
+#: Two lists of parts are aligned in full if the product of their lengths is at most this.
+CELLS = 10_000
 
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +69,8 @@ ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+NUMBER = re.compile(r"\d+")
+
 # A token is a tuple: ("o", tag, words) opens, ("c", tag) closes, ("t", text) is text, ("b",) breaks a line.
 
 
@@ -59,16 +78,16 @@ def tokens(page: str) -> list[tuple]:
     """The page's tokens, with end tags where HTML leaves them out."""
     out: list[tuple] = []
     stack: list[str] = []
+    open_: Counter[str] = Counter()
     at, n = 0, len(page)
 
     def text(s: str) -> None:
-        if s and not s.isspace():
-            out.append(("t", s))
-        elif s:
-            out.append(("t", " "))
+        if s:
+            out.append(("t", " " if s.isspace() else s))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
+            open_[stack[-1]] -= 1
             out.append(("c", stack.pop()))
 
     while at < n:
@@ -83,15 +102,15 @@ def tokens(page: str) -> list[tuple]:
             continue
         tag = tag.lower()
         if page[m.start() + 1] == "/":
-            if tag == "p" and "p" not in stack:
+            if tag == "p" and not open_["p"]:
                 continue
-            if tag in stack:
+            if open_[tag]:
                 close(len(stack) - 1 - stack[::-1].index(tag))
             continue
         if tag == "br":
             out.append(("b",))
             continue
-        if tag in CLOSES_P and "p" in stack:
+        if tag in CLOSES_P and open_["p"]:
             k = len(stack) - 1 - stack[::-1].index("p")
             if not any(s in ("button", "td", "th", "table", "object", "caption") for s in stack[k:]):
                 close(k)
@@ -111,12 +130,13 @@ def tokens(page: str) -> list[tuple]:
                     found += value.lower().split()
                 elif name == "hidden" or name == "style" and HIDDEN.search(value):
                     found.append("hidden!")
-            words = tuple(sorted(set(found)))
+            words = tuple(sorted({NUMBER.sub("#", w) for w in found}))
         out.append(("o", tag, words))
         if tag in VOID or m[0].endswith("/>") and tag not in BLOCKS:
             out.append(("c", tag))
             continue
         stack.append(tag)
+        open_[tag] += 1
         if tag in RAW:
             e = RAW_END[tag].search(page, at)
             at = e.end() if e else n
@@ -126,92 +146,158 @@ def tokens(page: str) -> list[tuple]:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper is a list of parts: ["k", token] constant, ["s"] slot, ["?", parts] optional, ["+", parts] repeated.
-
-
-def shape(t: tuple) -> tuple:
-    return ("t",) if t[0] == "t" else t
+# Parts of a wrapper: ["e", tag, words, parts] element, ["t", digest, letters] text (a slot if the digest is null, with the
+# letters of all pages), ["b"] line break, ["n"] end of a block in line, ["?", parts] optional, ["+", parts] repeated.
+# White space between tags is no part.
 
 
 def elements(ts: list[tuple]) -> list:
     """The stream as a forest: texts and breaks, and (opening token, children)."""
     root: list = []
-    stack = [root]
+    stack, deeper, skip = [root], [], 0
     for t in ts:
         if t[0] == "o":
-            node = (t, [])
-            stack[-1].append(node)
-            stack.append(node[1])
+            if len(stack) <= DEEPEST and not deeper:
+                node = (t, [])
+                stack[-1].append(node)
+                stack.append(node[1])
+                continue
+            out = skip or role(t[1], t[2], True) == "out"
+            deeper.append((t[1], bool(out)))
+            skip += bool(out)
+            if not skip and t[1] in BLOCKS:
+                stack[-1].append(("n",))
         elif t[0] == "c":
-            if len(stack) > 1:
+            if deeper:
+                tag, out = deeper.pop()
+                skip -= out
+                if not skip and tag in BLOCKS:
+                    stack[-1].append(("n",))
+            elif len(stack) > 1:
                 stack.pop()
-        else:
+        elif not skip:
             stack[-1].append(t)
     return root
 
 
+def is_element(x: tuple) -> bool:
+    return len(x) == 2 and isinstance(x[1], list)
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def first_wrapper(forest: list) -> list:
-    """A page as a wrapper of constants, elements ["e", token, parts], and repeated groups."""
-    return fold([["e", x[0], first_wrapper(x[1])] if len(x) == 2 and isinstance(x[1], list) else ["k", x] for x in forest])
+    """A page as a wrapper of constants, elements and repeated groups."""
+    out = []
+    for x in forest:
+        if is_element(x):
+            out.append(["e", x[0][1], " ".join(x[0][2]), first_wrapper(x[1])])
+        elif x[0] != "t":
+            out.append([x[0]])
+        elif x[1] != " ":
+            out.append(["t", digest(x[1]), len(x[1])])
+    return fold(out)
 
 
-def same(a: list, b: list) -> bool:
-    """Whether two parts can be one part of a wrapper."""
-    if a[0] in "+?" and len(a[1]) == 1:
-        a = a[1][0]
-    if b[0] in "+?" and len(b[1]) == 1:
-        b = b[1][0]
-    if a[0] == "e" and b[0] == "e":
-        return a[1] == b[1]
-    text = lambda p: p[0] == "s" or p[0] == "k" and p[1][0] == "t"
-    if text(a) and text(b):
-        return True
-    return a[0] == "k" and b[0] == "k" and a[1] == b[1]
+def key(p: list) -> tuple:
+    """Parts with the same key can be one part of a wrapper."""
+    while p[0] in "?+" and len(p[1]) == 1:
+        p = p[1][0]
+    return (p[1], p[2]) if p[0] == "e" else (p[0], *map(key, p[1])) if p[0] in "?+" else (p[0],)
 
 
 def fold(parts: list, longest: int = 4) -> list:
     """Parts that follow themselves become a repeated group, the shortest first."""
     for size in range(1, longest + 1):
-        out, i = [], 0
+        keys, out, i = [key(p) if p[0] == "e" else None for p in parts], [], 0
+        if len(parts) < 2 * size:
+            break
         while i < len(parts):
-            unit = parts[i : i + size]
-            j = i + size
-            if len(unit) == size and all(p[0] == "e" for p in unit):
-                merged = None
-                while j + size <= len(parts) and all(same(a, b) for a, b in zip(unit, parts[j : j + size], strict=True)):
-                    merged = align(merged or unit, parts[j : j + size])
+            unit, j, merged = keys[i : i + size], i + size, None
+            if None not in unit:
+                while keys[j : j + size] == unit:
+                    merged = align(merged or parts[i : i + size], parts[j : j + size])
                     j += size
-                if merged is not None:
-                    out.append(["+", merged])
-                    i = j
-                    continue
-            out.append(parts[i])
-            i += 1
+            if merged is None:
+                out.append(parts[i])
+                i += 1
+            else:
+                out.append(["+", merged])
+                i = j
         parts = out
     return parts
 
 
+def common_parts(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two lists of keys: a longest one where they are short, else around keys that are unique."""
+    start, n, m = 0, len(a), len(b)
+    while start < n and start < m and a[start] == b[start]:
+        start += 1
+    while n > start and m > start and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    ends = [(i, i) for i in range(start)], [(n + k, m + k) for k in range(len(a) - n)]
+    return ends[0] + _between(a, b, start, n, start, m) + ends[1]
+
+
+def _between(a: list, b: list, s: int, n: int, z: int, m: int) -> list[tuple[int, int]]:
+    if (n - s) * (m - z) <= CELLS:
+        best = [[0] * (m - z + 1) for _ in range(n - s + 1)]
+        for i in range(n - 1, s - 1, -1):
+            row, below = best[i - s], best[i - s + 1]
+            for j in range(m - 1, z - 1, -1):
+                row[j - z] = below[j - z + 1] + 1 if a[i] == b[j] else max(below[j - z], row[j - z + 1])
+        out, i, j = [], s, z
+        while i < n and j < m:
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i - s + 1][j - z] >= best[i - s][j - z + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+    own, other = Counter(a[s:n]), Counter(b[z:m])
+    where = {k: j for j, k in enumerate(b[z:m], z) if other[k] == 1}
+    single = [(i, where[a[i]]) for i in range(s, n) if own[a[i]] == 1 and a[i] in where]
+    tails, ends, before = [], [], []  # longest increasing subsequence of their places
+    for k, (_, j) in enumerate(single):
+        at = bisect_left(tails, j)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(single[k])
+        k = before[k]
+    if not chain:
+        out, j = [], z  # next place of the same key nearby
+        for i in range(s, n):
+            near = next((q for q in range(j, min(m, j + 16)) if b[q] == a[i]), None)
+            if near is not None:
+                out.append((i, near))
+                j = near + 1
+        return out
+    out, i, j = [], s, z
+    for x, y in [*chain[::-1], (n, m)]:
+        if i < x and j < y:
+            out += _between(a, b, i, x, j, y)
+        if x < n:
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out
+
+
 def align(a: list, b: list) -> list:
-    """The wrapper that both match: longest common parts are merged, the rest is optional."""
-    n, m = len(a), len(b)
-    if n == m and all(same(x, y) for x, y in zip(a, b, strict=True)):
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same(a[i], b[j]) else 0)
+    """The wrapper that both match: parts in common are merged, the rest is optional."""
     out, i, j = [], 0, 0
-    while i < n and j < m:
-        if same(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
-            i += 1
-        else:
-            out.append(optional(b[j]))
-            j += 1
-    return out + [optional(x) for x in a[i:]] + [optional(x) for x in b[j:]]
+    for x, y in [*common_parts([key(p) for p in a], [key(p) for p in b]), (len(a), len(b))]:
+        out += [optional(p) for p in a[i:x]]
+        out += [optional(p) for p in b[j:y]] if len(out) < WIDEST else []
+        if x < len(a):
+            out.append(merge(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out
 
 
 def optional(x: list) -> list:
@@ -219,23 +305,31 @@ def optional(x: list) -> list:
 
 
 def merge(a: list, b: list) -> list:
-    """One part for two that are the same."""
+    """One part for two of the same key."""
     for mark in "?+":
         if a[0] == mark or b[0] == mark:
             inner = align(a[1] if a[0] == mark else [a], b[1] if b[0] == mark else [b])
             return [mark, [x[1][0] if x[0] == mark and len(x[1]) == 1 else x for x in inner]]
     if a[0] == "e":
-        return ["e", a[1], align(a[2], b[2])]
-    if a == b:
-        return a
-    return ["s"]
+        return ["e", a[1], a[2], align(a[3], b[3])]
+    if a[0] == "t":
+        return ["t", a[1] if a[1] == b[1] else None, a[2] + b[2]]
+    return a
+
+
+def infer(pages: list[str]) -> list:
+    wrapper = None
+    for page in pages:
+        own = first_wrapper(elements(tokens(page)))
+        wrapper = own if wrapper is None else align(wrapper, own)
+    return wrapper or []
 
 
-# ---------------------------------------------------------------- roles
+# ---------------------------------------------------------------- labels
 
 
 def role(tag: str, words: tuple[str, ...], inside: bool) -> str:
-    """"out" (no main text), "main" (a main part starts) or "" (as the element around it)."""
+    """"out" (no main text), "article", "main" or "named" (a main part starts) or "" (as the element around it)."""
     if tag in OUT_TAGS or "hidden!" in words:
         return "out"
     if tag == "header" and not inside:
@@ -243,8 +337,8 @@ def role(tag: str, words: tuple[str, ...], inside: bool) -> str:
     for w in words if tag not in ("html", "body") else ():
         if w in OUT_WORDS or not inside and w in HEADERS:
             return "out"
-        if "-" in w or "_" in w:
-            bits = re.split(r"[-_]+", w)
+        if "-" in w or "_" in w or "#" in w:
+            bits = re.split(r"[-_#]+", w)
             if not OUT_WORDS.isdisjoint(bits) and MAIN_WORDS.isdisjoint((w,)):
                 return "out"
     if tag in ("article", "main"):
@@ -254,172 +348,211 @@ def role(tag: str, words: tuple[str, ...], inside: bool) -> str:
     return ""
 
 
-def size_of(part: list, outside: bool = False) -> int:
-    """Slots and constants of text below a part that aren't out; repeated groups count several times."""
-    if part[0] == "s":
-        return 2
-    if part[0] == "k":
-        return int(part[1][0] == "t" and not part[1][1].isspace())
-    if part[0] == "e":
-        return 0 if role(part[1][1], part[1][2], True) == "out" else sum(map(size_of, part[2]))
-    return sum(map(size_of, part[1])) * (3 if part[0] == "+" else 1)
-
-
-def constants(parts: list) -> frozenset[str]:
-    """Texts (or their digests) that all pages of a wrapper share, where the others differ: a template's, as nothing marks the main part."""
-    kept, slots = set(), 0
-
-    def walk(parts: list, optional: bool) -> None:
-        nonlocal slots
-        for p in parts:
-            if p[0] == "s":
-                slots += 1
-            elif p[0] == "k" and p[1][0] == "t" and not p[1][1].isspace() and not optional:
-                kept.add(p[1][1])
-            elif p[0] == "e":
-                walk(p[2], optional)
-            elif p[0] in "?+":
-                walk(p[1], True)
-
-    walk(parts, False)
-    return frozenset(kept) if slots else frozenset()
-
-
-def main_rank(wrapper: list) -> str:
-    """What marks main parts: the strongest of article, main, named; "" if nothing does."""
-    found = marks_of(wrapper)
-    return next((r for r in ("article", "main", "named") if r in found), "")
+def said(p: list, inside: bool) -> str:
+    return role(p[1], tuple(p[2].split(" ")) if p[2] else (), inside)
 
 
-def marks_of(wrapper: list) -> set[str]:
-    found: set[str] = set()
-
-    def walk(parts: list) -> None:
+def masses(parts: list, inside: bool, found: Counter, linked: bool = False) -> None:
+    """Letters in parts that aren't out: all, in links, and below each mark."""
+    for p in parts:
+        if p[0] == "t":
+            found["all"] += p[2]
+            found["links"] += p[2] if linked else 0
+        elif p[0] == "e":
+            r = said(p, inside)
+            if r == "out":
+                continue
+            before = found["all"]
+            masses(p[3], inside or bool(r), found, linked or p[1] == "a")
+            if r:
+                found[r] += found["all"] - before
+        elif p[0] in "?+":
+            masses(p[1], inside, found, linked)
+
+
+def main_rank(parts: list) -> str:
+    """What marks main parts: article, main or a content word; "" if nothing with text does."""
+    found: Counter = Counter()
+    masses(parts, False, found)
+    widest = max(found["main"], found["named"])
+    if found["article"] and 4 * found["article"] >= widest:
+        return "article"
+    return "main" if found["main"] and 4 * found["main"] >= found["named"] else "named" if found["named"] else ""
+
+
+class Level:
+    """Labelled parts of one element of a wrapper, in a row; those of a repeated group are followed by its first."""
+
+    def __init__(self, parts: list, wrapper: Wrapper, main: bool) -> None:
+        self.items: list[tuple] = []  # (key, required, label, level)
+        self.back: list[int] = []
+        self.end: list[int] = []
+        self._add(parts, wrapper, main, True, None)
+        self.at: dict[tuple, list[int]] = {}
+        for i, x in enumerate(self.items):
+            self.at.setdefault(x[0], []).append(i)
+        self.required = {k: [i for i in v if self.items[i][1]] for k, v in self.at.items()}
+        self.plain = all(len(v) == 1 for v in self.at.values())
+
+    def _add(self, parts: list, wrapper: Wrapper, main: bool, required: bool, group: int | None) -> None:
         for p in parts:
-            if p[0] == "e":
-                r = role(p[1][1], p[1][2], False)
-                if r == "out":
-                    continue
-                if r and sum(map(size_of, p[2])):
-                    found.add(r)
-                walk(p[2])
-            elif p[0] in "?+":
-                walk(p[1])
-
-    walk(wrapper)
-    return found
+            if p[0] in "?+":
+                first = len(self.items)
+                top = first if group is None and p[0] == "+" else group
+                self._add(p[1], wrapper, main, required and p[0] == "+", top)
+                if p[0] == "+" and group is None:
+                    for i in range(first, len(self.items)):
+                        self.back[i], self.end[i] = first, len(self.items)
+                continue
+            n = len(self.items)
+            self.back.append(n)
+            self.end.append(n)
+            self.items.append((key(p), required, *wrapper.label(p, main)))
+
+    def match(self, nodes: list) -> list[tuple | None]:
+        """The wrapper's part (label, level) for each node, or none: the nearest one that follows, or one of the same repeated group."""
+        keys = [(x[0][1], " ".join(x[0][2])) if is_element(x) else None if x[0] == "t" and x[1] == " " else (x[0],) for x in nodes]
+        left = Counter(keys) if not self.plain else None
+        out, pos = [], -1
+        for k in keys:
+            places = self.at.get(k)
+            if not places:
+                out.append(None)
+                continue
+            hit = None
+            if pos >= 0 and self.end[pos] > pos:
+                within = bisect_right(places, pos)
+                if within < len(places) and places[within] < self.end[pos]:
+                    hit = places[within]
+                else:
+                    again = bisect_left(places, self.back[pos])
+                    hit = places[again] if again < len(places) and places[again] <= pos else None
+            if hit is None:
+                after = bisect_right(places, pos)
+                if after < len(places):
+                    hit = places[after]
+                    if left is not None and not self.items[hit][1]:
+                        must = self.required[k]
+                        q = bisect_right(must, pos)
+                        if q < len(must) and left[k] <= len(must) - q:
+                            hit = must[q]
+            if left is not None:
+                left[k] -= 1
+            if hit is None:
+                out.append(None)
+            else:
+                pos = hit
+                out.append(self.items[hit][2:])
+        return out
 
 
 class Wrapper:
-    """A host's wrapper, with a cache of what was read off it."""
+    """A host's wrapper with labels: "out", "main" (text of the page) or "" (main parts may be inside)."""
 
-    def __init__(self, parts: list) -> None:
-        self.parts = parts
+    def __init__(self, parts: list, pages: int = 1) -> None:
         self.rank = main_rank(parts)
-        self.fixed = constants(parts) if not self.rank else frozenset()
-        self.known: dict[tuple, tuple[str, frozenset[str]]] = {}
+        self.drop: set[int] = set()
+        self._template(parts, pages)
+        self.level = Level(parts, self, not self.rank)
+
+    def _template(self, parts: list, pages: int) -> None:
+        """Blocks of required constants in main parts, if slots hold most of the text there."""
+        slots, held, blocks = 0, 0, []
+
+        def walk(parts: list, main: bool, sure: bool, block: list) -> None:
+            nonlocal slots, held
+            for p in parts:
+                if p[0] == "e":
+                    r = said(p, main)
+                    if r == "out":
+                        continue
+                    inner = main or r == self.rank
+                    if p[1] in BLOCKS:
+                        blocks.append([])
+                        walk(p[3], inner, sure, blocks[-1])
+                        blocks.append(block := [])
+                    else:
+                        walk(p[3], inner, sure, block)
+                elif p[0] in "?+":
+                    walk(p[1], main, sure and p[0] == "+", block)
+                elif p[0] == "t" and main:
+                    block.append((p, sure and p[1] is not None))
+                    if p[1] is None:
+                        slots += p[2]
+                    else:
+                        held += p[2] if sure else 0
+                elif p[0] == "n":
+                    blocks.append(block := [])
+
+        blocks.append([])
+        walk(parts, not self.rank, True, blocks[-1])
+        if slots >= (MARKED * held if self.rank else max(held, 1)) and (not self.rank or pages >= MARKED_PAGES):
+            self.drop = {id(p) for b in blocks if all(same for _, same in b) for p, _ in b}
+
+    def label(self, p: list, main: bool) -> tuple:
+        if p[0] == "t":
+            return ("main" if main and id(p) not in self.drop else "out", None)
+        if p[0] != "e":
+            return ("main" if main else "", None)
+        r = said(p, main)
+        if r == "out" or not self.rank and self._menu(p):
+            return ("out", None)
+        inner = main or r == self.rank
+        return ("main" if inner else "", Level(p[3], self, inner))
+
+    @staticmethod
+    def _menu(p: list) -> bool:
+        """A list of links, and nothing else."""
+        if p[1] not in ("ul", "ol", "dl"):
+            return False
+        found: Counter = Counter()
+        masses(p[3], True, found)
+        return found["all"] > 0 and found["all"] == found["links"]
 
     def read(self, page: str | None) -> str:
         forest = elements(tokens(page or ""))
-        skeleton = outline(forest)
-        if skeleton not in self.known:
-            if len(self.known) > 2000:
-                self.known.clear()
-            own = first_wrapper(forest)
-            # Main parts are those that the wrapper names; a page that leaves them all out goes by its own.
-            marks = marks_of(own)
-            self.known[skeleton] = self.rank if self.rank in marks else main_rank(own), self.fixed
-        return main_text(forest, *self.known[skeleton])
-
-
-def outline(forest: list) -> tuple:
-    """Shape of a page; equal neighbours count once."""
-    out: list = []
-    for x in forest:
-        s = (x[0][1], x[0][2], outline(x[1])) if len(x) == 2 and isinstance(x[1], list) else x[0]
-        if not out or out[-1] != s:
-            out.append(s)
-    return tuple(out)
-
-
-def matches(wrapper: list, parts: list) -> bool:
-    """Whether the wrapper generates the page; texts match any slot or constant text."""
-    i = 0
-    for p in wrapper:
-        if i < len(parts) and fits(p, parts[i]):
-            i += 1
-        elif p[0] != "?":
-            return False
-    return i == len(parts)
-
-
-def fits(w: list, p: list) -> bool:
-    if w[0] in "?+" and len(w[1]) == 1:
-        return fits(w[1][0], p)
-    if p[0] in "?+" and len(p[1]) == 1:
-        return fits(w, p[1][0])
-    if w[0] in "?+" or p[0] in "?+":
-        return w[0] == p[0] and matches(w[1], p[1])
-    if w[0] == "e":
-        return p[0] == "e" and w[1] == p[1] and matches(w[2], p[2])
-    return same(w, p)
-
-
-def main_text(forest: list, rank: str, fixed: frozenset[str] = frozenset()) -> str:
-    """The text of the parts that the wrapper calls main, block by block."""
-    blocks: list[str] = []
-    line: list[str] = []
-
-    def end() -> None:
-        s = " ".join(html.unescape("".join(line)).split())
-        if s:
-            blocks.append(s)
-        line.clear()
-
-    def walk(nodes: list, inside: bool) -> None:
-        for x in nodes:
-            if len(x) == 2 and isinstance(x[1], list):
-                _, tag, words = x[0]
-                r = role(tag, words, inside)
-                if r == "out":
-                    if tag in BLOCKS:
+        text = self._text(forest)
+        return Wrapper(first_wrapper(forest))._text(forest, True) if text is None else text
+
+    def _text(self, forest: list, own: bool = False) -> str | None:
+        """The text that matches parts labelled as main text; none if the page has no main part of the wrapper."""
+        blocks: list[str] = []
+        line: list[str] = []
+        found = not self.rank or own
+
+        def end() -> None:
+            s = " ".join(html.unescape("".join(line)).split())
+            if s:
+                blocks.append(s)
+            line.clear()
+
+        def walk(nodes: list, level: Level | None, main: bool) -> None:
+            nonlocal found
+            for x, hit in zip(nodes, level.match(nodes) if level else [None] * len(nodes), strict=True):
+                if is_element(x):
+                    _, tag, words = x[0]
+                    if hit:
+                        label, inner = hit
+                    else:
+                        r, inner = role(tag, words, main), None
+                        full = level is not None and len(level.items) >= WIDEST and r and r == self.rank
+                        label = "out" if r == "out" else "main" if main or full else ""
+                    block = tag in BLOCKS
+                    if block:
                         end()
-                    continue
-                block = tag in BLOCKS
-                if block:
+                    if label != "out":
+                        found = found or label == "main"
+                        walk(x[1], inner, label == "main")
+                        if block:
+                            end()
+                elif x[0] == "n":
                     end()
-                walk(x[1], inside or not rank or r == rank)
-                if block:
-                    end()
-            elif (inside or not rank) and not (fixed and x[0] == "t" and digest(x[1]) in fixed):
-                line.append(x[1] if x[0] == "t" else " ")
-
-    walk(forest, not rank)
-    end()
-    return "\n".join(blocks)
-
-
-def infer(pages: list[str]) -> list:
-    wrapper = None
-    for page in pages:
-        own = first_wrapper(elements(tokens(page)))
-        wrapper = own if wrapper is None else align(wrapper, own)
-    return wrapper or []
-
-
-def digest(text: str) -> str:
-    """What stands for a constant text in a wrapper: white space stays, so that blank texts are known."""
-    return " " if text.isspace() else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-
-
-def slim(parts: list) -> list:
-    """A wrapper as it is stored: digests of whole texts for constant texts."""
-    return [["k", ("t", digest(p[1][1]))] if p[0] == "k" and p[1][0] == "t" else ["e", p[1], slim(p[2])] if p[0] == "e" else [p[0], slim(p[1])] if p[0] in "?+" else p for p in parts]
-
+                elif hit[0] == "main" if hit else main:
+                    line.append(x[1] if x[0] == "t" else " ")
 
-def revive(parts: list) -> list:
-    """The wrapper from its JSON form."""
-    return [["k", tuple(p[1])] if p[0] == "k" else ["e", (p[1][0], p[1][1], tuple(p[1][2])), revive(p[2])] if p[0] == "e" else [p[0], revive(p[1])] if p[0] in "?+" else p for p in parts]
+        walk(forest, self.level, not self.rank)
+        end()
+        return "\n".join(blocks) if found else None
 
 
 def host_of(url: str = "url"):
@@ -432,47 +565,47 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     def fold_all(batches):
         for batch in batches:
-            own = [json.dumps(slim(first_wrapper(elements(tokens(p)))), ensure_ascii=False) for p in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(own, pa.string())], ["host", "wrapper"])
+            own = [json.dumps(first_wrapper(elements(tokens(p)))) for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(own, pa.string()), pa.array([1] * len(own), pa.int64())], ["host", "wrapper", "pages"])
 
     def align_all(batches):
-        """Rows come sorted by host and bucket: one wrapper for each."""
-        at, last, wrapper = None, None, None
+        """Rows come sorted by host and bucket: one wrapper for each. Equal pages count once."""
+        at, last, wrapper, n = None, None, None, 0
         done: list[tuple] = []
         for batch in batches:
-            for host, b, own in zip(*(batch.column(c).to_pylist() for c in ("host", "b", "wrapper")), strict=True):
+            for host, b, own, k in zip(*(batch.column(c).to_pylist() for c in ("host", "b", "wrapper", "pages")), strict=True):
                 if (host, b) != at:
                     if at is not None:
-                        done.append((*at, json.dumps(wrapper, ensure_ascii=False)))
-                    at, wrapper = (host, b), revive(json.loads(own))
+                        done.append((*at, json.dumps(wrapper), n))
+                    at, wrapper, n = (host, b), json.loads(own), k
                 elif own != last:
-                    wrapper = align(wrapper, revive(json.loads(own)))
+                    wrapper, n = align(wrapper, json.loads(own)), n + k
                 last = own
             yield table_of(done)
             done = []
-        yield table_of([] if at is None else [(*at, json.dumps(wrapper, ensure_ascii=False))])
+        yield table_of([] if at is None else [(*at, json.dumps(wrapper), n)])
 
     def table_of(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["host", "b", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], ["host", "b", "wrapper", "pages"])
 
     def aligned(frame: DataFrame) -> DataFrame:
-        return frame.repartition("host", "b").sortWithinPartitions("host", "b", "wrapper").mapInArrow(align_all, "host string, b int, wrapper string")
+        return frame.repartition("host", "b").sortWithinPartitions("host", "b", "wrapper").mapInArrow(align_all, "host string, b int, wrapper string, pages long")
 
     # Every page of a host counts: aligned in buckets by hash, then the buckets' wrappers with each other.
-    folded = rows.filter("html is not null").select("host", "html").mapInArrow(fold_all, "host string, wrapper string")
+    folded = rows.filter("html is not null").select("host", "html").mapInArrow(fold_all, "host string, wrapper string, pages long")
     parts = aligned(folded.withColumn("b", F.pmod(F.xxhash64("wrapper"), F.lit(BUCKETS)).cast("int")))
-    learned = common.checkpointed(aligned(parts.withColumn("b", F.lit(0))).select(F.col("host").alias("h"), "wrapper"))
+    learned = common.checkpointed(aligned(parts.withColumn("b", F.lit(0))).select(F.col("host").alias("h"), "wrapper", "pages"))
     total = learned.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(learned) if total <= SEND_BYTES else learned, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
+    joined = rows.join(F.broadcast(learned) if total <= SEND_BYTES else learned, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper", "pages")
 
     def run(batches):
         known: OrderedDict[str, Wrapper] = OrderedDict()
         for batch in batches:
             out = []
-            for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            for page, wrapper, n in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "pages")), strict=True):
                 w = known.get(wrapper or "[]")
                 if w is None:
-                    w = known[wrapper or "[]"] = Wrapper(revive(json.loads(wrapper or "[]")))
+                    w = known[wrapper or "[]"] = Wrapper(json.loads(wrapper or "[]"), n or 0)
                     if len(known) > 500:
                         known.popitem(last=False)
                 out.append(w.read(page))
