@@ -3,10 +3,12 @@
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum,
 over all ways to cut it into pieces, of the product of the pieces' probabilities (forward algorithm); a text's is the product over
 its words. Words are runs of letters in lower case, with the vocabulary's mark for a word's start in front; letters that the
-vocabulary doesn't hold cost ``FLOOR``. Runs of over ``PART`` letters count as words of that many.
+vocabulary doesn't hold cost ``FLOOR``. Words of any length are summed over all their segmentations: those of up to ``SHORT`` letters
+many at a time, longer ones (as in scripts without spaces) one by one in logarithms.
 
 Training is expectation maximisation on at most about ``sample`` labelled rows a language (all rows when there are
-fewer), chosen by hash; the piece counts are summed on the executors, and only (languages x pieces) numbers reach the driver.
+fewer), chosen by hash; every language that occurs is learned. The piece counts are summed on the executors, and only
+(languages x pieces) numbers reach the driver.
 
 Null text or one without a letter: language ``und``, score 0. No labelled row: all are ``und``. Rows are
 returned one for one, repeated ones too.
@@ -29,8 +31,11 @@ from lodestone.llm import common
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UND = "und"
 FLOOR = 1e-8
-PART = 31
-LETTERS = re.compile(rf"[^\W\d_]{{1,{PART}}}")
+#: Letters of a word that is one of many in an array.
+SHORT = 31
+#: Bytes of the scores of words that a task keeps.
+KEPT_BYTES = 128 << 20
+LETTERS = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +49,7 @@ def pieces_of(path: str = VOCABULARY) -> list[str]:
 
 
 def words_in(text: str | None) -> list[str]:
-    """The runs of letters in lower case, long ones in parts."""
+    """The runs of letters in lower case."""
     return LETTERS.findall((text or "").lower())
 
 
@@ -129,6 +134,54 @@ def forward(lattice: Lattice, words: list[str], p: np.ndarray, keep: bool = Fals
     return (a, arcs) if keep else a[-1]
 
 
+def _long_arcs(lattice: Lattice, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece) of all pieces in one word, by end."""
+    codes = np.concatenate([np.array([ord("▁")], np.uint64), _codes([word])[0]])
+    at, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+    for size in range(1, lattice.longest + 1):
+        at, h = at[at + size <= len(codes)], h[: np.searchsorted(at, len(codes) - size, "right")]
+        h = (h + codes[at + size - 1] + np.uint64(1)) * _MUL
+        h ^= h >> np.uint64(29)
+        piece = lattice.find(h)
+        use = np.ones(len(at), bool) if size == 1 else piece < lattice.size
+        found.append((at[use], at[use] + size, np.minimum(piece[use], lattice.size)))
+        open_ = piece != lattice.size
+        at, h = at[open_], h[open_]
+    i, j, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((i, j))
+    return i[order], j[order], piece[order]
+
+
+def long_forward(lattice: Lattice, word: str, logs: np.ndarray) -> np.ndarray:
+    """``forward`` for one word of any length: logarithms of its probability in each language, from those of the pieces."""
+    i, j, piece = _long_arcs(lattice, word)
+    n = len(word) + 1
+    cuts = np.searchsorted(j, np.arange(1, n + 2))
+    a = np.zeros((n + 1, logs.shape[1]))
+    for k in range(1, n + 1):
+        arcs = slice(cuts[k - 1], cuts[k])
+        x = a[i[arcs]] + logs[piece[arcs]]
+        top = x.max(0)
+        a[k] = top + np.log(np.exp(x - top).sum(0))
+    return a[-1]
+
+
+def long_expected(lattice: Lattice, word: str, p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in one word of any length, forward and backward in logarithms."""
+    i, j, piece = _long_arcs(lattice, word)
+    n, w = len(word) + 1, np.log(p[piece])
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0
+    ends, starts = np.searchsorted(j, np.arange(1, n + 2)), np.argsort(i, kind="stable")
+    begins = np.searchsorted(i[starts], np.arange(0, n + 1))
+    for k in range(1, n + 1):
+        a[k] = np.logaddexp.reduce(a[i[ends[k - 1] : ends[k]]] + w[ends[k - 1] : ends[k]])
+    for k in range(n - 1, -1, -1):
+        own = starts[begins[k] : begins[k + 1]]
+        b[k] = np.logaddexp.reduce(b[j[own]] + w[own])
+    return np.bincount(piece, np.exp(a[i] + w + b[j] - a[n]), lattice.size + 1)
+
+
 def by_length(words: list[str]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for k, w in enumerate(words):
@@ -139,8 +192,12 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray | None) -> np.ndarray:
     """Expected number of uses of each piece (the last: unknown letters) in ``words``; without ``p``, of each place it fits."""
     out = np.zeros(lattice.size + 1)
-    for rows in by_length(words).values():
+    for length, rows in by_length(words).items():
         own, c = [words[k] for k in rows], counts[rows]
+        if length > SHORT:
+            for w, n in zip(own, c, strict=True):
+                out += n * (np.bincount(_long_arcs(lattice, w)[2], minlength=len(out)) if p is None else long_expected(lattice, w, p))
+            continue
         if p is None:
             for _, _, r, piece in lattice.arcs(own):
                 out += np.bincount(piece, c[r], len(out))
@@ -215,37 +272,52 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: in
 
 
 class Scorer:
-    """Log-likelihoods of texts; words that were scored are kept, at most ``most`` of them."""
+    """Log-likelihoods of texts; short words that were scored are kept, in at most ``KEPT_BYTES``."""
 
-    def __init__(self, model: Model, most: int = 400_000) -> None:
-        self.lattice, self.p, self.most = Lattice(model.pieces), model.p, most
+    def __init__(self, model: Model, most: int | None = None) -> None:
+        self.lattice, self.p = Lattice(model.pieces), model.p
+        self.log_p = np.log(model.p)
+        self.most = most or max(1_000, KEPT_BYTES // (8 * max(1, model.p.shape[1])))
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((1 << 14, model.p.shape[1]))
+        self.logs = np.zeros((min(self.most, 1 << 14), model.p.shape[1]))
 
     def learn(self, words: list[str]) -> None:
         start = len(self.known)
-        while len(self.logs) < start + len(words):
-            self.logs = np.vstack([self.logs, np.zeros_like(self.logs)])
+        if len(self.logs) < start + len(words):
+            more = max(start + len(words), min(2 * len(self.logs), self.most)) - len(self.logs)
+            self.logs = np.vstack([self.logs, np.zeros((more, self.logs.shape[1]))])
+        step = max(1, min(20_000, KEPT_BYTES // (8 * (SHORT + 2) * max(1, self.p.shape[1]))))
         for rows in by_length(words).values():
-            for s in range(0, len(rows), 20_000):
-                part = rows[s : s + 20_000]
+            for s in range(0, len(rows), step):
+                part = rows[s : s + step]
                 self.logs[start + np.array(part)] = np.log(np.maximum(forward(self.lattice, [words[k] for k in part], self.p), 1e-300))
         self.known.update(zip(words, range(start, start + len(words)), strict=True))
 
-    def texts(self, texts: list[str | None], run: int = 1_000) -> list[np.ndarray | None]:
-        out: list[np.ndarray | None] = []
-        for first in range(0, len(texts), run):
-            parts = [words_in(t) for t in texts[first : first + run]]
-            every = set(chain.from_iterable(parts))
-            fresh = [w for w in every if w not in self.known]
+    def text(self, words: list[str]) -> np.ndarray:
+        short = [w for w in words if len(w) <= SHORT]
+        total = np.zeros(self.p.shape[1])
+        for first in range(0, len(short), self.most):
+            part = short[first : first + self.most]
+            fresh = [w for w in dict.fromkeys(part) if w not in self.known]
             if len(self.known) + len(fresh) > self.most:
                 self.known.clear()
-                fresh = list(every)
+                fresh = list(dict.fromkeys(part))
             if fresh:
                 self.learn(fresh)
-            for ws in parts:
-                letters = any(c.isalpha() for w in ws for c in w)
-                out.append(self.logs[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(0) if letters else None)
+            total += self.logs[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(0)
+        for w in words:
+            if len(w) > SHORT:
+                total += long_forward(self.lattice, w, self.log_p)
+        return total
+
+    def texts(self, texts: list[str | None], run: int = 1_000) -> list[np.ndarray | None]:
+        out: list[np.ndarray | None] = []
+        for first in range(0, len(texts), run):
+            parts = [words_in(t) for t in texts[first : first + run]]
+            fresh = {w for w in chain.from_iterable(parts) if len(w) <= SHORT and w not in self.known}
+            if len(self.known) + len(fresh) <= self.most and fresh:  # all at once, else text by text
+                self.learn(list(fresh))
+            out += [self.text(ws) if ws else None for ws in parts]
         return out
 
 
