@@ -217,15 +217,17 @@ def test_language(spark):
     assert all(by[i].lang_pred == g for i, _, g in rows[:120]) and by[None].lang_pred == "xx"
     assert [by[i].lang_pred for i in (200, 201, 202)] == ["und"] * 3 and all(0 <= x.score <= 1 for x in got)
     assert lang_id.identify(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+    clash = spark.createDataFrame([(k, t, g, "x", 0.5) for k, t, g in rows[:40]], "doc_id bigint, text string, lang string, lang_pred string, score double")
+    assert lang_id.identify(clash).count() == 40 and {r.lang_pred for r in lang_id.classify(clash, lang_id.train(clash)).collect()} == {"xx", "yy"}
     assert lang_id.identify(spark.createDataFrame([(1, "the", None)], "doc_id bigint, text string, lang string")).first().lang_pred == "und"
 
 
 def test_every_language_is_learned(spark):
     vocabulary = lang_id.pieces_of(lang_id.VOCABULARY)
-    copies = [("the same text in all rows of it", "copied")] * 1000 + [("uno dos", f"l{k:03}") for k in range(510)]
+    copies = [("the same text in all rows of it", "copied")] * 1000 + [("uno dos", f"l{k:03}") for k in range(600)]
     model = lang_id.train(spark.createDataFrame(copies, "text string, lang string"), rounds=0)
-    assert model.languages == ["copied", *(f"l{k:03}" for k in range(510))] and len(model.pieces) == len(vocabulary)
-    assert all(model.p[:-1, k].max() > 10 * model.p[:-1, k].min() for k in range(511))  # none is uniform
+    assert model.languages == ["copied", *(f"l{k:03}" for k in range(600))] and len(model.pieces) == len(vocabulary)
+    assert all(model.p[:-1, k].max() > 10 * model.p[:-1, k].min() for k in range(601))  # none is uniform
 
 
 def test_forward_sums_all_segmentations():
@@ -245,6 +247,13 @@ def test_forward_sums_all_segmentations():
 
     for w in ("a", "ab", "aba", "abab", "xbab"):
         assert np.allclose(lang_id.forward(lattice, [w, w], p)[1], brute("▁" + w))
+        assert np.allclose(lang_id.long_forward(lattice, w, np.log(p)), np.log(brute("▁" + w)))
+    for w in ("abab", "xbab", "aab"):
+        assert np.allclose(lang_id.expected(lattice, [w], np.ones(1), p[:, 0]), lang_id.long_expected(lattice, w, p[:, 0]))
+    long = "abba" * 50
+    scorer = lang_id.Scorer(lang_id.Model(["x", "y"], pieces, p), most=2)
+    assert np.allclose(scorer.texts([f"{long} ab", "a b ab ba abab"]), [lang_id.long_forward(lattice, long, np.log(p)) + np.log(brute("▁ab")), sum(np.log(brute("▁" + w)) for w in ("a", "b", "ab", "ba", "abab"))])
+    assert np.allclose(lang_id.long_forward(lattice, "ab" * 15, np.log(p)), np.log(lang_id.forward(lattice, ["ab" * 15], p)[0]))
     c = lang_id.expected(lattice, ["abab"], np.ones(1), p[:, 0])
     assert math.isclose(sum(c[i] * len(q) for i, q in enumerate(pieces)) + c[-1], 5)
 
@@ -334,7 +343,7 @@ def test_secrets(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
         assert [x for x in r.spans.split(",") if x and not x.startswith("markov")] == [x for x in said.split(",") if x]
-        assert ("markov:4:32" in r.spans) == (r.doc_id == 5)
+        assert ("markov:4:32" in r.spans) == (r.doc_id == 5) and r.spans.count("markov") == (r.doc_id == 5)
     assert secret_scan.scan(documents(spark, [])).count() == 0
 
 
@@ -384,15 +393,6 @@ def test_wrappers_of_all_pages(spark):
     assert got == {i: f"May {i}\nCopied article" for i in range(40)} | {40: "June\nAnother article"} | {50 + i: f"May {i}\n{long}{i}" for i in range(3)}
 
 
-def test_wrapper_inference():
-    one, two = ("<ul><li>a</li><li>b</li></ul><p>t1</p>", "<ul><li>c</li></ul><h2>x</h2><p>t2</p>")
-    w = wrappers.infer([one, two])
-    assert [p[0] for p in w] == ["e", "?", "e"] and w[0][2][0][0] == "+" and w[2][2] == [["s"]]
-    for page in (one, two, "<ul>" + "<li>z</li>" * 9 + "</ul><p>q</p>"):
-        assert wrappers.matches(w, wrappers.first_wrapper(wrappers.elements(wrappers.tokens(page))))
-    assert not wrappers.matches(w, wrappers.first_wrapper(wrappers.elements(wrappers.tokens("<table></table>"))))
-
-
 def test_pipeline(spark, tmp_path, texts):
     import corpus_pipeline
 
