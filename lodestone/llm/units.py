@@ -3,6 +3,8 @@
 Places are code points from 0, ends exclusive, so removed text is found in the original. Digests have 128 bits. An occurrence's rank
 is (doc_id, hash of the text, place in the text); a null doc_id ranks last and so never takes text from a document with one.
 Null and empty texts have no units. Rows equal in doc_id and text are one text: what goes from it is returned for each of them.
+
+Words are runs of anything but ASCII white space. All steps are linear in the length of a text.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Where a caller gives no minimum; the query op3 takes units of any length.
-MIN_WORDS = 6
+from lodestone.llm import common
+
 WINDOW = 3
-#: Sentences end with a line, or with a full stop, question mark or exclamation mark before a space.
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t])|\n|\Z)", re.S)
+SPACE = " \t\n\x0b\x0c\r"
+WORDS = re.compile(f"[^{SPACE}]+")
+#: A sentence of a line ends with a full stop, question mark or exclamation mark before a space or tab.
+STOP = re.compile(r"[.!?](?=[ \t])")
 ROW = "doc_id long, tie long, at int, start long, end long, a long, b long"
+#: Repeated digests of at most so many rows are sent to every executor; above, both sides are shuffled and skewed keys split.
+SEND_ROWS = 200_000
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -28,24 +34,29 @@ def _digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
-    """(unit, start, end, digest halves) of the units with enough words, compared in lower case and with single spaces.
-
-    Each line is a unit, and so is each sentence of a line that holds several; a line comes before its sentences.
-    """
-    k, at = 0, 0
+def pieces_of(text: str) -> Iterator[tuple[int, str]]:
+    """(start, piece) of each line, and after it of its sentences if it holds more than one."""
+    at = 0
     for line in text.split("\n"):
-        pieces = [(at, line)]
-        pieces += [(at + m.start(), m.group()) for m in UNIT.finditer(line) if m.group().strip() != line.strip()]
-        for begin, piece in pieces:
-            words = piece.split()
-            if words and len(words) >= min_words:
-                start = begin + len(piece) - len(piece.lstrip())
-                yield k, start, begin + len(piece.rstrip()), *_digest(" ".join(words).lower().encode())
-            k += bool(words)
+        yield at, line
+        cuts = [0, *(m.end() for m in STOP.finditer(line)), len(line)]
+        if len(cuts) > 2:
+            bare = line.strip(SPACE)
+            yield from ((at + s, line[s:e]) for s, e in zip(cuts, cuts[1:]) if line[s:e].strip(SPACE) != bare)
         at += len(line) + 1
 
 
+def units_of(text: str, min_words: int = 1) -> Iterator[tuple[int, int, int, int, int]]:
+    """(unit, start, end, digest halves) of lines and sentences with enough words, compared in lower case and with single spaces."""
+    k = 0
+    for begin, piece in pieces_of(text):
+        words = WORDS.findall(piece)
+        if words and len(words) >= min_words:
+            start = begin + len(piece) - len(piece.lstrip(SPACE))
+            yield k, start, begin + len(piece.rstrip(SPACE)), *_digest(" ".join(words).lower().encode())
+        k += bool(words)
+
+
 def windows_of(text: str, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """(first line, start, end, digest halves) of the windows that aren't blank; white space around a line doesn't count."""
     lines = text.split("\n")
@@ -64,16 +75,18 @@ def occurrences(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], key: str
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tie = None
+            for doc, tie, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text")), strict=True):
                 for found in cut(t or ""):
-                    tie = _digest((t or "").encode())[0] if tie is None else tie
                     for c, v in zip(cols, (doc, tie, *found), strict=True):
                         c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "tie", "at", "start", "end", "a", "b"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ROW)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), _tie(text), F.col(text).alias("text")).mapInArrow(run, ROW)
+
+
+def _tie(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`")).alias("tie")
 
 
 def _place() -> Column:
@@ -82,18 +95,21 @@ def _place() -> Column:
 
 def later(found: DataFrame) -> DataFrame:
     """``found`` without each digest's earliest place, with that place as ``kept``."""
-    first = found.groupBy("a", "b").agg(F.min(_place()).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return found.join(first, ["a", "b"]).filter(~_place().eqNullSafe(F.col("kept")))
+    first = common.checkpointed(found.groupBy("a", "b").agg(F.min(_place()).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    return found.join(F.broadcast(first) if first.count() <= SEND_ROWS else first, ["a", "b"]).filter(~_place().eqNullSafe(F.col("kept")))
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, unit, start, end, kept_doc_id, kept_unit) for each unit of at least ``min_words`` words that an earlier place holds as well."""
+def repeated_units(docs: DataFrame, min_words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, unit, start, end, kept_doc_id, kept_unit, tie) for each unit of at least ``min_words`` words that an earlier place holds as well.
+
+    ``tie`` is the hash of the text, which tells the texts of a repeated doc_id apart.
+    """
     gone = later(occurrences(docs, lambda t: units_of(t, min_words), key, text))
-    return gone.select("doc_id", F.col("at").alias("unit"), "start", "end", F.col("kept.id").alias("kept_doc_id"), F.col("kept.at").alias("kept_unit"))
+    return gone.select("doc_id", F.col("at").alias("unit"), "start", "end", F.col("kept.id").alias("kept_doc_id"), F.col("kept.at").alias("kept_unit"), "tie")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, first_line, last_line, start, end) of the runs of lines that go.
+    """(doc_id, first_line, last_line, start, end, tie) of the runs of lines that go.
 
     The lines of a window that an earlier place holds are covered; covered windows that touch or overlap are one run.
     A text of fewer lines than a window has none.
@@ -101,24 +117,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     gone = later(occurrences(docs, lambda t: windows_of(t, window), key, text)).dropDuplicates(["doc_id", "tie", "at"])
     by = Window.partitionBy("doc_id", "tie").orderBy("at")
     runs = gone.withColumn("new", (F.coalesce(F.lag("at").over(by), F.lit(-window - 1)) + window < F.col("at")).cast("int")).withColumn("run", F.sum("new").over(by))
-    return runs.groupBy("doc_id", "tie", "run").agg(F.min("at").alias("first_line"), (F.max("at") + window - 1).alias("last_line"), F.min("start").alias("start"), F.max("end").alias("end")).drop("tie", "run")
+    return runs.groupBy("doc_id", "tie", "run").agg(F.min("at").alias("first_line"), (F.max("at") + window - 1).alias("last_line"), F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def without(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, the texts without the (doc_id, start, end) of ``spans``; a doc_id must name one text."""
-    gone = spans.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    """``docs``, all columns, the texts without the (doc_id, tie, start, end) of ``spans``, which may overlap."""
     from pyspark.sql import types as T
 
-    columns = docs.columns
-    names = [f"c{k}" for k in range(len(columns))]
-    given = docs.join(gone, F.col(f"`{key}`") == F.col("_d"), "left").select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)], "_gone")
-    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(columns, names, strict=True)])
+    gone = spans.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("h")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    given = docs.select(F.col(f"`{key}`").cast("long").alias("key"), _tie(text), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    given = given.join(gone, F.col("key").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("h")), "left").select(*names, "gone")
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(docs.columns, names, strict=True)])
+    k = docs.columns.index(text)
 
     def run(batches):
-        k = columns.index(text)
         for batch in batches:
             out = []
-            for t, spans in zip(batch.column(k).to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for t, spans in zip(batch.column(k).to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 at, kept = 0, []
                 for s in spans or ():
                     kept.append((t or "")[at : s["start"]])
@@ -126,4 +142,4 @@ def without(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str =
                 out.append(t if not spans else "".join(kept) + t[at:])
             yield pa.RecordBatch.from_arrays([batch.column(n) if i != k else pa.array(out, pa.string()) for i, n in enumerate(names)], names)
 
-    return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)])
+    return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -300,11 +300,11 @@ def test_units(spark):
     a, b = prose(1, 12), prose(2, 15)
     texts = [f"{a}. {b}\nshort one", f"Other words here, all different from {a[:0]}those\n{b.upper()}\nshort one", None, "", f"  {a}.  tail\n{a}."]
     docs = documents(spark, texts)
-    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id) for r in units.repeated_units(docs).collect()}
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id) for r in units.repeated_units(docs, 6).collect()}
     assert got == {(1, b.upper(), 0), (4, f"{a}.", 0)}
-    kept = {r.doc_id: r.text for r in units.without(docs, units.repeated_units(docs)).collect()}
+    kept = {r.doc_id: r.text for r in units.without(docs, units.repeated_units(docs, 6)).collect()}
     assert kept[4] == "    tail\n" and kept[0] == texts[0] and kept[2] is None and len(kept) == 5
-    assert "".join(m.group() for m in units.UNIT.finditer(texts[0])) == texts[0]
+    assert [x for _, x in units.pieces_of("a. b?! c\nd")] == ["a. b?! c", "a.", " b?!", " c", "d"]
     assert units.repeated_units(documents(spark, [])).count() == 0
 
 
@@ -321,6 +321,20 @@ def test_units_of_any_length(spark, tmp_path):
     assert kept == {0: texts[0], 1: "x y\n  \n\n", 2: "\nzz.  ww", 3: "\n \n", 4: None}
 
 
+def test_units_of_long_and_repeated_rows(spark):
+    import time
+
+    begun = time.time()
+    texts = ["." * 200_000 + " x", "a. " * 60_000, "\n" * 50_000, "w " * 100_000]
+    assert len(list(units.units_of(texts[1]))) == 60_001 and len(list(units.windows_of(texts[2]))) == 0
+    one = documents(spark, ["one line\ntwo lines", "one line\nmore", *texts])
+    rows = one.unionByName(one.filter("doc_id = 1")).unionByName(one.filter("doc_id = 0").withColumn("doc_id", F.lit(1).cast("long")))
+    got = units.without(rows.withColumn("gone", F.lit(1)).withColumn("tie", F.lit("t")), units.repeated_units(rows))
+    assert got.columns == [*rows.columns, "gone", "tie"]
+    assert sorted(r.text for r in got.filter("doc_id < 2").collect()) == ["\n", "\nmore", "\nmore", "one line\ntwo lines"] and got.filter("doc_id = 3").first().text == "a. " + " " * 59_999
+    assert time.time() - begun < 90
+
+
 def test_windows(spark):
     lines = [prose(i, 5) for i in range(20)]
     texts = ["\n".join(lines[:8]), "\n".join(["x", *lines[2:7], "y"]), "\n".join(lines[4:6]), None, "\n\n\n\n", "\n\n\n\n", "\n".join(lines[:3] + ["q"] + lines[:3])]
