@@ -1,10 +1,11 @@
 """Sharding in the order of a Hilbert curve over several metadata dimensions, with DataFrame functions only.
 
-Each dimension is quantised to ``bits`` bits: a text column by a hash of its value (null apart), a size by its
+Each dimension is quantised to ``bits`` bits, in the order of its values: a text column into ranges of about equal row counts, by
+the first two bytes after the prefix that all values share (null is a range of its own); a size by its
 logarithm in half steps. The cell's index on the curve is looked up level by level in a table of the curve's states, which
 is made from the rule of the compact construction (Gray code, entry point and direction of each subcube). Rows are ranked by (curve
 index, hash of the key) and the order is cut into runs of equal row counts, so each shard covers a compact part of the
-metadata space and a reader can skip shards by their cells.
+metadata space and a reader can skip shards by the least and greatest values of their columns (``zones``).
 
 Law ``rows``: shard counts are at most one apart. Null in a dimension or in the text is a value like others; empty
 tables give no rows; equal rows get places of their own.
@@ -67,8 +68,35 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(levels, F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("s")), step, lambda a: a["h"])
 
 
-def of_text(c: Column, bits: int = BITS) -> Column:
-    return F.when(c.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(c), F.lit((1 << bits) - 1))).cast("int")
+def ranges(docs: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> list[tuple[int, list[int]]]:
+    """For each text column: the length of the prefix in bytes, and where its ranges of about equal row counts begin, as two bytes."""
+    ends = docs.agg(*[f(F.encode(F.col(f"`{c}`"), "utf-8")).alias(f"{n}{k}") for k, c in enumerate(columns) for f, n in ((F.min, "a"), (F.max, "z"))]).first()
+    prefix = []
+    for k in range(len(columns)):
+        a, z = bytes(ends[f"a{k}"] or b""), bytes(ends[f"z{k}"] or b"")
+        prefix.append(next((i for i, (x, y) in enumerate(zip(a, z)) if x != y), min(len(a), len(z))))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), _bytes(F.col(f"`{c}`"), n).alias("b")) for k, (c, n) in enumerate(zip(columns, prefix, strict=True))])
+    counts = docs.select(F.explode(places).alias("x")).filter("x.b is not null").groupBy("x.k", "x.b").agg(F.count(F.lit(1)).alias("n"))
+    held: list[dict[int, int]] = [{} for _ in columns]
+    for r in counts.collect():  # at most 65,536 rows a column
+        held[r["k"]][r["b"]] = r["n"]
+    out, parts = [], (1 << bits) - 1
+    for n, own in zip(prefix, held, strict=True):
+        total, before, cuts = sum(own.values()), 0, []
+        for b in sorted(own):
+            cuts += [b] * (before * parts // total - len(cuts))
+            before += own[b]
+        out.append((n, cuts))
+    return out
+
+
+def _bytes(c: Column, prefix: int) -> Column:
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), prefix + 1, 2)), 4, "0"), 16, 10).cast("int")
+
+
+def of_text(c: Column, prefix: int, cuts: list[int]) -> Column:
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= _bytes(c, prefix))) if cuts else F.lit(0)
+    return F.when(c.isNull(), 0).otherwise(1 + below).cast("int")
 
 
 def of_size(c: Column, bits: int = BITS) -> Column:
@@ -80,7 +108,7 @@ def shards(docs: DataFrame, n: int = 8, bits: int = BITS, key: str = "doc_id", t
     names = [f"k{i}" for i in range(len(keep or []))]
     body = F.col(f"`{text}`")
     size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 1
-    cells = [*[of_text(F.col(f"`{c}`"), bits) for c in by], of_size(size, bits)]
+    cells = [*[of_text(F.col(f"`{c}`"), *r) for c, r in zip(by, ranges(docs, by, bits), strict=True)], of_size(size, bits)]
     rows = docs.select(
         F.col(f"`{key}`").alias("key"), size.alias("size"), F.crc32(body).alias("crc"), curve_index(cells, bits).alias("cell"), F.xxhash64(F.lit(17), F.col(f"`{key}`"), body).alias("h"), *[F.col(f"`{c}`").alias(i) for c, i in zip(keep or [], names, strict=True)]
     )
@@ -101,3 +129,9 @@ def shards(docs: DataFrame, n: int = 8, bits: int = BITS, key: str = "doc_id", t
     return done.select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (place - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell", *[F.col(i).alias(c) for c, i in zip(keep or [], names, strict=True)]
     )
+
+
+def zones(sharded: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(shard, rows, least and greatest value of each column): what a reader needs to skip shards. One row a shard."""
+    ends = [f(F.col(f"`{c}`")).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *ends)
