@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared as their words (runs of letters and digits) in lower case, joined by single spaces. An item of n
-characters may differ by k = floor(rate * n) edits. It is cut into k + 1 pieces, one of which a match must hold unchanged: an
+Texts and items are compared as their words (runs of letters and digits) in lower case, with a space before, after and between
+them, so that an item of few letters, which may not differ, is found as whole words only. An item of n
+characters may differ by k = floor(rate * n) edits, its outer spaces not counted in n. It is cut into k + 1 pieces, one of which a match must hold unchanged: an
 Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance verifies a hit, first over two
 neighbouring pieces with one error, then over ever longer parts up to the whole item, so that a chance hit ends early.
 
 Items are sent to the executors in blocks of bounded size, and each block scans all texts. An item without a letter or digit
 matches nothing; a null text holds nothing; items that repeat a text are each reported. For each document and item the
-first verified place counts: ``distance`` is its distance, ``at`` the number of words before its end.
+first verified place counts: ``distance`` is its distance, ``at`` the number of words up to its end.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 
 RATE = 0.1
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 WORDS = re.compile(r"[^\W_]+")
 HITS = "hits array<struct<item_id:bigint,distance:int,at:bigint>>"
 
 
 def plain(text: str | None) -> str:
-    return " ".join(WORDS.findall((text or "").lower()))
+    words = WORDS.findall((text or "").lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -66,7 +68,8 @@ class Item:
 
     def __init__(self, key: int, text: str, rate: float) -> None:
         self.key, self.text = key, text
-        self.k = min(int(len(text) * rate), len(text) - 1)
+        bare = len(text.strip())
+        self.k = max(0, min(int(bare * rate), bare - 1))
         n = self.k + 1
         self.cuts = [len(text) * i // n for i in range(n + 1)]
         self.eq: dict[tuple[int, int], dict[str, int]] = {}
@@ -117,7 +120,7 @@ class Finder:
         for last, (size, where) in self.auto.iter(text) if self.items else ():
             for i, leaf in where:
                 if i not in found and (hit := self.items[i].verify(text, leaf, last + 1 - size)):
-                    found[i] = {"item_id": self.items[i].key, "distance": hit[0], "at": text.count(" ", 0, hit[1]) + 1}
+                    found[i] = {"item_id": self.items[i].key, "distance": hit[0], "at": len(text[: hit[1]].split())}
         return sorted(found.values(), key=lambda x: (x["item_id"] is None, x["item_id"], x["at"]))
 
 
