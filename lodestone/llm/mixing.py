@@ -172,8 +172,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """(key, size, source_size, target, copies, taken) for each row, and the columns ``extra``."""
     names = [f"x{k}" for k in range(len(extra or []))]
     size = F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
+    kinds = dict(docs.dtypes)
+    told = [F.col(f"`{c}`") for c in extra or [] if "map<" not in kinds[c] and "variant" not in kinds[c]]  # rows equal in all of it are one and the same
     rows = docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"), *[F.col(f"`{c}`").alias(n) for c, n in zip(extra or [], names, strict=True)]
+        F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"), F.xxhash64(F.lit(seed), *told).alias("tie"), *[F.col(f"`{c}`").alias(n) for c, n in zip(extra or [], names, strict=True)]
     )
     counts = common.checkpointed(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(MOST_SOURCES + 1).collect()
@@ -190,7 +192,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         return pd.DataFrame({"p_source": source, "p_size": table["size"], "base": base, "take": take, "source_size": whole[source], "target": float(goal[source])})
 
     plans = counts.groupBy("source").applyInPandas(plan, "p_source string, p_size long, base long, take long, source_size long, target double")
-    done = ranked(rows, ["source", "size"], ["h", "key"], "r")
+    done = ranked(rows, ["source", "size"], ["h", "tie", "key"], "r")
     done = done.join(plans, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     copies = F.when(F.col("size") > 0, F.col("base") + (F.col("r") < F.col("take")).cast("long")).otherwise(0)
     return done.select(F.col("key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(n).alias(c) for c, n in zip(extra or [], names, strict=True)])
