@@ -35,6 +35,8 @@ FLOOR = 1e-8
 SHORT = 31
 #: Bytes of the scores of words that a task keeps.
 KEPT_BYTES = 128 << 20
+#: Parts of a language whose texts of the lowest hashes are found apart.
+SPREAD = 16
 LETTERS = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,8 +232,10 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: in
     """From ``docs`` (text, lang); a null lang or text teaches nothing. ``sample``: distinct texts a language, those of the lowest hashes."""
     pieces = pieces_of(path)
     docs = docs.select("text", "lang", F.xxhash64(F.lit(5), "text").alias("h")).filter("lang is not null and text is not null")
-    by = Window.partitionBy("lang").orderBy("h")
-    lowest = docs.select("lang", "h").distinct().withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample)
+    # The lowest of parts of each language, then of these: no task has more than SPREAD * sample rows of one.
+    lowest = docs.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(SPREAD)))
+    for by in (("lang", "part"), ("lang",)):
+        lowest = lowest.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("k") <= sample)
     lowest = common.checkpointed(lowest.groupBy("lang").agg(F.max("h").alias("last")))
     held = [r["lang"] for r in lowest.select("lang").collect()]
     languages = sorted(held)
