@@ -50,7 +50,7 @@ SKETCH_BITS, PART_BITS = 21, 12
 #: Representatives that share one bucket of fingerprints.
 BUCKET_ROWS = 2_000
 #: Rows of the second side of a join that may be sent to every executor; above, both sides are shuffled.
-SEND_ROWS = 1_000_000
+SEND_ROWS = 400_000
 
 
 class Threshold:
