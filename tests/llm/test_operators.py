@@ -91,6 +91,21 @@ def test_word_hashes():
     assert len(set(h[:4])) == 1 and h[-1] == h[0]
 
 
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Frame:
+        class sparkSession:  # noqa: N801
+            sparkContext = Context
+            conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpointed(Frame)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
@@ -205,6 +220,42 @@ def test_shards(spark, texts):
     assert "applyInPandas" not in hilbert.shards(documents(spark, ["a"]))._jdf.queryExecution().toString()
 
 
+def test_shards_by_brute_force(spark):
+    r = random.Random(9)
+    sources = [f"site-{k:02}" for k in range(12)] + [None, "site-"]
+    rows = [(i, "x" * int(2 ** r.uniform(0, 12)), r.choice(["de", "en", "fr", None]), r.choice(sources), None, "s", None, i, i, i, None, 1, 1, "zz") for i in range(900)]
+    docs = spark.createDataFrame(rows, DOC)
+    cuts = hilbert.ranges(docs, ("source", "lang"))
+    at = lambda v, n: int.from_bytes((v.encode()[n:] + b"\0\0")[:2], "big")
+    for k, (n, own) in zip((3, 2), cuts, strict=True):
+        held = sorted(at(x[k], n) for x in rows if x[k] is not None)
+        assert n == (5 if k == 3 else 0)
+        for v in set(held):  # a range begins where the values below it fill as many parts
+            assert sum(c <= v for c in own) == sum(x < v for x in held) * 31 // len(held)
+    bins = [[0 if x[k] is None else 1 + sum(c <= at(x[k], n) for c in own) for k, (n, own) in zip((3, 2), cuts, strict=True)] + [min(31, int(2 * math.log2(len(x[1]) + 2)))] for x in rows]
+    given = spark.createDataFrame([(x[0], x[1], *b) for x, b in zip(rows, bins, strict=True)], "id bigint, t string, a int, b int, c int")
+    order = sorted((x.h, x.x % (1 << 64), x.id) for x in given.select("id", F.xxhash64(F.lit(17), "id", "t").alias("x"), hilbert.curve_index([F.col("a"), F.col("b"), F.col("c")]).alias("h")).collect())
+    want, starts = {}, {}
+    for place, (_, _, i) in enumerate(order):
+        s = place * 8 // len(order)
+        starts.setdefault(s, place)
+        want[i] = (s, place - starts[s])
+    out = hilbert.shards(docs, keep=["source", "lang"])
+    got = out.collect()
+    assert {x.doc_id: (x.shard, x.slot) for x in got} == want
+    # A reader that looks for one source opens few shards, and none that it needs is skipped.
+    for n, most in ((8, 0.6), (64, 0.4)):  # all would be opened with shards by hash
+        out = hilbert.shards(docs, n, keep=["source", "lang"])
+        got, zone = out.collect(), {z.shard: z for z in hilbert.zones(out, ("source", "lang", "size")).collect()}
+        assert sum(z.rows for z in zone.values()) == 900
+        opened = []
+        for v in sources[:12]:
+            may = {s for s, z in zone.items() if z.min_source and z.min_source <= v <= z.max_source}
+            assert may >= {x.shard for x in got if x.source == v}
+            opened.append(len(may))
+        assert sum(opened) / len(opened) <= most * n
+
+
 def test_language(spark):
     r = random.Random(2)
     words = {"xx": ["thing", "other", "whether", "the"], "yy": ["chose", "autre", "pourquoi", "le"]}
@@ -276,6 +327,12 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, bench.filter("item_id > 9")).count() == len(texts)
 
 
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "the cat"), (2, "a"), (3, "Cat-sat on")], "item_id bigint, text string")
+    docs = documents(spark, ["bathe cats banana", "see The, cat!", "a", "the cat sat on it", "xcat sat on"])
+    assert sorted((r.doc_id, r.item_id, r.at) for r in decontaminate.matches(docs, bench).collect()) == [(1, 1, 3), (2, 2, 1), (3, 1, 2), (3, 3, 4), (4, 3, 3)]
+
+
 def test_myers_and_pieces():
     r = random.Random(1)
 
