@@ -115,7 +115,8 @@ def occurrences(s: Column, part: Column) -> Column:
 
 def match_lines(s: Column, part: Column) -> Column:
     """numbers, from 1, of the lines in which a match starts."""
-    pieces = F.split(s, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
+    quoted = F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pieces = F.split(s, F.concat(F.lit("\\Q"), quoted, F.lit("\\E")), -1)
     feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     step = lambda a, p: F.struct((a["at"] + feeds(p) + feeds(part)).alias("at"), F.concat(a["out"], F.array(a["at"] + feeds(p))).alias("out"))
     return F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
@@ -164,5 +165,9 @@ def valid_json(c: Column) -> Column:
 
 
 def tail(s: Column, n: int) -> Column:
-    """the last n characters."""
-    return F.right(s, F.lit(n))
+    """the last n bytes, and those before them that belong to their first character."""
+    raw = F.encode(s, "utf-8")
+    start = F.greatest(F.octet_length(s) - n, F.lit(0))
+    inside = lambda k: F.conv(F.hex(F.substring(raw, start + 1 - k, F.lit(1))), 16, 10).cast("int").between(0x80, 0xBF)
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.decode(F.substring(raw, start + 1 - back, F.lit(n + 3)), "utf-8"))

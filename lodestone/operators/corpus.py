@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,9 +120,46 @@ def methods(functions: DataFrame, classes: DataFrame, n: int = 10) -> DataFrame:
 
 def enclosing(sites: DataFrame, functions: DataFrame) -> DataFrame:
     """The innermost function around each site (path, line, site), ``<module>`` outside all."""
-    s, f = sites.alias("s"), functions.alias("f")
-    j = s.join(f, (F.col("s.path") == F.col("f.path")) & F.col("s.line").between(F.col("f.line"), F.col("f.end_line")), "left")
-    return j.groupBy("s.path", "s.line", "s.site").agg(F.coalesce(F.max_by("f.name", F.struct(F.col("f.line"), -F.col("f.end_line"), F.col("f.name"))), F.lit("<module>")).alias("caller"))
+    kind = sites.schema["path"].dataType.simpleString()
+
+    def sweep(path, rows: list[tuple]) -> list[tuple]:
+        """From which line on a function is the innermost one; a null name where none is open."""
+        edges = sorted({r[0] for r in rows} | {r[1] + 1 for r in rows})
+        out, heap, k = [], [], 0
+        for at in edges:
+            while k < len(rows) and rows[k][0] <= at:
+                line, end, name = rows[k]
+                heapq.heappush(heap, (-line, end, tuple(-ord(c) for c in name), name))
+                k += 1
+            while heap and heap[0][1] < at:
+                heapq.heappop(heap)
+            out.append((path, at, heap[0][3] if heap else None))
+        return out
+
+    def by_file(batches):
+        """Functions come sorted by file and line."""
+        path, rows = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for p, line, end, name in zip(*(batch.column(c).to_pylist() for c in ("path", "line", "end_line", "name")), strict=True):
+                if p != path:
+                    out += sweep(path, rows)
+                    path, rows = p, []
+                rows.append((line, end, name))
+            yield made(out, batch.column("path").type)
+        if rows:
+            yield made(sweep(path, rows), batch.column("path").type)
+
+    def made(out: list[tuple], kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((kind, pa.int64(), pa.string()))], ["path", "line", "name"])
+
+    inner = functions.select("path", "line", "end_line", "name").filter("path is not null").repartition("path").sortWithinPartitions("path", "line", "end_line", "name").mapInArrow(by_file, f"path {kind}, line long, name string")
+    none = F.lit(None)
+    places = inner.select("path", "line", F.struct(F.col("name").alias("x")).alias("at"), none.cast(sites.schema["site"].dataType).alias("site"), none.cast(sites.schema["line"].dataType).alias("own"))
+    both = places.unionByName(sites.select("path", F.col("line").cast("long").alias("line"), none.cast("struct<x:string>").alias("at"), "site", F.col("line").alias("own")))
+    before = Window.partitionBy("path").orderBy("line", F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("name", F.last("at", ignorenulls=True).over(before)["x"]).filter("own is not null")
+    return found.select("path", F.col("own").alias("line"), "site", F.coalesce("name", F.lit("<module>")).alias("caller")).distinct()
 
 
 def largest_functions(functions: DataFrame, n: int = 10) -> DataFrame:

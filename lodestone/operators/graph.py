@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import candidates as listed
 from lodestone.functions.scalars import strip_scope
+from lodestone.session import checkpointed
 
 MODULE, REFERENCE = "<module>", "<reference>"
 #: Levels after which a traversal cuts its lineage.
 CUT = 5
+#: Names that an ambiguous query is answered with.
+CANDIDATES = 20
+#: A side of so many rows may be sent to every executor.
+SEND_ROWS = 200_000
 
 
 def all_definitions(functions: DataFrame, classes: DataFrame) -> DataFrame:
@@ -32,8 +36,12 @@ def resolve_callees(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """The callee as written if it is defined, else without its scope if that is, else as written."""
     names = definitions.select("name").distinct()
     a, b = names.select(F.col("name").alias("whole")), names.select(F.col("name").alias("bare"))
-    j = calls.join(a, F.col("callee") == F.col("whole"), "left").join(b, strip_scope(F.col("callee")) == F.col("bare"), "left")
-    return j.withColumn("callee", F.coalesce("whole", "bare", "callee")).drop("whole", "bare")
+    # Each different callee is resolved once, then joined.
+    said = calls.select(F.col("callee").alias("said")).distinct()
+    said = said.join(a, F.col("said") == F.col("whole"), "left").join(b, strip_scope(F.col("said")) == F.col("bare"), "left")
+    said = checkpointed(said.select("said", F.coalesce("whole", "bare").alias("found")).filter("found <> said"))
+    j = calls.join(F.broadcast(said) if said.count() <= SEND_ROWS else said, F.col("callee") == F.col("said"), "left")
+    return j.withColumn("callee", F.coalesce("found", "callee")).drop("said", "found")
 
 
 def caller_edges(calls: DataFrame, references: DataFrame | None = None, impl_traits: DataFrame | None = None, impl_only: bool = False) -> DataFrame:
@@ -72,11 +80,12 @@ def match(name: Column, query: str, mode: str = "exact") -> Column:
 def resolve(names: DataFrame, query: str, mode: str = "exact") -> str:
     """The one name that matches; LookupError for none, and with the first 20 candidates for several."""
     hits = names.select("name").distinct().filter(match(F.col("name"), query, mode)).orderBy("name")
-    found = [r["name"] for r in hits.limit(2).collect()]
+    found = [r["name"] for r in hits.limit(CANDIDATES + 1).collect()]
     if not found:
         raise LookupError(f"symbol not found: {query}")
     if len(found) > 1:
-        raise LookupError("ambiguous: " + hits.agg(listed(F.array_sort(F.collect_list("name"))).alias("m")).first()["m"])
+        more = hits.count() - CANDIDATES if len(found) > CANDIDATES else 0
+        raise LookupError("ambiguous: " + ", ".join(found[:CANDIDATES]) + (f" (and {more} more)" if more else ""))
     return found[0]
 
 
@@ -89,14 +98,21 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth) within ``depth`` steps of ``start`` (node), each at its least depth, the start at 0."""
     known = start.select("node").distinct().withColumn("depth", F.lit(0))
     front = known
+    pairs = edges.select("node", "neighbor")
+    if depth > 1:  # read at each level
+        pairs = checkpointed(pairs.distinct())
     for level in range(1, depth + 1):
-        step = front.select("node").join(edges, "node").select(F.col("neighbor").alias("node")).distinct()
+        step = front.select("node").join(pairs, "node").select(F.col("neighbor").alias("node")).distinct()
         front = step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
-        if level % CUT == 0:
-            front = front.checkpoint()
-            if front.isEmpty():
+        if level < depth:
+            front = checkpointed(front)
+            n = front.count()
+            if not n:
                 break
-        known = known.unionByName(front)
+            known = known.unionByName(front)
+            front = F.broadcast(front) if n <= SEND_ROWS else front
+        else:
+            known = known.unionByName(front)
     return known
 
 
@@ -165,6 +181,7 @@ def structural(functions: DataFrame, classes: DataFrame, imports: DataFrame, cal
     if neither is in a file after the call's. Of edges between the same two nodes the first kind stays.
     """
     ident = lambda *c: F.xxhash64(*c)
+    calls = checkpointed(calls.select("caller", "callee", "path").distinct())
     paths = functions.select("path").union(classes.select("path")).union(imports.select("path")).union(calls.select("path")).distinct()
     files = paths.select(ident(F.lit("file"), "path").alias("id"), F.lit("file").alias("node_type"), F.col("path").alias("name"), F.lit(None).cast("string").alias("kind"), F.col("path").alias("file_path"))
     sym = functions.select("path", "name", "line", F.lit("function").alias("kind")).unionByName(classes.select("path", "name", "line", F.lit("class").alias("kind")))
@@ -182,13 +199,16 @@ def structural(functions: DataFrame, classes: DataFrame, imports: DataFrame, cal
     if visible_so_far:
         called = called.filter("p1 <= path and p2 <= path")
     called = called.select("src", "dst", F.lit("calls").alias("kind")).distinct()
-    edges = contains.unionByName(imported).unionByName(called).groupBy("src", "dst").agg(F.max("kind").alias("kind"))
+    # A file contains a symbol, imports a module, and symbols call symbols: no two kinds have both ends in common.
+    edges = contains.distinct().unionByName(imported).unionByName(called)
     return files.unionByName(syms).unionByName(modules), edges
 
 
 def cache_key(entries: DataFrame) -> DataFrame:
-    """A digest of all paths and times, in path order."""
-    return entries.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "mtime"))), lambda x: F.concat_ws(":", x["path"], x["mtime"].cast("string"))), "\n"), 256).alias("key"))
+    """A digest of all paths and times: of the digests of 4,096 parts by hash of the path, each in path order."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "mtime"))), lambda x: F.concat_ws(":", x["path"], x["mtime"].cast("string"))), "\n")
+    parts = entries.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(F.sha2(lines, 256).alias("d"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("key"))
 
 
 def parse_uri(uri: str) -> dict:

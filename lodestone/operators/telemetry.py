@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,12 @@ def current(m: DataFrame, tool: str | None = None, start: str | None = None, end
         m = m.filter(F.col("tool").isin(*CURRENT))
     if tool:
         m = m.filter(F.col("tool") == tool)
-    day = F.to_date(F.timestamp_millis("ts"))
+    # Bounds in milliseconds, so that a scan prunes by them.
+    ms = lambda day, more=0: (date.fromisoformat(day).toordinal() + more - date(1970, 1, 1).toordinal()) * 86_400_000
     if start:
-        m = m.filter(day >= F.lit(start).cast("date"))
+        m = m.filter(F.col("ts") >= ms(start))
     if end:
-        m = m.filter(day <= F.lit(end).cast("date"))
+        m = m.filter(F.col("ts") < ms(end, 1))
     return m if include_received else m.filter(~F.col("result").eqNullSafe(F.lit("received")))
 
 

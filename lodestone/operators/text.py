@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import content_hash, lf, match_lines, occurrences
+from lodestone.operators.ranks import global_rank
 
 # ---------------------------------------------------------------- regex extractors
 
@@ -26,9 +27,11 @@ def numbered(sources: DataFrame, text: str = "content", keep: tuple[str, ...] =
 
 def keys(sources: DataFrame, language: str) -> DataFrame:
     """(path, name, line) of the selectors, keys or sections."""
-    rule = PATTERNS[language]
-    found = numbered(sources).filter(F.col("line").rlike(rule))
-    name = F.regexp_extract("line", rule, 1) if "(" in rule else F.trim(F.regexp_replace(F.regexp_extract("line", rule, 0), r"[\s,:{]+$", ""))
+    rule, lines = PATTERNS[language], numbered(sources)
+    if language == "css":  # selectors may be indented; the name is the line without what opens or goes on with the rule
+        lines = lines.withColumn("line", F.regexp_replace("line", r"^\s+", ""))
+    found = lines.filter(F.col("line").rlike(rule))
+    name = F.regexp_extract("line", rule, 1) if "(" in rule else F.regexp_replace("line", r"[\s,:{]+$", "")
     return found.select("path", name.alias("name"), F.col("pos").alias("line"))
 
 
@@ -146,4 +149,4 @@ def def_use_order(sites: DataFrame) -> DataFrame:
     w, r = sites.filter("kind <> 'read'"), sites.filter("kind = 'read'")
     left = r.join(w.select("path", "line", "column"), ["path", "line", "column"], "left_anti").select(sites.columns)
     both = w.unionByName(left)
-    return both.withColumn("ord", F.row_number().over(Window.orderBy(F.when(F.col("kind") == "read", 1).otherwise(0), "path", "line", "column")))
+    return global_rank(both, [F.when(F.col("kind") == "read", 1).otherwise(0), F.col("path"), F.col("line"), F.col("column")], "ord")

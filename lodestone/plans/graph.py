@@ -109,5 +109,5 @@ ORACLES = {
     "p13_test_split": _S1 + "SELECT left(node, 1) = 'N' AS from_test, count(*) AS count FROM ch GROUP BY 1",
     "g3_j20_u5_structural_edges": _E + f", {IMPORTS} SELECT 'contains' AS kind, count(*) AS n FROM d UNION ALL SELECT 'imports', count(*) FROM (SELECT DISTINCT page_id, module FROM i WHERE module <> '') UNION ALL SELECT 'calls', count(*) FROM e WHERE caller IN (SELECT name FROM d) AND callee IN (SELECT name FROM d)",
     "g3_structural_nodes": _E + f", {IMPORTS} SELECT 'symbol' AS node_type, kind, count(*) AS n FROM d GROUP BY kind UNION ALL SELECT 'module', NULL, count(*) FROM (SELECT DISTINCT page_id, module FROM i WHERE module <> '') UNION ALL SELECT 'file', NULL, count(*) FROM (SELECT path FROM d UNION SELECT left(caller, 1) || '.rs' FROM e UNION SELECT 'page' || page_id FROM i)",
-    "g8_cache_key": f"WITH {DEFINITIONS} SELECT sha256(string_agg(name || ':' || line, chr(10) ORDER BY name)) AS key FROM d WHERE kind = 'class'",
+    "g8_cache_key": f"WITH {DEFINITIONS}, p AS (SELECT left(sha256(name), 3) AS part, sha256(string_agg(name || ':' || line, chr(10) ORDER BY name)) AS h FROM d WHERE kind = 'class' GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS key FROM p",
 }

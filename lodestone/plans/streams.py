@@ -1,4 +1,4 @@
-"""Streaming program: the event table read as a stream until it is used up, into memory tables."""
+"""Streaming program: the event table read as a stream until it is used up, into folders beside the checkpoints."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.adapters import METRICS, metric_events
-from lodestone.session import table
+from lodestone.session import shared_folder, table
 from lodestone.streaming import metrics as S
 
 
@@ -19,9 +19,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """What the stream gives in all: appended files, or in mode complete the last batch."""
+    top = f"{shared_folder(df.sparkSession)}/drained-{uuid.uuid4().hex}"
+    start = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{top}/state")
+    if mode == "complete":
+        start = start.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{top}/rows"))
+    else:
+        start = start.format("parquet").option("path", f"{top}/rows")
+    start.start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{top}/rows")
 
 
 def _trend(spark, sf_dir):
@@ -30,7 +36,7 @@ def _trend(spark, sf_dir):
 
 QUERIES = {
     "r1_r4_running_totals": lambda s, d: _drained(S.running_totals(_stream(s, d)), "complete"),
-    "r5_breaker_state": lambda s, d: _drained(S.breaker(_stream(s, d).withColumn("ts", F.col("ts") * 1_000_000 + F.col("ord")), 2), "append").select("session_id", "tool", (F.col("ts") % 1_000_000).alias("ord"), "streak", "tripped"),
+    "r5_breaker_state": lambda s, d: _drained(S.breaker(_stream(s, d), 2, ord="ord"), "append").select("session_id", "tool", "ord", "streak", "tripped"),
     "r6_merged": lambda s, d: _drained(S.merged(_stream(s, d).filter("result = 'ok'"), _stream(s, d).filter("result <> 'ok'")).select("ord", "tool"), "append"),
     "r7_r8_daily_trend": _trend,
 }

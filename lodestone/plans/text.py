@@ -9,7 +9,7 @@ from lodestone.operators import text as T
 from lodestone.plans.adapters import LINES, lines
 from lodestone.session import table
 
-_CSS = r"""'.part-' || p_partkey || ' {' || chr(10) || '  color: red;' || chr(10) || '}' || chr(10) || '#x' || p_size || ', p' || chr(10)"""
+_CSS = r"""'.part-' || p_partkey || ' {' || chr(10) || '  color: red;' || chr(10) || '}' || chr(10) || '#x' || p_size || ', p' || chr(10) || '@media print {' || chr(10) || chr(9) || '  .in' || p_size || ' .deep:hover, {' || chr(10) || '}' || chr(10)"""
 _YAML = r"""'name: ' || p_name || chr(10) || '  nested: 1' || chr(10) || 'size_' || p_size || ': 2'"""
 _JSON = r"""'{' || chr(10) || '  "k' || p_size || '": 1,' || chr(10) || '    "deep": 2' || chr(10) || '}'"""
 _TOML = r"""'[part.' || p_size || ']' || chr(10) || 'key = 1' || chr(10) || '[x]'"""
@@ -86,7 +86,7 @@ _SITES = "s AS (SELECT DISTINCT l_orderkey % 50 AS path, l_linenumber AS line, l
 _ALL_SITES = _SITES.replace("l_orderkey % 50 AS path", "l_orderkey AS path").replace(" WHERE l_orderkey < 400)", ")")
 
 ORACLES = {
-    "e10_css": f"SELECT path, rtrim(name, ' ,:{{') AS name, line FROM ({_KEYS(_CSS, r'^[.#][\w-]+[\s,:{]', 0)})",
+    "e10_css": f"SELECT path, rtrim(ltrim(name, ' ' || chr(9)), ' ,:{{') AS name, line FROM ({_KEYS(_CSS, r'^\s*[.#][\w-]+[\s,:{].*', 0)})",
     "e11_yaml": _KEYS(_YAML, r"^(\w[\w-]*): ", 1),
     "e12_json": _KEYS(_JSON, r'^\s{0,2}"(\w+)":', 1),
     "e13_toml": _KEYS(_TOML, r"^\[([^\]]+)\]", 1),

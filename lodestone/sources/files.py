@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 import subprocess
@@ -28,7 +27,7 @@ MESSAGES = "session string, idx int, ts string, role string, content array<struc
 # ---------------------------------------------------------------- file trees
 
 
-def _ignore_rules(folder: Path) -> list[tuple[str, bool, bool, bool]]:
+def _ignore_rules(folder: Path) -> list[tuple[re.Pattern, bool, bool, bool]]:
     """(pattern, negated, directories only, anchored) of a folder's ignore files."""
     out = []
     for name in (".gitignore", ".ignore"):
@@ -37,17 +36,42 @@ def _ignore_rules(folder: Path) -> list[tuple[str, bool, bool, bool]]:
         except OSError:
             continue
         for line in lines:
-            p = line.rstrip()
+            p = re.sub(r"(?<!\\)\s+$", "", line)
             if not p or p.startswith("#"):
                 continue
             negated, p = p.startswith("!"), p.removeprefix("!")
             only_dirs, p = p.endswith("/"), p.rstrip("/")
             anchored, p = "/" in p, p.lstrip("/")
             if p:
-                out.append((p, negated, only_dirs, anchored))
+                out.append((glob_regex(p), negated, only_dirs, anchored))
     return out
 
 
+def glob_regex(pattern: str) -> re.Pattern:
+    """A pattern of an ignore file: ``*`` and ``?`` stay within a path component, ``**`` as a whole component crosses them."""
+    out, i, n = "", 0, len(pattern)
+    while i < n:
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif pattern.startswith("/**", i) and i + 3 == n:
+            out, i = out + "/.+", i + 3
+        elif c == "*":
+            out += "[^/]*"
+            i += 1 + (pattern[i + 1 : i + 2] == "*")
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (end := pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] in "!^"))) > 0:
+            own = pattern[i + 1 : end]
+            out += f"(?!/)[{'^' if own[0] in '!^' else ''}{re.escape(own.lstrip('!^')).replace(chr(92) + '-', '-')}]"
+            i = end + 1
+        elif c == "\\" and i + 1 < n:
+            out, i = out + re.escape(pattern[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(c), i + 1
+    return re.compile(out, re.S)
+
+
 def _ignored(rel: str, is_dir: bool, rules: list[tuple[str, list]]) -> bool:
     hit = False
     for base, own in rules:
@@ -56,7 +80,7 @@ def _ignored(rel: str, is_dir: bool, rules: list[tuple[str, list]]) -> bool:
             if only_dirs and not is_dir:
                 continue
             name = inside if anchored else inside.rsplit("/", 1)[-1]
-            if fnmatch.fnmatchcase(name, pattern.replace("**/", "*").replace("/**", "/*")):
+            if pattern.fullmatch(name):
                 hit = not negated
     return hit
 

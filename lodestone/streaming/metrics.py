@@ -24,10 +24,10 @@ def merged(*streams: DataFrame) -> DataFrame:
     return out
 
 
-def write_daily(stream: DataFrame, out: str, checkpoint: str, by_event_day: bool = True, **trigger):
-    """JSON lines by day, of the event or of the write."""
+def write_daily(stream: DataFrame, out: str, checkpoint: str, by_event_day: bool = False, batch: int = 100, **trigger):
+    """JSON lines in folders by the day of the write, or of the event, at most ``batch`` events a file."""
     day = F.to_date(F.timestamp_millis("ts")) if by_event_day else F.current_date()
-    return stream.withColumn("date", day).writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).partitionBy("date").trigger(**(trigger or {"availableNow": True})).start()
+    return stream.withColumn("date", day).writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", batch).partitionBy("date").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def running_totals(stream: DataFrame) -> DataFrame:
@@ -36,30 +36,41 @@ def running_totals(stream: DataFrame) -> DataFrame:
 
 
 def daily_trend(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """A17 as a stream: tumbling days, events later than ``late`` dropped."""
+    """A17 as a stream: tumbling days. In output mode append, events later than ``late`` are dropped (R7); in mode complete none is."""
     t = stream.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", late)
     return t.groupBy(F.window("at", "1 day"), "tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("result") == "error").alias("errors")).select(F.col("window.start").alias("day"), "tool", "calls", "errors")
 
 
-STREAK = "session_id string, tool string, ts bigint, streak int, tripped boolean"
+STREAK = "session_id string, tool string, ts bigint, ord bigint, streak int, tripped boolean"
 
 
-def breaker(stream: DataFrame, limit: int = 5) -> DataFrame:
+def breaker(stream: DataFrame, limit: int = 5, idle_ms: int | None = None, ord: str | None = None) -> DataFrame:
     """Failures in a row of each (session, tool), kept as state; a success starts anew.
 
-    Uses applyInPandasWithState; rows of a batch are taken in the order of their time.
+    Uses applyInPandasWithState; rows of a batch are taken in the order of their time, and of ``ord`` where times are equal.
+    Only running streaks are state: a success removes it, and so does a pause of
+    ``idle_ms`` of processing time, if given; such a query never runs out of batches, so it isn't for the trigger availableNow.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["ts", "ord"], kind="stable")
         out = []
-        for ts, result in zip(rows["ts"], rows["result"], strict=True):
+        for ts, at, result in zip(rows["ts"], rows["ord"], rows["result"], strict=True):
             n = n + 1 if result == "error" else 0
             if n:
-                out.append((*key, int(ts), n, n >= limit))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["session_id", "tool", "ts", "streak", "tripped"])
-
-    return stream.groupBy("session_id", "tool").applyInPandasWithState(step, STREAK, "n int", "append", GroupStateTimeout.NoTimeout)
+                out.append((*key, int(ts), int(at), n, n >= limit))
+        if n:
+            state.update((n,))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["session_id", "tool", "ts", "ord", "streak", "tripped"])
+
+    given = stream.select("session_id", "tool", "ts", (F.col(ord) if ord else F.lit(0)).cast("long").alias("ord"), "result")
+    return given.groupBy("session_id", "tool").applyInPandasWithState(step, STREAK, "n int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
