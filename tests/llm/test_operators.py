@@ -434,6 +434,25 @@ def test_top_k(spark):
     assert ball_tree.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_top_k_sends_queries_where_they_can_score(spark):
+    """Clusters far apart: a query reaches its own and few others; equal vectors are cut into parts; columns may clash."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 6)) * 20
+    rows = [(i, (centres[i % 40] + r.normal(size=6) * 0.1).tolist(), "x", 1, 2) for i in range(2000)] + [(5000 + i, [9.0] * 6, None, 1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cell string, part int, dim int")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in ball_tree.top_k(df).collect()}
+    x = np.floor(256 * np.array([v for _, v, *_ in rows])).astype(np.int64)
+    ids = np.array([i for i, *_ in rows])
+    for q in range(0, 2000, 50):
+        scores = x @ x[q]
+        want = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in want]
+    assert len(got) == 5 * 46
+    tree = ball_tree.Tree(x.astype(float))
+    reached = (ball_tree.bounds(x[:2000:50].astype(float), np.array(tree.centre), np.array(tree.radius)) >= np.sort(x[:2000:50] @ x.T, 1)[:, -6][:, None]).mean()
+    assert reached < 0.6
+
+
 PAGE = """<!DOCTYPE html><html class="no-sidebar"><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- ad --><div class="ad">Buy</div>{0}<aside>More</aside><section id="comments"><article class="comment">Nice</article></section><form>Mail <input></form><footer>&copy; x</footer></body></html>"""
 
