@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, extraction, graph, relational, sessions, streams, telemetry, text
+from lodestone.plans import corpus, extraction, graph, relational, reports, sessions, stored, streams, telemetry, text
 
-MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational)
+MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational, reports, stored)
 
 
 def queries() -> dict:

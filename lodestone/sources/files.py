@@ -138,9 +138,9 @@ def changed_files(spark: SparkSession, root: str, ref: str) -> DataFrame:
 
 
 def metric_log(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The daily JSONL files, those outside the days skipped by name, broken lines dropped."""
+    """The daily JSONL files, those outside the days skipped by the name of the file or its folder, broken lines dropped."""
     raw = spark.read.schema(f"{METRICS}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(folder)
-    day = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)
+    day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})(?:\.[^/]*|/[^/]*)?$", 1)
     if start:
         raw = raw.filter((day == "") | (day >= start))
     if end:

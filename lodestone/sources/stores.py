@@ -25,11 +25,27 @@ def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select("key", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).distinct().agg(F.count_distinct("key").alias("entries"), F.sum("size").alias("bytes"))
 
 
+def log_events(m: DataFrame, folder: str, batch: int = 100) -> None:
+    """K1: JSON lines in a folder for each day, at most ``batch`` events a file; files appear whole."""
+    m.withColumn("date", F.to_date(F.timestamp_millis("ts"))).repartition("date").write.mode("append").option("maxRecordsPerFile", batch).partitionBy("date").json(folder)
+
+
 def fresh(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
-    """What was stored in the last days; older files can be dropped by the partition's owner."""
+    """What was stored in the last days. ``evict`` deletes what wasn't."""
     return spark.read.parquet(folder).filter(F.col("_metadata.file_modification_time") >= F.current_timestamp() - F.make_interval(days=F.lit(days)))
 
 
+def evict(spark: SparkSession, folder: str, days: float = 30) -> int:
+    """Deletes files that weren't changed in the last days; returns how many. The list of old files is what reaches the driver."""
+    age = (F.unix_millis(F.current_timestamp()) - F.unix_millis(F.col("_metadata.file_modification_time"))) / 86_400_000.0
+    old = [r["f"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("f"), age.alias("age")).filter(F.col("age") > days).collect()]
+    jvm = spark.sparkContext._jvm
+    for f in old:
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+    return len(old)
+
+
 def put_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """K8: both tables carry the format's version."""
     for name, df in (("nodes", nodes), ("edges", edges)):
