@@ -95,7 +95,8 @@ def _bytes(c: Column, prefix: int) -> Column:
 
 
 def of_text(c: Column, prefix: int, cuts: list[int]) -> Column:
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= _bytes(c, prefix))) if cuts else F.lit(0)
+    # The bytes are a lambda's argument, so that they are computed once a row.
+    below = F.element_at(F.transform(F.array(_bytes(c, prefix)), lambda b: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= b))), 1) if cuts else F.lit(0)
     return F.when(c.isNull(), 0).otherwise(1 + below).cast("int")
 
 
