@@ -22,6 +22,8 @@ from lodestone.llm import common
 WINDOW = 3
 SPACE = " \t\n\x0b\x0c\r"
 WORDS = re.compile(f"[^{SPACE}]+")
+#: White space of other kinds, which str.split would split at as well.
+OTHER_SPACE = re.compile(r"[^\S \t\n\x0b\x0c\r]")
 #: A sentence of a line ends with a full stop, question mark or exclamation mark before a space or tab.
 STOP = re.compile(r"[.!?](?=[ \t])")
 ROW = "doc_id long, tie long, at int, start long, end long, a long, b long"
@@ -49,8 +51,9 @@ def pieces_of(text: str) -> Iterator[tuple[int, str]]:
 def units_of(text: str, min_words: int = 1) -> Iterator[tuple[int, int, int, int, int]]:
     """(unit, start, end, digest halves) of lines and sentences with enough words, compared in lower case and with single spaces."""
     k = 0
+    words_of = WORDS.findall if OTHER_SPACE.search(text) else str.split
     for begin, piece in pieces_of(text):
-        words = WORDS.findall(piece)
+        words = words_of(piece)
         if words and len(words) >= min_words:
             start = begin + len(piece) - len(piece.lstrip(SPACE))
             yield k, start, begin + len(piece.rstrip(SPACE)), *_digest(" ".join(words).lower().encode())
