@@ -183,7 +183,7 @@ def imports_section(imports: Column) -> Column:
     """Modules with their counts, in order."""
     modules = F.array_sort(F.array_distinct(F.transform(imports, lambda i: i["module"])))
     said = F.transform(modules, lambda m: F.concat(m, F.lit("("), F.size(F.filter(imports, lambda i: i["module"] == m)).cast("string"), F.lit(")")))
-    return F.when(F.size(imports) > 0, _block("I:", F.concat(F.lit("  "), F.array_join(said, F.when(F.size(said) <= INLINE, "; ").otherwise("\n  "))))).otherwise("")
+    return F.when(F.size(imports) > 0, _block("I:", F.concat(F.lit("  "), F.when(F.size(said) <= INLINE, F.array_join(said, "; ")).otherwise(F.array_join(said, "\n  "))))).otherwise("")
 
 
 def _signatures(functions: Column, classes: Column, calls: Column) -> Column:

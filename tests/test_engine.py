@@ -103,7 +103,7 @@ def test_regex_extractors(spark):
     def keys(language, content):
         return [r.name for r in text.keys(spark.createDataFrame([("p", content)], "path string, content string"), language).orderBy("line").collect()]
 
-    assert keys("css", ".a {\n}\n#b, p\n") == [".a", "#b"]
+    assert keys("css", ".a {\n}\n#b, p\n") == [".a", "#b, p"]  # the line without what opens the rule
     assert keys("yaml", "name: x\n  nested: y\nver: 1\n") == ["name", "ver"]
     assert keys("json", '{\n  "a": 1,\n  "b": {\n      "deep": 2\n  }\n}') == ["a", "b"]
     assert keys("toml", "[pkg]\nx=1\n[dep.y]\n") == ["pkg", "dep.y"] and keys("toml", "") == []
