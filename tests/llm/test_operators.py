@@ -496,7 +496,15 @@ def test_pipeline(spark, tmp_path, texts):
     letters = [i for i, t in enumerate(every) if t and any(c.isalpha() for c in t)]
     comps = brute_components([every[i] for i in letters], 5, 8, 10)
     kept = {letters[i] for i, (_, c) in enumerate(comps) if c == i} - {len(every) - 1}
-    assert {r.doc_id for r in out} <= kept and len(kept - {r.doc_id for r in out}) <= len(kept) // 2
+    # Each stage keeps exactly what it should; the mix takes what its plan says of all that came so far.
+    docs, want = spark.read.parquet(str(tmp_path / "documents.parquet")), [set(letters), kept | {len(every) - 1}, kept]
+    for (_, stage), ids in zip(corpus_pipeline.STAGES, want):
+        docs = stage(spark, docs, str(tmp_path))
+        rows = docs.collect()
+        assert {r.doc_id for r in rows} == ids and len(rows) == len(ids) and {r.doc_id: r.text for r in rows} == {i: every[i] for i in ids}
+    plan = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    assert collections.Counter(r.doc_id for r in out) == plan and set(plan) <= kept
+    assert all(r.text == every[r.doc_id] for r in out)
     sizes = {i: len(WS.findall(every[i])) for i in kept}
     whole = {k: sum(n for i, n in sizes.items() if i % 2 == k) for k in (0, 1)}
     goal = mixing.targets([("a", whole[0]), ("b", whole[1])])
