@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +123,8 @@ def exports(source: str) -> list[str]:
 # ---------------------------------------------------------------- languages with braces, Fortran, Markdown
 
 _ID = r"[A-Za-z_$][\w$]*"
+#: Parameters that may hold objects and calls, one level deep.
+_PARAMS = r"\((?:[^(){}]|\{[^{}]*\}|\([^()]*\))*\)"
 KEYWORDS = frozenset("if else for while switch catch return match loop sizeof function fn func def class struct do try throw await typeof in of unsafe move use where select case defer when using lock foreach fixed nameof super this constructor".split())
 #: Patterns of each language: functions (name, params, return type), classes, imports, inheritance.
 LANGUAGES: dict[str, dict[str, str]] = {
@@ -129,7 +133,7 @@ LANGUAGES: dict[str, dict[str, str]] = {
     "java": {"function": rf"(?:^|[;{{}}])\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?P<ret>[\w<>\[\],.?]+)\s+(?P<name>{_ID})\s*(?P<params>\([^;{{)]*\))\s*(?:throws[^{{;]+)?(?=[{{;])", "class": rf"\b(?:class|interface|enum|record)\s+(?P<name>{_ID})(?P<bases>[^{{;]*)", "import": r"^[ \t]*import\s+(?:static\s+)?(?P<name>[\w.*]+)\s*;"},
     "csharp": {"function": rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract|partial)\s+)+(?P<ret>[\w<>\[\],.?]+)\s+(?P<name>{_ID})\s*(?:<[^>]*>)?(?P<params>\([^;{{]*?\))\s*(?=[{{;=])", "class": rf"\b(?:class|interface|struct|enum|record)\s+(?P<name>{_ID})(?P<bases>[^{{;]*)", "import": r"^[ \t]*using\s+(?P<name>[\w.]+)\s*;"},
     "kotlin": {"function": rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?(?P<name>{_ID})\s*(?P<params>\([^{{=]*?\))\s*(?::\s*(?P<ret>[\w<>?., ]+?))?\s*(?=[{{=\n])", "class": rf"\b(?:class|interface|object)\s+(?P<name>{_ID})(?P<bases>[^{{\n]*)", "import": r"^[ \t]*import\s+(?P<name>[\w.*]+)"},
-    "typescript": {"function": rf"\bfunction\s*\*?\s*(?P<name>{_ID})\s*(?:<[^(]*>)?(?P<params>\([^{{]*?\))\s*(?::\s*(?P<ret>[^{{\n]+?))?\s*(?=\{{)|^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name2>{_ID})\s*(?:<[^(]*>)?(?P<params2>\([^;{{]*?\))\s*(?::\s*(?P<ret2>[^{{;\n]+?))?\s*(?=\{{)|\b(?:const|let|var)\s+(?P<name3>{_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?P<params3>\([^{{;]*?\))\s*(?::[^=]+)?=>", "class": rf"\b(?:class|interface|enum)\s+(?P<name>{_ID})(?P<bases>[^{{;]*)", "import": r"^[ \t]*(?:import\b[^;\n]*?['\"](?P<name>[^'\"\n]+)['\"]|(?:const|let|var)\s+[^=\n]+=\s*require\(['\"](?P<name2>[^'\"\n]+)['\"]\))"},
+    "typescript": {"function": rf"\bfunction\s*\*?\s*(?P<name>{_ID})\s*(?:<[^(]*>)?(?P<params>{_PARAMS})\s*(?::\s*(?P<ret>[^{{\n]+?))?\s*(?=\{{)|^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name2>{_ID})\s*(?:<[^(]*>)?(?P<params2>{_PARAMS})\s*(?::\s*(?P<ret2>[^{{;\n]+?))?\s*(?=\{{)|\b(?:const|let|var)\s+(?P<name3>{_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?P<params3>{_PARAMS})\s*(?::[^=]+)?=>", "class": rf"\b(?:class|interface|enum)\s+(?P<name>{_ID})(?P<bases>[^{{;]*)", "import": r"^[ \t]*(?:import\b[^;\n]*?['\"](?P<name>[^'\"\n]+)['\"]|(?:const|let|var)\s+[^=\n]+=\s*require\(['\"](?P<name2>[^'\"\n]+)['\"]\))"},
     "cpp": {"function": rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?P<ret>[A-Za-z_][\w:<>,*&\s]*?[\s*&])(?P<name>~?[A-Za-z_][\w:~]*)\s*(?P<params>\([^;{{}}]*\))\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?=\{{)", "class": rf"\b(?:class|struct|enum(?:\s+class)?|union)\s+(?P<name>{_ID})(?P<bases>[^{{;()]*)(?=\{{)", "import": r"^[ \t]*#\s*include\s*[<\"](?P<name>[^>\"\n]+)[>\"]"},
 }
 LANGUAGES["c"] = LANGUAGES["cpp"]
@@ -141,9 +145,13 @@ _IMPL = re.compile(rf"\bimpl\s*(?:<[^{{]*?>\s*)?(?:(?P<trait>[\w:]+)(?:<[^{{]*?>
 _TYPE = re.compile(r"(?<![\w.])[A-Z]\w*")
 
 
-def blanked(source: str, imports: bool = False) -> str:
+#: Single quotes hold texts of any length.
+_SCRIPT_NOISE = re.compile(_NOISE.pattern.removesuffix("{1,2}'") + "*'", re.S)
+
+
+def blanked(source: str, imports: bool = False, script: bool = False) -> str:
     """The text without comments and strings, every character in place."""
-    return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if not imports or m[0][:2] in ("//", "/*") else m[0], source)
+    return (_SCRIPT_NOISE if script else _NOISE).sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if not imports or m[0][:2] in ("//", "/*") else m[0], source)
 
 
 def _close(text: str, at: int) -> int:
@@ -163,7 +171,8 @@ def _close(text: str, at: int) -> int:
 
 
 def brace_rows(source: str, language: str) -> list[tuple]:
-    rules, text = _COMPILED[language], blanked(source)
+    script = language in ("typescript", "tsx", "javascript")
+    rules, text = _COMPILED[language], blanked(source, script=script)
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
     import bisect
 
@@ -211,7 +220,7 @@ def brace_rows(source: str, language: str) -> list[tuple]:
             some |= not c.isspace() and depth > 0
             k += 1
         rows.append(row("call", re.sub(r"\s+", "", m["scope"] or "").replace("->", ".") + m["name"], line(at), line(k - 1), col(at), inside(at), n_args=n + 1 if some or source[m.end() : k - 1].strip() else 0))
-    for m in rules["import"].finditer(blanked(source, imports=True)):
+    for m in rules["import"].finditer(blanked(source, imports=True, script=script)):
         name = (pick(m, "name") or "").strip()
         if language == "rust":
             rows += [row("import", p, line(m.start()), items=i) for p, i in use_tree(name)]
@@ -300,8 +309,9 @@ def html_rows(source: str) -> list[tuple]:
 def keys_rows(source: str, language: str) -> list[tuple]:
     from lodestone.operators.text import PATTERNS
 
-    rule = re.compile(PATTERNS[language])
-    return [row("function", m[1] if m.re.groups else m[0].rstrip(" \t,:{"), k) for k, x in enumerate(source.split("\n"), 1) if (m := rule.match(x))]
+    rule, css = re.compile(PATTERNS[language]), language == "css"
+    lines = [x.lstrip() if css else x for x in source.split("\n")]
+    return [row("function", x.rstrip(" \t\r,:{") if css else m[1], k) for k, x in enumerate(lines, 1) if (m := rule.match(x))]
 
 
 #: Languages and what reads them.
@@ -414,28 +424,32 @@ def wildcard_imports(x: DataFrame, sources: DataFrame) -> DataFrame:
     target = F.array_join(F.filter(F.array(base, rest), lambda c: c != ""), "/")
     stars = stars.withColumn("target", F.explode(F.array(F.concat(target, F.lit(".py")), F.concat(target, F.lit("/__init__.py"))))).filter("target <> path")
 
-    @F.udf("array<string>")
-    def exported(content):
+    def names_in(content):
         try:
             return exports(content or "")
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError):
             return None
 
+    @F.pandas_udf("array<string>")
+    def exported(contents: pd.Series) -> pd.Series:
+        return contents.map(names_in)
+
     known = sources.filter(F.endswith("path", F.lit(".py"))).select(F.col("path").alias("target"), exported("content").alias("names"))
     found = stars.join(known, "target").groupBy("path", "module", "line").agg(F.min("names").alias("names"))
     return imports(x).join(found, ["path", "module", "line"], "left").withColumn("items", F.coalesce("names", "items")).drop("names")
 
 
-@udtf(returnType="capture string, text string, line int, start int, end int")
+@udtf(returnType="capture string, text string, line int, start int, end int", useArrow=True)
 class QueryCaptures:
     """Named groups of a pattern over a text: ``FROM s, LATERAL query_captures(content, pattern)``."""
 
     def eval(self, content: str, pattern: str):
+        feeds = [m.start() for m in re.finditer("\n", content or "")]
         for m in re.finditer(pattern, content or "", re.M):
             for name, text in (m.groupdict() or {"match": m[0]}).items():
                 if text is not None:
                     at = m.start(name) if m.groupdict() else m.start()
-                    yield name, text, content.count("\n", 0, at) + 1, at, at + len(text)
+                    yield name, text, bisect_left(feeds, at) + 1, at, at + len(text)
 
 
 def register(spark) -> None:

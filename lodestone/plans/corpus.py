@@ -71,8 +71,7 @@ def _scalars(spark, d):
 
 QUERIES = {
     "s5_p6_f6_sources": lambda s, d: _files(s, d),
-    "s4_eligible": lambda s, d: C.eligible(sources(s, d).withColumn("content", F.col("content").cast("binary")), 2000).select("path", F.octet_length("content").cast("bigint").alias("n_bytes")),
-    "s4_eligible_all": lambda s, d: C.eligible(sources(s, d).withColumn("content", F.col("content").cast("binary"))).select("path", F.octet_length("content").cast("bigint").alias("n_bytes")),
+    "s4_eligible": lambda s, d: C.eligible(sources(s, d).withColumn("content", F.col("content").cast("binary"))).select("path", F.octet_length("content").cast("bigint").alias("n_bytes")),
     "p2_p3_depth": lambda s, d: C.entries(_files(s, d)).filter("depth <= 2").groupBy("depth", "is_dir").count(),
     "p4_excluded": lambda s, d: sources(s, d).filter(paths.is_excluded(F.col("path"))).select("path"),
     "p5_j8_changed": _changed,
@@ -100,8 +99,7 @@ QUERIES = {
 
 ORACLES = {
     "s5_p6_f6_sources": _F + "SELECT * FROM f",
-    "s4_eligible": f"WITH {SOURCES} SELECT path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM s WHERE strlen(content) <= 2000",
-    "s4_eligible_all": f"WITH {SOURCES} SELECT path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM s WHERE strlen(content) <= 10000000",
+    "s4_eligible": f"WITH {SOURCES} SELECT path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM s WHERE strlen(content) <= 10000000",
     "p2_p3_depth": _E + "SELECT CAST(len(string_split(path, '/')) AS INTEGER) AS depth, is_dir, count(*) AS count FROM e WHERE len(string_split(path, '/')) <= 2 GROUP BY 1, 2",
     "p4_excluded": f"WITH {SOURCES} SELECT path FROM s WHERE list_has_any(string_split(path, '/'), {list(paths.EXCLUDED)})",
     "p5_j8_changed": _E + f", c AS (SELECT path FROM s WHERE ord % 10 = 0) SELECT path, is_dir FROM e WHERE NOT is_dir AND path IN (SELECT path FROM c) UNION ALL SELECT path, is_dir FROM e WHERE is_dir AND path IN ({_DIRS.format('c')})",

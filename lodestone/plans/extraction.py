@@ -25,9 +25,8 @@ def _captures(s, d):
     return s.sql("SELECT p.p_partkey, c.text, c.line FROM lodestone_rust_parts p, LATERAL query_captures(p.content, 'fn (?P<name>[a-z]+)') c")
 
 
-def _wildcards(s, d, most=None):
+def _wildcards(s, d):
     p = table(s, d, "part")
-    p = p if most is None else p.filter(F.col("p_partkey") <= most)
     own = p.select(F.concat(F.lit("d/m"), "p_partkey", F.lit(".py")).alias("path"), F.expr("'def f' || p_partkey || '(): pass' || chr(10) || 'def _g(): pass'").alias("content"))
     users = p.select(F.concat(F.lit("d/u"), "p_partkey", F.lit(".py")).alias("path"), F.expr("'from .m' || p_partkey || ' import *'").alias("content"))
     src = own.unionByName(users)
@@ -44,8 +43,7 @@ QUERIES = {
     "e8_impl_traits": lambda s, d: E.impl_traits(_rust(s, d)),
     "e9_o8_def_use": lambda s, d: E.def_use(_python(s, d), "total").select("path", "kind", "line", "enclosing_scope"),
     "e15_module_index": lambda s, d: E.module_index(_python(s, d)).select("path", F.array_join(F.transform("functions", lambda f: f["name"]), ",").alias("functions"), F.array_join(F.transform("imports", lambda f: f["module"]), ",").alias("imports")),
-    "e16_j12_wildcards": lambda s, d: _wildcards(s, d, 50),
-    "e16_j12_wildcards_all": _wildcards,
+    "e16_j12_wildcards": _wildcards,
     "e18_x1_captures": _captures,
     "a6_e1_counts": lambda s, d: E.counts(_rust(s, d)),
     "a7_call_frequency": lambda s, d: E.call_frequency(_rust(s, d)),
@@ -64,8 +62,7 @@ ORACLES = {
     "e8_impl_traits": f"SELECT {_R}, 'Show' AS trait_name, 'S' || p_partkey AS impl_type, 3 AS line FROM part",
     "e9_o8_def_use": f"SELECT {_P}, unnest(['write', 'write_read', 'read']) AS kind, unnest([5, 6, 7]) AS line, 'f' || p_partkey AS enclosing_scope FROM part",
     "e15_module_index": f"SELECT {_P}, 'f' || p_partkey || ',run' AS functions, 'os,m' || p_size AS imports FROM part",
-    "e16_j12_wildcards": "SELECT 'd/u' || p_partkey || '.py' AS path, '.m' || p_partkey AS module, 'f' || p_partkey AS items FROM part WHERE p_partkey <= 50",
-    "e16_j12_wildcards_all": "SELECT 'd/u' || p_partkey || '.py' AS path, '.m' || p_partkey AS module, 'f' || p_partkey AS items FROM part",
+    "e16_j12_wildcards": "SELECT 'd/u' || p_partkey || '.py' AS path, '.m' || p_partkey AS module, 'f' || p_partkey AS items FROM part",
     "e18_x1_captures": "SELECT p_partkey, unnest(['show', 'help']) AS text, unnest([4, 6]) AS line FROM part",
     "a6_e1_counts": f"SELECT {_R}, CAST(2 AS BIGINT) AS function_count, CAST(1 AS BIGINT) AS class_count FROM part",
     "a7_call_frequency": f"SELECT {_R}, 'help' AS callee, CAST(1 AS BIGINT) AS n FROM part",

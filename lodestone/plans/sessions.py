@@ -76,7 +76,7 @@ def _checks(s, d):
 
 
 def _handoffs(s, d):
-    x = _sessions(s, d).withColumn("k", F.crc32("session_id"))
+    x = _sessions(s, d).withColumn("k", F.regexp_extract("session_id", r"(\d+)$", 1).cast("bigint"))
     part = lambda m, c: x.filter(F.col("k") % m != 0).select("session_id", c)
     return S.handoffs(part(3, "complexity"), part(4, "pr_url"), part(5, "verdict"))
 
@@ -124,6 +124,9 @@ _TOK = "t AS (SELECT conv_id AS session, CAST(sum(CASE WHEN length(text) % 4 <>
 _P = "round(coalesce(100.0 * {0} / nullif({1}, 0), 0), 2)"
 
 ORACLES = {
+    "j13_handoffs": f"""WITH {_SESSIONS}, k AS (SELECT *, CAST(regexp_extract(session_id, '(\\d+)$', 1) AS BIGINT) AS k FROM s)
+ SELECT coalesce(a.session_id, b.session_id, c.session_id) AS session_id, complexity, pr_url, verdict FROM (SELECT session_id, complexity FROM k WHERE k % 3 <> 0) a FULL OUTER JOIN (SELECT session_id, pr_url FROM k WHERE k % 4 <> 0) b ON a.session_id = b.session_id
+ FULL OUTER JOIN (SELECT session_id, verdict FROM k WHERE k % 5 <> 0) c ON c.session_id = coalesce(a.session_id, b.session_id)""",
     "p18_tool_classes": f"WITH {_CALLS} SELECT class, count(*) AS n FROM k GROUP BY 1",
     "p19_p30_tool_kinds": f"WITH {_CALLS} SELECT CASE WHEN starts_with(tool, 'analyze') THEN 'analyze' WHEN tool IN ('Bash', 'ext__shell') THEN 'shell' ELSE 'editor' END AS kind, tool IN ('Bash', 'ext__shell') AND command = 'rg ''fn main''' AS structural, count(*) AS n FROM c GROUP BY 1, 2",
     "p20_validation": f"""WITH {_CALLS}, g AS (SELECT session, condition, count_if(class = 'mcp') AS mcp, count_if(class = 'native') AS native, count_if(class IN ('mcp', 'native')) AS research FROM k GROUP BY 1, 2),

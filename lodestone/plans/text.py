@@ -46,12 +46,9 @@ def _output_lines(s, d):
     return lines(s, d).select(F.col("doc_id").alias("run_id"), (F.col("pos") % 3 == 0).alias("is_stderr"), "line")
 
 
-def _sites(s, d, most=None):
-    """Each order is a file; with ``most`` the orders below it, folded to 50 files."""
-    li = table(s, d, "lineitem")
-    path = F.col("l_orderkey")
-    if most is not None:
-        li, path = li.filter(path < most), path % 50
+def _sites(s, d):
+    """Each order is a file."""
+    li, path = table(s, d, "lineitem"), F.col("l_orderkey")
     kind = F.when(F.col("l_linenumber") % 3 == 0, "write").when(F.col("l_linenumber") % 3 == 1, "read").otherwise("write_read")
     return li.select(path.alias("path"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 4).alias("column"), kind.alias("kind"), F.col("l_orderkey").alias("id")).dropDuplicates(["path", "line", "column", "kind"]).drop("id")
 
@@ -74,16 +71,13 @@ QUERIES = {
     "d5_d6_p21_p22_j16_filters": lambda s, d: T.filtered(_runs(s, d), T.builtin_rules(s)).select("run_id", F.size("lines").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("h"), "filter_applied"),
     "a40_stream_bytes": lambda s, d: T.stream_bytes(_output_lines(s, d)),
     "p27_p29_commands": lambda s, d: table(s, d, "nation").select("n_nationkey", F.concat(F.when(F.col("n_nationkey") % 2 == 0, "cd /tmp && ").otherwise(""), F.lit("git pull origin")).alias("c")).select("n_nationkey", T.without_cd(F.col("c"))[0].alias("dir"), T.no_stat(T.without_cd(F.col("c"))[1]).alias("rest")),
-    "o8_j11_def_use_order": lambda s, d: T.def_use_order(_sites(s, d, 400)),
-    "o8_j11_def_use_order_all": lambda s, d: T.def_use_order(_sites(s, d)),
-    "a12_p16_def_use_counts": lambda s, d: _use_counts(_sites(s, d, 400)),
-    "a12_p16_def_use_counts_all": lambda s, d: _use_counts(_sites(s, d)),
+    "o8_j11_def_use_order": lambda s, d: T.def_use_order(_sites(s, d)),
+    "a12_p16_def_use_counts": lambda s, d: _use_counts(_sites(s, d)),
 }
 
 _SPLIT = "string_split(text, chr(10))"
 _RULES = "CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'git status' WHEN doc_id % 5 = 1 THEN 'git log' WHEN doc_id % 5 = 2 THEN 'cargo build' WHEN doc_id % 5 = 4 THEN 'git fetch' END"
-_SITES = "s AS (SELECT DISTINCT l_orderkey % 50 AS path, l_linenumber AS line, l_partkey % 4 AS \"column\", CASE l_linenumber % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'write_read' END AS kind FROM lineitem WHERE l_orderkey < 400), o AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'read' THEN 1 ELSE 0 END, path, line, \"column\") AS INTEGER) AS ord FROM s WHERE kind <> 'read' OR (path, line, \"column\") NOT IN (SELECT (path, line, \"column\") FROM s WHERE kind <> 'read'))"
-_ALL_SITES = _SITES.replace("l_orderkey % 50 AS path", "l_orderkey AS path").replace(" WHERE l_orderkey < 400)", ")")
+_SITES = "s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, l_partkey % 4 AS \"column\", CASE l_linenumber % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'write_read' END AS kind FROM lineitem), o AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'read' THEN 1 ELSE 0 END, path, line, \"column\") AS INTEGER) AS ord FROM s WHERE kind <> 'read' OR (path, line, \"column\") NOT IN (SELECT (path, line, \"column\") FROM s WHERE kind <> 'read'))"
 
 ORACLES = {
     "e10_css": f"SELECT path, rtrim(ltrim(name, ' ' || chr(9)), ' ,:{{') AS name, line FROM ({_KEYS(_CSS, r'^\s*[.#][\w-]+[\s,:{].*', 0)})",
@@ -107,7 +101,5 @@ ORACLES = {
     "a40_stream_bytes": f"WITH {LINES} SELECT doc_id AS run_id, pos % 3 = 0 AS is_stderr, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes_raw FROM l GROUP BY 1, 2",
     "p27_p29_commands": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '/tmp' END AS dir, 'git pull --no-stat origin' AS rest FROM nation",
     "o8_j11_def_use_order": f"WITH {_SITES} SELECT * FROM o",
-    "o8_j11_def_use_order_all": f"WITH {_ALL_SITES} SELECT * FROM o",
-    "a12_p16_def_use_counts_all": f"WITH {_ALL_SITES} SELECT path, count_if(kind <> 'read') AS writes, count_if(kind = 'read') AS reads FROM o GROUP BY path",
     "a12_p16_def_use_counts": f"WITH {_SITES} SELECT path, count_if(kind <> 'read') AS writes, count_if(kind = 'read') AS reads FROM o GROUP BY path",
 }

@@ -131,10 +131,10 @@ def test_whole_tables(spark, tmp_path):
     q, d = registry.queries(), str(tmp_path)
     spark.sql("SELECT id AS p_partkey, 1 AS p_size FROM range(49, 60)").write.parquet(f"{d}/part.parquet")
     spark.sql("SELECT id AS l_orderkey, 2 AS l_linenumber, id AS l_partkey, 0.1D AS l_discount, 0.2D AS l_tax FROM range(395, 505)").write.parquet(f"{d}/lineitem.parquet")
-    assert {r.path for r in q["e16_j12_wildcards_all"](spark, d).collect()} == {f"d/u{k}.py" for k in range(49, 60)}
-    assert [r.path for r in q["o8_j11_def_use_order_all"](spark, d).orderBy("ord").collect()] == list(range(395, 505))
-    assert {(r.path, r.writes, r.reads) for r in q["a12_p16_def_use_counts_all"](spark, d).collect()} == {(k, 1, 0) for k in range(395, 505)}
-    assert q["x_unpivot_all"](spark, d).count() == 220
+    assert {r.path for r in q["e16_j12_wildcards"](spark, d).collect()} == {f"d/u{k}.py" for k in range(49, 60)}
+    assert [r.path for r in q["o8_j11_def_use_order"](spark, d).orderBy("ord").collect()] == list(range(395, 505))
+    assert {(r.path, r.writes, r.reads) for r in q["a12_p16_def_use_counts"](spark, d).collect()} == {(k, 1, 0) for k in range(395, 505)}
+    assert q["x_unpivot"](spark, d).count() == 220
 
 
 def test_cosine_of_every_twentieth(spark, tmp_path):
