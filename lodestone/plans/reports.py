@@ -67,7 +67,7 @@ def _with_classes(s, d):
 
 _INFO = "'[' || array_to_string(list_filter([CASE WHEN line_count > 0 THEN line_count || 'L' END, CASE WHEN function_count > 0 THEN function_count || 'F' END, CASE WHEN class_count > 0 THEN class_count || 'C' END], lambda x: x IS NOT NULL), ', ') || ']'"
 _SUMS = "coalesce(sum(line_count), 0) || 'L, ' || coalesce(sum(function_count), 0) || 'F, ' || coalesce(sum(class_count), 0) || 'C'"
-_M = """WITH a AS (SELECT l_orderkey, l_linenumber, min({'line': l_linenumber * 10, 'name': 'fn_' || l_linenumber || '_' || l_partkey, 'x': 'x: ' || l_linestatus}) AS f FROM lineitem GROUP BY 1, 2),
+_M = """WITH a AS (SELECT l_orderkey, l_linenumber, min({'line': l_linenumber * 10, 'name': 'fn_' || l_linenumber || '_' || l_partkey, 'e': l_linenumber * 10 + CAST(l_quantity AS BIGINT) % 9, 'x': 'x: ' || l_linestatus}) AS f FROM lineitem GROUP BY 1, 2),
  b AS (SELECT l_orderkey, l_linenumber, min({'line': l_linenumber * 10, 'module': 'm' || l_suppkey % 7, 'items': CASE WHEN l_returnflag = 'R' THEN [l_returnflag, l_linestatus] ELSE [] END}) AS i FROM lineitem GROUP BY 1, 2),
  m AS (SELECT a.l_orderkey, list(f ORDER BY l_linenumber) AS fs, list(i ORDER BY l_linenumber) AS ims FROM a JOIN b USING (l_orderkey, l_linenumber) GROUP BY 1) """
 _IN = "ci AS (SELECT callee AS node, caller AS neighbor, row_number() OVER (PARTITION BY callee ORDER BY left(caller, 1), CAST(caller[2:] AS BIGINT), caller) AS ord FROM e), fi AS (SELECT node, neighbor FROM ci WHERE ord = 1)"
