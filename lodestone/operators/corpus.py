@@ -67,10 +67,9 @@ def largest_directory(f: DataFrame) -> DataFrame:
 def top_files(f: DataFrame, n: int = 3) -> DataFrame:
     """O2: the first files of each top directory, by classes, functions, path; by functions, path where it has no classes. Empty ones go afterwards."""
     d = f.filter(F.contains("path", F.lit("/"))).withColumn("dir", top_component(F.col("path")))
-    has = F.max("class_count").over(Window.partitionBy("dir")) > 0
-    d = d.withColumn("c", F.when(has, F.col("class_count")).otherwise(0))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("c"), F.desc("function_count"), "path")))
-    return d.filter((F.col("rank") <= n) & ((F.col("class_count") > 0) | (F.col("function_count") > 0))).select("dir", "rank", "path", "class_count", "function_count")
+    # Without classes all counts are 0, so that the functions decide. Only the first rows of each task are shuffled.
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("class_count"), F.desc("function_count"), "path"))).filter(F.col("rank") <= n)
+    return d.filter((F.col("class_count") > 0) | (F.col("function_count") > 0)).select("dir", "rank", "path", "class_count", "function_count")
 
 
 def sub_directories(f: DataFrame, n: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -326,13 +326,24 @@ def astro_rows(source: str) -> list[tuple]:
 READERS["astro"] = astro_rows
 
 
-def rows_of(source: str, language: str) -> list[tuple]:
+def register_language(name: str, reader: Callable[[str], list[tuple]]) -> None:
+    """Files of the language ``name`` are read by ``reader``, which gives rows made by ``row``. Kept by the session's Python and sent along with each extraction."""
+    if not name or name != name.lower():
+        raise ValueError("a language's name is in lower case")
+    READERS[name] = reader
+
+
+def rows_of(source: str, language: str, readers: dict | None = None) -> list[tuple]:
+    readers = READERS if readers is None else readers
     try:
-        return READERS[language](source) if source and language in READERS else []
+        return readers[language](source) if source and language in readers else []
     except (SyntaxError, ValueError, RecursionError) as e:
         return [row("error", type(e).__name__, 0, params=str(e)[:200])]
 
 
+_BUILT_IN = dict(READERS)
+
+
 # ---------------------------------------------------------------- tables
 
 
@@ -340,12 +351,15 @@ def extract(sources: DataFrame) -> DataFrame:
     """Rows of all kinds for (path, content), the language from the path or a column ``language``."""
     s = sources if "language" in sources.columns else sources.withColumn("language", language_label(F.col("path")))
 
+    own_readers = {k: f for k, f in READERS.items() if f is not _BUILT_IN.get(k)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers = READERS | own_readers
         kinds = dict(zip(FIELDS, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string()), strict=True))
         for batch in batches:
             paths, out = [], []
             for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
-                own = rows_of(content or "", language)
+                own = rows_of(content or "", language, readers)
                 paths += [path] * len(own)
                 out += own
             cols = list(zip(*out, strict=True)) if out else [[] for _ in FIELDS]

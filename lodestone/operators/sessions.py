@@ -121,7 +121,7 @@ def wall_time(messages: DataFrame) -> DataFrame:
 
 def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """prices (provider, model, price_in, price_out) are a short list."""
-    return tokens.join(F.broadcast(prices), ["provider", "model"], "left").select("session", F.round(cost_usd(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out")), 6).alias("cost_usd"))
+    return tokens.join(prices, ["provider", "model"], "left").select("session", F.round(cost_usd(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out")), 6).alias("cost_usd"))
 
 
 def parameter_usage(calls: DataFrame, tool: str) -> DataFrame:
@@ -161,7 +161,7 @@ def rank_tests(runs: DataFrame, value: str, by: str = "condition") -> DataFrame:
     held = runs.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     sizes = held.groupBy("g").agg(F.sum("c").alias("n"))
     pairs = sizes.select(F.col("g").alias("a"), F.col("n").alias("n1")).join(sizes.select(F.col("g").alias("b"), F.col("n").alias("n2")), F.col("a") < F.col("b"))
-    both = pairs.join(held, (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    both = pairs.join(held, F.col("g") == F.col("a")).unionByName(pairs.join(held, F.col("g") == F.col("b")))
     at = both.groupBy("a", "b", "n1", "n2", "v").agg(F.sum("c").alias("t"), F.sum(F.when(F.col("g") == F.col("a"), F.col("c")).otherwise(0)).alias("own"))
     w = Window.partitionBy("a", "b").orderBy("v")
     rank = F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t") + (F.col("t") + 1) / 2

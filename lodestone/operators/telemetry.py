@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -171,7 +173,11 @@ def breaker(m: DataFrame, limit: int = 5) -> DataFrame:
 SECTIONS = {"latency": latency, "reliability": reliability, "cache": cache, "outliers": outliers, "trend": trend, "params": params_usage, "pagination": pagination, "features": features, "git_ref": git_ref, "timeout": timeouts}
 
 
-def report(m: DataFrame, sections: list[str] | None = None) -> dict[str, DataFrame]:
-    """The sections by name, from one persisted scan."""
+@contextmanager
+def report(m: DataFrame, sections: list[str] | None = None) -> Iterator[dict[str, DataFrame]]:
+    """The sections by name, from one scan that is persisted while they are read."""
     m = m.persist()
-    return {k: f(m) for k, f in SECTIONS.items() if sections is None or k in sections}
+    try:
+        yield {k: f(m) for k, f in SECTIONS.items() if sections is None or k in sections}
+    finally:
+        m.unpersist()

@@ -73,6 +73,8 @@ _BUNDLED = [
     (r"^git\s+add", "git add", True, [r"^\s*[○│╲░]", r"^.*gitleaks", r"^.*INF\b"], [], 5, "ok staged"),
 ]
 RULES = "priority int, match_command string, description string, strip_ansi boolean, strip_lines_matching array<string>, keep_lines_matching array<string>, max_lines int, on_empty string"
+#: Rules are sent to every executor.
+MOST_RULES = 10_000
 ANSI = r"\x1B\[[0-?]*[ -/]*[@-~]"
 
 
@@ -82,10 +84,15 @@ def builtin_rules(spark, first: list[tuple] = ()) -> DataFrame:
 
 
 def with_rule(runs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each run with exit code 0 and the first rule that matches its command; rules are a short list."""
-    ok = runs.join(F.broadcast(rules), F.expr("exit_code = 0 AND command RLIKE match_command"), "left")
-    best = ok.groupBy("run_id").agg(F.min("priority").alias("priority"))
-    return runs.join(best, "run_id").join(F.broadcast(rules), "priority", "left")
+    """Each run with exit code 0 and the first rule that matches its command; rules are a short list.
+
+    Rules are matched with different commands, not with runs.
+    """
+    if rules.count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    commands = runs.filter("exit_code = 0 and command is not null").select(F.col("command").alias("said")).distinct()
+    best = commands.join(F.broadcast(rules), F.expr("said RLIKE match_command")).groupBy("said").agg(F.min("priority").alias("priority"))
+    return runs.join(best, (F.col("exit_code") == 0) & (F.col("command") == F.col("said")), "left").drop("said").join(F.broadcast(rules), "priority", "left")
 
 
 def filter_lines(lines: Column, strip: Column, keep: Column, most: Column, on_empty: Column, ansi: Column) -> Column:

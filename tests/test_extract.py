@@ -115,3 +115,22 @@ def test_query_captures(spark):
     spark.createDataFrame([("p", "fn a\nfn b")], "path string, content string").createOrReplaceTempView("src_q")
     got = spark.sql("SELECT c.* FROM src_q s, LATERAL query_captures(s.content, 'fn (?P<name>[a-z])') c")
     assert [(r.capture, r.text, r.line) for r in got.collect()] == [("name", "a", 1), ("name", "b", 2)]
+
+
+def test_registered_language(spark):
+    E.register_language("ini", lambda source: [E.row("class", line[1:-1], k) for k, line in enumerate(source.split("\n"), 1) if line.startswith("[")])
+    try:
+        got = E.extract(spark.createDataFrame([("a.ini", "[x]\nk = 1\n[y]")], "path string, content string")).collect()
+        assert [(r.kind, r.name, r.line) for r in got] == [("class", "x", 1), ("class", "y", 3)]
+    finally:
+        del E.READERS["ini"]
+
+
+def test_report_lets_go_of_its_scan(spark):
+    from lodestone.operators import telemetry
+    from lodestone.plans.adapters import metric_events
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with telemetry.report(metric_events(spark, "/root/testdata/sf0.001")) as sections:
+        assert sections and all(df.columns for df in sections.values())
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
