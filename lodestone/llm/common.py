@@ -124,11 +124,17 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     e = checkpointed(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     tasks = max(8, -(-e.count() // EDGES_A_TASK))
     e, seen = e.coalesce(tasks), None
+
+    def least(edges: DataFrame) -> DataFrame:
+        """The least neighbour of each node. Grouped by a second key, it is shuffled again for the join by node, whose sides
+        are so both plain shuffles: a node with very many edges is split over tasks."""
+        return edges.groupBy("u", F.xxhash64("u").alias("z")).agg(F.min("v").alias("m")).drop("z")
+
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = least(both).select("u", F.least("u", "m").alias("m"))
         e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = least(e)
         e = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         e = checkpointed(e)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
