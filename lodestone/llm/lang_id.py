@@ -33,8 +33,8 @@ UND = "und"
 FLOOR = 1e-8
 #: Letters of a word that is one of many in an array.
 SHORT = 31
-#: Bytes of the scores of words that a task keeps.
-KEPT_BYTES = 128 << 20
+#: Words whose scores a task keeps, and bytes of these scores.
+KEPT, KEPT_BYTES = 250_000, 64 << 20
 #: Parts of a language whose texts of the lowest hashes are found apart.
 SPREAD = 16
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -276,12 +276,12 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: in
 
 
 class Scorer:
-    """Log-likelihoods of texts; short words that were scored are kept, in at most ``KEPT_BYTES``."""
+    """Log-likelihoods of texts; short words that were scored are kept, ``KEPT`` of them in ``KEPT_BYTES`` at most."""
 
     def __init__(self, model: Model, most: int | None = None) -> None:
         self.lattice, self.p = Lattice(model.pieces), model.p
         self.log_p = np.log(model.p)
-        self.most = most or max(1_000, KEPT_BYTES // (8 * max(1, model.p.shape[1])))
+        self.most = most or min(KEPT, max(1_000, KEPT_BYTES // (8 * max(1, model.p.shape[1]))))
         self.known: dict[str, int] = {}
         self.logs = np.zeros((min(self.most, 1 << 14), model.p.shape[1]))
 
