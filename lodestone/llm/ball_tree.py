@@ -153,20 +153,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
 
     def nearest(batches):
         for batch in batches:
-            cell = np.zeros(batch.num_rows, np.int32)
+            cell, held = np.zeros(batch.num_rows, np.int32), [b""] * batch.num_rows
             for d, (own, x) in whole(batch).items():
                 c = pivots.get(d)
                 if c is not None:
                     cell[own] = (((c * c).sum(1)[None, :]) - 2 * (x @ c.T)).argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array(cell), batch.column("id"), batch.column("v")], ["dim", "cell", "id", "v"])
+                for i, v in zip(own.tolist(), x, strict=True):
+                    held[i] = packed(v)
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array(cell), batch.column("id"), pa.array(held, pa.binary())], ["dim", "cell", "id", "x"])
 
-    rows = good.select("dim", "id", "v").mapInArrow(nearest, "dim int, cell int, id long, v array<double>")
+    rows = good.select("dim", "id", "v").mapInArrow(nearest, "dim int, cell int, id long, x binary")
     sizes = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("parts"))  # at most PIVOTS rows a length
-    rows = rows.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.hash("v")), F.col("parts")).cast("int"))
+    rows = rows.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "x"), F.col("parts")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         d = table.column("dim")[0].as_py()
-        x = np.floor(256 * table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, d))
+        x = np.concatenate([unpacked(v, d) for v in table.column("x").to_pylist()])
         tree = Tree(x)
         nodes = np.array([(s, e, *(c or (-1, -1))) for s, e, c in tree.nodes], np.int64)
         one = {"dim": d, "cell": table.column("cell")[0].as_py(), "part": table.column("part")[0].as_py(), "ids": table.column("id").to_numpy()[tree.order].tobytes(), "x": packed(x[tree.order])}
