@@ -34,7 +34,7 @@ FLOOR = 1e-8
 #: Letters of a word that is one of many in an array.
 SHORT = 31
 #: Words whose scores a task keeps, and bytes of these scores.
-KEPT, KEPT_BYTES = 250_000, 64 << 20
+KEPT, KEPT_BYTES = 400_000, 64 << 20
 #: Parts of a language whose texts of the lowest hashes are found apart.
 SPREAD = 16
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -318,9 +318,13 @@ class Scorer:
         out: list[np.ndarray | None] = []
         for first in range(0, len(texts), run):
             parts = [words_in(t) for t in texts[first : first + run]]
-            fresh = {w for w in chain.from_iterable(parts) if len(w) <= SHORT and w not in self.known}
-            if len(self.known) + len(fresh) <= self.most and fresh:  # all at once, else text by text
-                self.learn(list(fresh))
+            every = {w for w in chain.from_iterable(parts) if len(w) <= SHORT}
+            fresh = [w for w in every if w not in self.known]
+            if len(self.known) + len(fresh) > self.most:
+                self.known.clear()
+                fresh = list(every)
+            if fresh and len(fresh) <= self.most:  # all at once, else text by text
+                self.learn(fresh)
             out += [self.text(ws) if ws else None for ws in parts]
         return out
 
