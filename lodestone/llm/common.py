@@ -110,11 +110,11 @@ def shingles_of(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarr
 # ---------------------------------------------------------------- connected components
 
 
-#: Edges that one task of a round handles at least.
-EDGES_A_TASK = 100_000
+#: Edges that one task of a round handles at least, and edges above which those of one node are split over tasks.
+EDGES_A_TASK, HOT_EDGES = 100_000, 2_000_000
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 40, hot: int = HOT_EDGES) -> DataFrame:
     """(node, component) for the undirected graph of ``edges`` (src, dst: long); a component is named by its smallest node.
 
     Alternates large-star and small-star steps, each an aggregation and a join, until the edges no longer change. Rounds use as many
@@ -122,13 +122,15 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     loops and repeated edges are allowed. No edges give no rows.
     """
     e = checkpointed(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    tasks = max(8, -(-e.count() // EDGES_A_TASK))
+    n = e.count()
+    tasks = max(8, -(-n // EDGES_A_TASK))
     e, seen = e.coalesce(tasks), None
 
     def least(edges: DataFrame) -> DataFrame:
         """The least neighbour of each node. Grouped by a second key, it is shuffled again for the join by node, whose sides
-        are so both plain shuffles: a node with very many edges is split over tasks."""
-        return edges.groupBy("u", F.xxhash64("u").alias("z")).agg(F.min("v").alias("m")).drop("z")
+        are so both plain shuffles: a node with very many edges is split over tasks. Few edges do without."""
+        keys = ["u", F.xxhash64("u").alias("z")] if n > hot else ["u"]
+        return edges.groupBy(*keys).agg(F.min("v").alias("m")).select("u", "m")
 
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -122,6 +122,7 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+    assert got == {x.node: x.component for x in common.components(spark.createDataFrame(edges, "src bigint, dst bigint"), hot=0).collect()}
     assert common.components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
