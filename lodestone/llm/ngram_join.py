@@ -41,10 +41,10 @@ from lodestone.llm import common
 from lodestone.llm.common import U, mix
 
 #: Most rows and bytes of shingles of a block that is one task.
-CHUNK, CHUNK_BYTES = 256, 32 << 20
+CHUNK, CHUNK_BYTES = 256, 4 << 20
 STRIPES, DEALINGS = 64, 13
 #: Leading rows of a large block: fewer than so many, half by score and a quarter by hash, with about so many shingles in all.
-LEADERS, LEADER_SHINGLES = 32, 1 << 20
+LEADERS, LEADER_SHINGLES = 32, 1 << 17
 #: Counters of the sketch that orders shingles, in parts of so many.
 SKETCH_BITS, PART_BITS = 21, 12
 #: Representatives that share one bucket of fingerprints.
