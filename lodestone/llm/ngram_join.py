@@ -212,7 +212,6 @@ class Job:
     def __init__(self, docs: DataFrame, words: int, t: Threshold, rows: int) -> None:
         self.docs, self.words, self.t = docs, words, t
         self.bits = max(6, (rows // BUCKET_ROWS).bit_length())
-        self.many = rows > SEND_ROWS
 
     def texts(self, ids: DataFrame, n: int) -> DataFrame:
         """Texts of some rows; ``ids`` has the representative as doc_id, and whatever goes along."""
