@@ -180,6 +180,7 @@ def add_columns(docs: DataFrame, text: str, made: str, start, keep: list[str] |
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names, strict=True)] + list(new))
 
     def run(batches):
+        release()  # what earlier tasks left
         f = start()
         for batch in batches:
             for s in range(0, batch.num_rows, SLICE):

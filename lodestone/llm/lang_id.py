@@ -34,7 +34,7 @@ FLOOR = 1e-8
 #: Letters of a word that is one of many in an array.
 SHORT = 31
 #: Words whose scores a task keeps, and bytes of these scores.
-KEPT, KEPT_BYTES = 400_000, 64 << 20
+KEPT, KEPT_BYTES = 200_000, 64 << 20
 #: Parts of a language whose texts of the lowest hashes are found apart.
 SPREAD = 16
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,7 +63,7 @@ class Lattice:
     """Finds the pieces in words of one length."""
 
     #: Pieces are found in a table of this many bits; those that share a place with another are in a second one.
-    BITS = 19
+    BITS = 18
 
     def __init__(self, pieces: list[str]) -> None:
         self.size = len(pieces)

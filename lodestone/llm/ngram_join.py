@@ -192,6 +192,8 @@ def _forest(table: pa.Table, left: np.ndarray | None, t: Threshold) -> tuple[np.
     a, b = overlaps(np.frombuffer(b"".join(table.column("h").to_pylist()), U), counts, left, t)
     root = _merge(left[a], b, len(ids))
     moved = np.flatnonzero(root != np.arange(len(ids)))
+    if table.nbytes > 1 << 20:
+        common.release()
     return ids[moved], ids[root[moved]]
 
 
@@ -237,6 +239,7 @@ class Job:
             sig, node, src, dst = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("sig", "node", "src", "dst"))
             _, _, more, to = _starred(sig, node)
             pairs = np.unique(np.stack([np.concatenate([src, more]), np.concatenate([dst, to])], 1), axis=0)
+            common.release()
             return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
         edges = given.mapInArrow(emit, "bucket int, sig binary, node binary, src binary, dst binary").groupBy("bucket").applyInArrow(meet, "src long, dst long")
