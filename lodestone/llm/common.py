@@ -165,18 +165,21 @@ def release() -> None:
         pass
 
 
-def add_columns(docs: DataFrame, text: str, made: str, start, keep: list[str] | None = None) -> DataFrame:
+def add_columns(docs: DataFrame, text: str | tuple[str, str], made: str, start, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those of ``keep``) with the columns of the schema ``made``, computed from a text column in Python.
 
     ``start()`` is called once a task and returns a function from a list of texts (None for null) to a list of Arrow arrays,
-    one for each new column. Column names may hold any characters or clash with nothing but those of ``made``.
+    one for each new column. Column names may hold any characters or clash with nothing but those of ``made``. A text that is kept, itself
+    or as a field (struct, field), is sent to Python once.
     """
     from pyspark.sql import types as T
 
     new = T.StructType.fromDDL(made)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
     names = [f"c{k}" for k in range(len(keep))]
-    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("t"))
+    column, field = text if isinstance(text, tuple) else (text, None)
+    own = names[keep.index(column)] if column in keep else "t"
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], *([] if column in keep else [F.col(f"`{column}`").alias("t")]))
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names, strict=True)] + list(new))
 
     def run(batches):
@@ -185,7 +188,7 @@ def add_columns(docs: DataFrame, text: str, made: str, start, keep: list[str] |
         for batch in batches:
             for s in range(0, batch.num_rows, SLICE):
                 part = batch.slice(s, SLICE)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *f(part.column("t").to_pylist())], [*names, *new.names])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *f((part.column(own) if field is None else part.column(own).field(field)).to_pylist())], [*names, *new.names])
             release()
 
     return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *new.names)

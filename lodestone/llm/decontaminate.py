@@ -124,13 +124,13 @@ class Finder:
         return sorted(found.values(), key=lambda x: (x["item_id"] is None, x["item_id"], x["at"]))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str | tuple[str, str] = "text", keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` (all columns, or those of ``keep``) with ``hits``, the items found in each text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     keep = docs.columns if keep is None else keep
-    out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text[0] if isinstance(text, tuple) else text])])
     for b in range(blocks):
         own = [(r["item_id"], plain(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
 
@@ -153,4 +153,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item is found, all columns."""
-    return scan(common.whole(docs, "text"), benchmark, rate, keep=["row"]).filter(F.size("hits") == 0).select("row.*")
+    return scan(common.whole(docs), benchmark, rate, ("row", "text"), keep=["row"]).filter(F.size("hits") == 0).select("row.*")

@@ -329,7 +329,7 @@ class Scorer:
         return out
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, model: Model, text: str | tuple[str, str] = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those of ``keep``) with lang_pred and score, the posterior of the predicted language under equal priors."""
 
     def start():
