@@ -1,10 +1,10 @@
-"""The queries op1 to op10, each an operator with production parameters over its whole table."""
+"""The queries op1 to op13, each an operator with production parameters over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ball_tree, decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units, wrappers
+from lodestone.llm import ball_tree, conversation_repair, decontaminate, hilbert, lang_id, mixing, ngram_join, oracles, permutation_index, secret_scan, units, variants, wrappers
 from lodestone.llm.common import read
 
 
@@ -48,7 +48,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op6_ball_tree_top_k, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.word_counts(read(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations")
+    return conversation_repair.summary(conversation_repair.repair(conversation_repair.damaged(given)), given)
+
+
+def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_substring_dedup, op4_hilbert_shards, op5_language_id, op6_ball_tree_top_k, op7_line_windows, op8_ngram_jaccard, op9_decontaminate, op10_secret_scan, op11_spelling_variants, op12_conversation_repair, op13_permutation_index)}
 
 
 #: SQL of the queries that SQL can express. The others hold a trained model, a dynamic programme, hashes that DuckDB lacks, or edit distances.
@@ -83,6 +96,8 @@ SELECT doc_id, CAST(min(pos) AS INTEGER) AS first_line, CAST(max(pos) + 2 AS INT
  l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
  r AS (SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT y, root FROM r JOIN l ON x = node)
 SELECT doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, min(root) AS component_id FROM g JOIN r ON node = doc_id GROUP BY 1, 2""",
+    "op11_spelling_variants": oracles.VARIANTS,
+    "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
 
 
