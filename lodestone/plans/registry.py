@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, extraction, graph, languages, relational, reports, sessions, stored, streams, telemetry, text
+from lodestone.plans import corpus, extraction, graph, languages, relational, reports, sessions, stored, streams, telemetry, text, trees
 
-MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational, reports, stored, languages)
+MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational, reports, stored, languages, trees)
 
 
 def queries() -> dict:
