@@ -10,11 +10,13 @@ The wrapper's parts are labelled once (``Wrapper``), from the names of elements,
 its slots: a part is main text or not. A page is then matched with its host's wrapper, and its text is what matches slots
 and constants labelled as main text:
 
-* Elements of ``OUT_TAGS`` or ``OUT_WORDS`` are out.
+* Elements of ``OUT_TAGS`` or ``OUT_WORDS`` are out. A word of several parts counts by its last, or by its first if the rest are words of layout
+  (``post-comments``, ``comments-area``, but not ``comments-open`` or ``category-social``). An article or main element is out only as a reader's comment, advert
+  or the like, and an element around at least half of all marked text is never out by its words or as a form.
 * Main parts are those marked as article, main or by a content word; an article counts only if it has a quarter of the mass of the
   other text that isn't out. Where nothing is marked, the whole page is a main part, but lists whose text is all in links.
-* A block that is the same constant on all pages is the template's if the slots of the main part hold most text: ``MARKED`` times the
-  constants' on at least ``MARKED_PAGES`` pages in marked parts, as much as them elsewhere. So pages that are copies but for a date stay.
+* Inside marked parts nothing is the template's: a heading that all articles share stays, however many pages there are. Where nothing is marked, a block that is
+  the same constant on all pages is the template's if the slots hold as much text as the constants. So pages that are copies but for a date stay.
 
 A page without any of the wrapper's main parts is labelled by the wrapper inferred from itself; a part of a page that the wrapper doesn't hold
 goes by the part around it. Elements nested deeper than ``DEEPEST`` are read in line with the one at that depth; a wrapper
@@ -44,7 +46,6 @@ BUCKETS = 256
 #: Wrappers of at most so many bytes in all are sent to every executor; above, pages are joined with their host's wrapper.
 SEND_BYTES = 32 << 20
 DEEPEST, WIDEST = 64, 2_000
-MARKED, MARKED_PAGES = 4, 5
 #: Two lists of parts are aligned in full if the product of their lengths is at most this.
 CELLS = 10_000
 
@@ -54,12 +55,19 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements without main text, and words of a class, id or role that say so.
-OUT_TAGS = frozenset("nav aside footer form script style noscript template head title button select textarea input iframe svg canvas object dialog menu audio video map".split())
+OUT_TAGS = frozenset("nav aside footer form script style noscript template head title button select textarea input iframe svg canvas dialog menu audio video".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts nav navbar navigation navigator menu menus topbar toolbar breadcrumb breadcrumbs sidebar sidebars side aside rail widget widgets footer foot colophon masthead comment comments commentlist disqus replies respond reactions discussion share shares sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager skip complementary contentinfo search searchbox paywall tags".split()
 )
 HEADERS = frozenset("header masthead site-header page-header topbar".split())
 MAIN_WORDS = frozenset("article articlebody article-body article-content content contents main maincontent main-content post post-body post-content entry entry-content story story-body body-text".split())
+#: Words of layout behind one of ``OUT_WORDS``; first parts that only describe; words that say nothing inside main text.
+LAYOUT = frozenset("area areas bar bars block blocks bottom box button buttons column container content form frame group header heading icon icons inner item items left link links list lists main menu outer panel post posts right row section slot title top unit wrap wrapper zone articles stories".split())
+QUALIFIERS = frozenset("author cat category format has hide is no not series show status tag taxonomy term topic type with without".split())
+SOFT = frozenset("alert alerts discussion discussions rail search side".split())
+#: What an article element must be called to be none, and those of readers, which no mass of text makes main.
+NO_ARTICLE = frozenset("comment comments comment-body commentlist reply replies ad ads advert advertisement sponsored promo widget".split())
+READERS = frozenset("comment comments commentlist disqus replies reply respond reactions".split())
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}}
@@ -328,52 +336,91 @@ def infer(pages: list[str]) -> list:
 # ---------------------------------------------------------------- labels
 
 
+def says_out(w: str, inside: bool) -> bool:
+    """Whether a class, id or role word names what isn't main text."""
+    if w in OUT_WORDS:
+        return not (inside and w in SOFT)
+    if not inside and w in HEADERS:
+        return True
+    bits = [b for b in re.split(r"[-_#]+", w) if b]
+    if w in MAIN_WORDS or not bits or bits[0] in QUALIFIERS:
+        return False
+    return bits[-1] in OUT_WORDS and not (inside and bits[-1] in SOFT) or bits[0] in OUT_WORDS and LAYOUT.issuperset(bits[1:])
+
+
 def role(tag: str, words: tuple[str, ...], inside: bool) -> str:
     """"out" (no main text), "article", "main" or "named" (a main part starts) or "" (as the element around it)."""
     if tag in OUT_TAGS or "hidden!" in words:
         return "out"
     if tag == "header" and not inside:
         return "out"
-    for w in words if tag not in ("html", "body") else ():
-        if w in OUT_WORDS or not inside and w in HEADERS:
-            return "out"
-        if "-" in w or "_" in w or "#" in w:
-            bits = re.split(r"[-_#]+", w)
-            if not OUT_WORDS.isdisjoint(bits) and MAIN_WORDS.isdisjoint((w,)):
-                return "out"
     if tag in ("article", "main"):
-        return tag
-    if not MAIN_WORDS.isdisjoint(words):
-        return "named"
-    return ""
+        return tag if NO_ARTICLE.isdisjoint(words) else "out"
+    if tag not in ("html", "body") and any(says_out(w, inside) for w in words):
+        return "out"
+    return "" if MAIN_WORDS.isdisjoint(words) else "named"
+
 
+def words_of(p: list) -> tuple[str, ...]:
+    return tuple(p[2].split(" ")) if p[2] else ()
 
-def said(p: list, inside: bool) -> str:
-    return role(p[1], tuple(p[2].split(" ")) if p[2] else (), inside)
 
+def said(p: list, inside: bool, kept: frozenset[int] = frozenset()) -> str:
+    r = role(p[1], words_of(p), inside)
+    if r == "out" and id(p) in kept:
+        return p[1] if p[1] in ("article", "main") else "" if MAIN_WORDS.isdisjoint(words_of(p)) else "named"
+    return r
 
-def masses(parts: list, inside: bool, found: Counter, linked: bool = False) -> None:
+
+def around_main(parts: list) -> frozenset[int]:
+    """Elements that hold at least half of all text in marked elements, though their words, or that they are forms, say that they are out."""
+    held: list[tuple[list, int]] = []
+
+    def marked(parts: list) -> tuple[int, int]:
+        """Letters in all, and in the outermost marked elements."""
+        letters = total = 0
+        for p in parts:
+            if p[0] == "t":
+                letters += p[2]
+            elif p[0] in "?+":
+                inner = marked(p[1])
+                letters, total = letters + inner[0], total + inner[1]
+            elif p[0] == "e":
+                words = words_of(p)
+                if p[1] in OUT_TAGS and p[1] != "form" or not READERS.isdisjoint(words) or "hidden!" in words:
+                    continue
+                inner, below = marked(p[3])
+                own = inner if p[1] in ("article", "main") or not MAIN_WORDS.isdisjoint(words) else below
+                held.append((p, own))
+                letters, total = letters + inner, total + own
+        return letters, total
+
+    total = marked(parts)[1]
+    return frozenset(id(p) for p, own in held if total and 2 * own >= total)
+
+
+def masses(parts: list, inside: bool, found: Counter, linked: bool = False, kept: frozenset[int] = frozenset()) -> None:
     """Letters in parts that aren't out: all, in links, and below each mark."""
     for p in parts:
         if p[0] == "t":
             found["all"] += p[2]
             found["links"] += p[2] if linked else 0
         elif p[0] == "e":
-            r = said(p, inside)
+            r = said(p, inside, kept)
             if r == "out":
                 continue
             before = found["all"]
-            masses(p[3], inside or bool(r), found, linked or p[1] == "a")
+            masses(p[3], inside or bool(r), found, linked or p[1] == "a", kept)
             if r:
                 found[r] += found["all"] - before
         elif p[0] in "?+":
-            masses(p[1], inside, found, linked)
+            masses(p[1], inside, found, linked, kept)
 
 
-def main_rank(parts: list) -> str:
+def main_rank(parts: list, kept: frozenset[int] = frozenset()) -> str:
     """What marks main parts: article, main or a content word; "" if nothing with text does."""
     found: Counter = Counter()
-    masses(parts, False, found)
+    masses(parts, False, found, kept=kept)
     widest = max(found["main"], found["named"])
     if found["article"] and 4 * found["article"] >= widest:
         return "article"
@@ -449,33 +496,33 @@ class Level:
 class Wrapper:
     """A host's wrapper with labels: "out", "main" (text of the page) or "" (main parts may be inside)."""
 
-    def __init__(self, parts: list, pages: int = 1) -> None:
-        self.rank = main_rank(parts)
+    def __init__(self, parts: list) -> None:
+        self.kept = around_main(parts)
+        self.rank = main_rank(parts, self.kept)
         self.drop: set[int] = set()
-        self._template(parts, pages)
+        if not self.rank:
+            self._template(parts)
         self.level = Level(parts, self, not self.rank)
 
-    def _template(self, parts: list, pages: int) -> None:
-        """Blocks of required constants in main parts, if slots hold most of the text there."""
+    def _template(self, parts: list) -> None:
+        """Blocks of required constants where nothing is marked, if slots hold most of the text."""
         slots, held, blocks = 0, 0, []
 
-        def walk(parts: list, main: bool, sure: bool, block: list) -> None:
+        def walk(parts: list, sure: bool, block: list) -> None:
             nonlocal slots, held
             for p in parts:
                 if p[0] == "e":
-                    r = said(p, main)
-                    if r == "out":
+                    if said(p, True, self.kept) == "out":
                         continue
-                    inner = main or r == self.rank
                     if p[1] in BLOCKS:
                         blocks.append([])
-                        walk(p[3], inner, sure, blocks[-1])
+                        walk(p[3], sure, blocks[-1])
                         blocks.append(block := [])
                     else:
-                        walk(p[3], inner, sure, block)
+                        walk(p[3], sure, block)
                 elif p[0] in "?+":
-                    walk(p[1], main, sure and p[0] == "+", block)
-                elif p[0] == "t" and main:
+                    walk(p[1], sure and p[0] == "+", block)
+                elif p[0] == "t":
                     block.append((p, sure and p[1] is not None))
                     if p[1] is None:
                         slots += p[2]
@@ -485,8 +532,8 @@ class Wrapper:
                     blocks.append(block := [])
 
         blocks.append([])
-        walk(parts, not self.rank, True, blocks[-1])
-        if slots >= (MARKED * held if self.rank else max(held, 1)) and (not self.rank or pages >= MARKED_PAGES):
+        walk(parts, True, blocks[-1])
+        if slots >= max(held, 1):
             self.drop = {id(p) for b in blocks if all(same for _, same in b) for p, _ in b}
 
     def label(self, p: list, main: bool) -> tuple:
@@ -494,7 +541,7 @@ class Wrapper:
             return ("main" if main and id(p) not in self.drop else "out", None)
         if p[0] != "e":
             return ("main" if main else "", None)
-        r = said(p, main)
+        r = said(p, main, self.kept)
         if r == "out" or not self.rank and self._menu(p):
             return ("out", None)
         inner = main or r == self.rank
@@ -605,7 +652,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             for page, wrapper, n in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "pages")), strict=True):
                 w = known.get(wrapper or "[]")
                 if w is None:
-                    w = known[wrapper or "[]"] = Wrapper(json.loads(wrapper or "[]"), n or 0)
+                    w = known[wrapper or "[]"] = Wrapper(json.loads(wrapper or "[]"))
                     if len(known) > 500:
                         known.popitem(last=False)
                 out.append(w.read(page))
