@@ -125,11 +125,12 @@ class Finder:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str | tuple[str, str] = "text", keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` (all columns, or those of ``keep``) with ``hits``, the items found in each text."""
+    """``docs`` (all columns, or those of ``keep``) with ``hits``, the items found in each text. A column of that name is replaced; documents that repeat a row are each scanned."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "hits"]
+    earlier = next(f"earlier{k}" for k in range(len(docs.columns) + 1) if f"earlier{k}" not in docs.columns)
     out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text[0] if isinstance(text, tuple) else text])])
     for b in range(blocks):
         own = [(r["item_id"], plain(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
@@ -141,8 +142,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str |
         if not b:
             out = common.add_columns(out, text, HITS, start, out.columns if blocks > 1 else keep)
         else:
-            out = common.checkpointed(out.withColumnRenamed("hits", "earlier"))
-            out = common.add_columns(out, text, HITS, start).withColumn("hits", F.concat("earlier", "hits")).drop("earlier")
+            out = common.checkpointed(out.withColumnRenamed("hits", earlier))
+            out = common.add_columns(out, text, HITS, start).withColumn("hits", F.concat(earlier, "hits")).drop(earlier)
     return out.select(*[F.col(f"`{c}`") for c in keep], "hits")
 
 

@@ -51,8 +51,11 @@ def pieces_of(path: str = VOCABULARY) -> list[str]:
 
 
 def words_in(text: str | None) -> list[str]:
-    """The runs of letters in lower case."""
-    return LETTERS.findall((text or "").lower())
+    """The runs of letters (Unicode category L) in lower case."""
+    found = LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ("".join(c if c.isalpha() else " " for c in run)).split()]  # number signs such as ½ and ② part words
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -330,7 +333,7 @@ class Scorer:
 
 
 def classify(docs: DataFrame, model: Model, text: str | tuple[str, str] = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or those of ``keep``) with lang_pred and score, the posterior of the predicted language under equal priors."""
+    """``docs`` (all columns, or those of ``keep``) with lang_pred and score, the posterior of the predicted language under equal priors. Columns of these names are replaced."""
 
     def start():
         scorer = Scorer(model)
