@@ -48,7 +48,7 @@ KEYWORDS: dict[str, str] = {
     "fortran": "allocate associate call case character class close complex contains deallocate dimension do double else elseif end enddo endif exit forall format function if implicit in inout inquire integer intent kind len logical module none open optional out parameter pointer precision print private procedure program public pure read real recursive result return rewind select stop subroutine target then type use where while write",
 }
 #: Keywords after which a name before ``(`` is called although a name is declared after others.
-CALLS_AFTER = "return else case throw yield await do in of typeof void delete not and or when assert goto co_return co_yield co_await default defer go match if while move unsafe break loop instanceof then call"
+CALLS_AFTER = "return else case throw yield await do in of typeof delete not and or when assert goto co_return co_yield co_await default defer go match if while move unsafe break loop instanceof then call"
 
 
 def lexed(source: str, language: str) -> list[tuple]:
@@ -56,7 +56,7 @@ def lexed(source: str, language: str) -> list[tuple]:
     comment, string = LEXICON[language]
     folds = language == "fortran"
     words = set(KEYWORDS[language].split())
-    one = re.compile(rf"(?P<c>{comment})|(?P<s>{string})|(?P<n>\d[\w.]*)|(?P<w>[A-Za-z_$][\w$]*)|(?P<o>->|=>|::|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|:=|\+\+|--|\*\*|\.\.\.?|[^\s\w])|(?P<l>\n)", re.M)
+    one = re.compile(rf"(?P<c>{comment})|(?P<s>{string})|(?P<n>\d\w*(?:\.\d\w*)?)|(?P<w>[A-Za-z_$][\w$]*)|(?P<o><<=|>>>?=|\*\*=|&&=|\|\|=|\?\?=|&\^=|&=|\|=|\^=|->|=>|::|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|:=|\+\+|--|\*\*|\.\.\.?|[^\s\w])|(?P<l>\n)", re.M)
     types = re.compile(r"<[\w\s,.<>\[\]?:']*>\s*\(")
     out, line, start, angles, bars, skip = [], 1, 0, 0, 0, False
     for m in one.finditer(source):
@@ -164,7 +164,12 @@ def declares(language: Column) -> Column:
 
 
 def analysed(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, functions, macros): names before brackets with all that is known of them, the functions with the range of their bodies, and what macros hold."""
+    """(candidates, functions, macros) of ``analysis``."""
+    return analysis(sources)[2:]
+
+
+def analysis(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tokens, pairs, candidates, functions, macros): pairs with what is before, behind and in them, names before brackets with all that is known of them, the functions with the range of their bodies, and what macros hold."""
     from lodestone.session import checkpointed
 
     t = inside_of(nested(tokens(sources)))
@@ -214,7 +219,7 @@ def analysed(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ended = t.select(F.col("path").alias("p7"), F.col("i").alias("i7"), F.col("line").alias("end_line"))
     macros = a.filter("head = 'macro'").select("path", "start", "end", F.col("head").alias("name"))
     found = found.join(ended, (F.col("path") == F.col("p7")) & (F.col("end") == F.col("i7")), "left").select("path", "name", "line", F.coalesce("end_line", "line").alias("end_line"), "start", "end")
-    return got, found, macros
+    return t, a, got, found, macros
 
 
 def within(sites: DataFrame, spans: DataFrame) -> DataFrame:

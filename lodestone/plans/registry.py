@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import brackets, corpus, extraction, graph, languages, relational, reports, sessions, stored, streams, telemetry, text, trees
+from lodestone.plans import brackets, corpus, extraction, graph, languages, relational, reports, sessions, sites, stored, streams, telemetry, text, trees
 
-MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational, reports, stored, languages, trees, brackets)
+MODULES = (telemetry, corpus, graph, text, sessions, extraction, streams, relational, reports, stored, languages, trees, brackets, sites)
 
 
 def queries() -> dict:

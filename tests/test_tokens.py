@@ -70,6 +70,12 @@ def test_odd_sources(spark):
     assert not any(k[0] in ("n.rs", "e.go", "p.py") for k in got)
 
 
+def test_functions_without_a_result_and_names_behind_numbers(spark):
+    rows = [("a.c", "void g(void) { h(); }\nvoid k(int a);\n"), ("b.java", "abstract class A { abstract void m(int x); void n() { m(1); } }"), ("c.rs", "fn f() { for i in 0..n() { 1.max(g(2.5)); } }")]
+    got = {(r["path"], r["caller"], r["callee"]) for r in K.calls(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == {("a.c", "g", "h"), ("b.java", "n", "m"), ("c.rs", "f", "n"), ("c.rs", "f", "max"), ("c.rs", "f", "g")}
+
+
 @pytest.mark.parametrize("text", ['"a\\"(" f(1)', "// f(\nf(1)", "/* f( */ f(1)", "'(' f(1)"])
 def test_strings_and_comments_hold_no_brackets(text):
     assert [t for k, t, *_ in K.lexed(text, "java") if k in ("open", "close")] == ["(", ")"]
