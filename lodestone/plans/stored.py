@@ -11,7 +11,7 @@ from lodestone.operators import corpus
 from lodestone.operators import text as T
 from lodestone.plans.adapters import DEFINITIONS, EDGES, METRICS, definitions, edges, metric_events
 from lodestone.session import shared_folder, table
-from lodestone.sources import files, stores
+from lodestone.sources import files, listing, stores
 
 
 def _folder(spark: SparkSession) -> str:
@@ -78,7 +78,20 @@ def _projected(s, d) -> DataFrame:
     return keep
 
 
+def _tree(s, d) -> DataFrame:
+    """A folder for each nation, seven below it, three files a supplier: one hidden, one by its name ignored or kept again; rules in the top folder and in one below."""
+    top = _folder(s)
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    at = F.concat(F.lit("n"), n, F.lit("/s"), k % 7, F.lit("/"))
+    names = F.array(F.concat(at, F.lit("f"), k, F.lit(".txt")), F.concat(at, F.when(k % 5 == 0, "keep").otherwise("t"), k, F.lit(".log")), F.concat(at, F.lit(".h"), k))
+    own = table(s, d, "supplier").select(F.explode(names).alias("path"), F.col("s_name").alias("content"))
+    rules = s.createDataFrame([(".gitignore", "# logs\n*.log\n!keep*.log\n/n3/s1/\ns2/\n"), ("n4/.ignore", "!s2/\nf*.txt\n")], "path string, content string")
+    listing.write_tree(own.unionByName(rules), top)
+    return listing.entries(s, top, most=None).select("path", "depth", "is_dir")
+
+
 QUERIES = {
+    "s1_s2_tree": _tree,
     "s6_k1_metric_log": _log,
     "s9_transcripts": _transcripts,
     "s10_scores": _scores,
@@ -90,7 +103,9 @@ QUERIES = {
 }
 
 _SPLIT = "string_split(text, chr(10))"
+_SHOWN = "f AS (SELECT s_suppkey AS k, s_nationkey AS n, 'n' || s_nationkey AS a, 'n' || s_nationkey || '/s' || s_suppkey % 7 AS b FROM supplier), v AS (SELECT * FROM f WHERE NOT (n = 3 AND k % 7 = 1) AND (k % 7 <> 2 OR n = 4))"
 ORACLES = {
+    "s1_s2_tree": f"WITH {_SHOWN} SELECT DISTINCT a AS path, 1 AS depth, true AS is_dir FROM (SELECT a FROM f UNION ALL SELECT 'n4') UNION ALL SELECT DISTINCT b, 2, true FROM v UNION ALL SELECT b || '/f' || k || '.txt', 3, false FROM v WHERE n <> 4 UNION ALL SELECT b || '/keep' || k || '.log', 3, false FROM v WHERE k % 5 = 0",
     "s6_k1_metric_log": f"WITH {METRICS} SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, tool, duration_ms, result, session_id, exit_code FROM m WHERE strftime(make_timestamp(ts * 1000), '%Y-%m-%d') BETWEEN '2024-01-10' AND '2024-01-20'",
     "s9_transcripts": "SELECT conv_id || ':' || turn AS ts, role, text, conv_id % 100 AS input_tokens, CAST(turn AS BIGINT) AS output_tokens FROM conversations WHERE role IS NOT NULL",
     "s10_scores": "SELECT 'run' || s_suppkey AS run_id, 'C' || s_nationkey AS condition, round(s_acctbal, 2) AS cost FROM supplier",

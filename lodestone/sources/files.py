@@ -27,23 +27,28 @@ MESSAGES = "session string, idx int, ts string, role string, content array<struc
 # ---------------------------------------------------------------- file trees
 
 
+def parse_rules(text: str) -> list[tuple[re.Pattern, bool, bool, bool]]:
+    """(pattern, negated, directories only, anchored) of the lines of an ignore file."""
+    out = []
+    for line in text.splitlines():
+        p = re.sub(r"(?<!\\)\s+$", "", line)
+        if not p or p.startswith("#"):
+            continue
+        negated, p = p.startswith("!"), p.removeprefix("!")
+        only_dirs, p = p.endswith("/"), p.rstrip("/")
+        anchored, p = "/" in p, p.lstrip("/")
+        if p:
+            out.append((glob_regex(p), negated, only_dirs, anchored))
+    return out
+
+
 def _ignore_rules(folder: Path) -> list[tuple[re.Pattern, bool, bool, bool]]:
-    """(pattern, negated, directories only, anchored) of a folder's ignore files."""
     out = []
     for name in (".gitignore", ".ignore"):
         try:
-            lines = (folder / name).read_text(encoding="utf-8", errors="replace").splitlines()
+            out += parse_rules((folder / name).read_text(encoding="utf-8", errors="replace"))
         except OSError:
             continue
-        for line in lines:
-            p = re.sub(r"(?<!\\)\s+$", "", line)
-            if not p or p.startswith("#"):
-                continue
-            negated, p = p.startswith("!"), p.removeprefix("!")
-            only_dirs, p = p.endswith("/"), p.rstrip("/")
-            anchored, p = "/" in p, p.lstrip("/")
-            if p:
-                out.append((glob_regex(p), negated, only_dirs, anchored))
     return out
 
 
@@ -72,7 +77,7 @@ def glob_regex(pattern: str) -> re.Pattern:
     return re.compile(out, re.S)
 
 
-def _ignored(rel: str, is_dir: bool, rules: list[tuple[str, list]]) -> bool:
+def ignored(rel: str, is_dir: bool, rules: list[tuple[str, list]]) -> bool:
     hit = False
     for base, own in rules:
         inside = rel[len(base) + 1 :] if base else rel
@@ -93,7 +98,7 @@ def walk(root: str, max_depth: int | None = None, most: int = MOST_ENTRIES) -> l
         rules = [*rules, (rel, _ignore_rules(folder))]
         for e in sorted(os.scandir(folder), key=lambda e: e.name):
             path = f"{rel}/{e.name}" if rel else e.name
-            if e.name.startswith(".") or _ignored(path, e.is_dir(follow_symlinks=False), rules) or len(out) >= most:
+            if e.name.startswith(".") or ignored(path, e.is_dir(follow_symlinks=False), rules) or len(out) >= most:
                 continue
             s = e.stat(follow_symlinks=False)
             link = e.is_symlink()
@@ -106,9 +111,10 @@ def walk(root: str, max_depth: int | None = None, most: int = MOST_ENTRIES) -> l
 
 
 def entries(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
-    """S1 as a table. The tree is listed on the driver, bounded by the number of entries."""
-    rows = spark.createDataFrame(walk(root, max_depth), "path string, depth int, is_dir boolean, is_symlink boolean, symlink_target string, mtime double, size bigint")
-    return rows.withColumn("mtime", F.timestamp_seconds("mtime"))
+    """S1 as a table, listed by the executors (``listing``); ``walk`` is the same on one machine."""
+    from lodestone.sources import listing
+
+    return listing.entries(spark, root, max_depth)
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
