@@ -400,9 +400,11 @@ def impl_traits(x: DataFrame) -> DataFrame:
 
 
 def impl_methods(x: DataFrame) -> DataFrame:
-    """Functions of an impl block with the first class of that name in the file."""
-    first = classes(x).withColumn("rn", F.row_number().over(Window.partitionBy("path", "name").orderBy("line"))).filter("rn = 1").select("path", F.col("name").alias("class"), F.col("line").alias("class_line"))
-    return functions(x).filter("class is not null").join(first, ["path", "class"])
+    """Functions of an impl block with the first class of that name in the file, from one pass over ``x``."""
+    both = x.filter("kind in ('function', 'class')").withColumn("class", F.when(F.col("kind") == "class", F.col("name")).otherwise(F.col("owner"))).filter("class is not null")
+    first = F.min(F.when(F.col("kind") == "class", F.col("line"))).over(Window.partitionBy("path", "class"))
+    found = both.withColumn("class_line", first).filter("kind = 'function' and class_line is not null").dropDuplicates(["path", "name", "line"])
+    return found.select("path", "class", "name", "line", "end_line", "params", "return_type", "class_line")
 
 
 def counts(x: DataFrame) -> DataFrame:
@@ -430,13 +432,13 @@ def module_index(x: DataFrame) -> DataFrame:
 
 def wildcard_imports(x: DataFrame, sources: DataFrame) -> DataFrame:
     """From m import * with the names that m exports; relative modules climb directories, a file never imports itself."""
-    stars = imports(x).filter(F.array_contains("items", "*"))
     dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
     parts = F.split("path", "/")
     base = F.when(dots > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots, F.lit(0))), "/")).otherwise("")
     rest = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
-    target = F.array_join(F.filter(F.array(base, rest), lambda c: c != ""), "/")
-    stars = stars.withColumn("target", F.explode(F.array(F.concat(target, F.lit(".py")), F.concat(target, F.lit("/__init__.py"))))).filter("target <> path")
+    star = F.array_contains("items", "*")
+    # A module is a file or the __init__ of a folder; other imports get keys that no module has.
+    key = F.when(star, F.array_join(F.filter(F.array(base, rest), lambda c: c != ""), "/")).otherwise(F.concat(F.lit("\0"), "path"))
 
     def names_in(content):
         try:
@@ -448,9 +450,11 @@ def wildcard_imports(x: DataFrame, sources: DataFrame) -> DataFrame:
     def exported(contents: pd.Series) -> pd.Series:
         return contents.map(names_in)
 
-    known = sources.filter(F.endswith("path", F.lit(".py"))).select(F.col("path").alias("target"), exported("content").alias("names"))
-    found = stars.join(known, "target").groupBy("path", "module", "line").agg(F.min("names").alias("names"))
-    return imports(x).join(found, ["path", "module", "line"], "left").withColumn("items", F.coalesce("names", "items")).drop("names")
+    known = sources.filter(F.endswith("path", F.lit(".py"))).select(F.regexp_replace("path", r"(/__init__)?\.py$", "").alias("key"), F.struct(F.col("path").alias("target"), exported("content").alias("names")).alias("file"))
+    known = known.groupBy("key").agg(F.collect_list("file").alias("files"))  # two files a key, if paths don't repeat
+    found = imports(x).withColumn("key", key).join(known, "key", "left")
+    names = F.array_min(F.transform(F.filter("files", lambda f: f["target"] != F.col("path")), lambda f: f["names"]))
+    return found.select("path", "module", F.coalesce(names, F.col("items")).alias("items"), "line")
 
 
 @udtf(returnType="capture string, text string, line int, start int, end int", useArrow=True)

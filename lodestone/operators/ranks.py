@@ -20,4 +20,4 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = held.withColumn("_part", part).join(F.broadcast(counts), "_part")
-    return ranked.withColumn(name, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_id", "_part", "_before")
+    return ranked.withColumn(name, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_id", "_part", "_before")

@@ -179,5 +179,6 @@ def sites(sources: DataFrame, symbols: list[str] | None = None) -> DataFrame:
 def def_use(sources: DataFrame, symbol: str) -> DataFrame:
     """Sites of one symbol, writes first, then by file, line and column."""
     from lodestone.operators.text import def_use_order
+    from lodestone.session import checkpointed
 
-    return def_use_order(sites(sources, [symbol]))
+    return def_use_order(checkpointed(sites(sources, [symbol])))

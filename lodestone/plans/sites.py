@@ -63,5 +63,5 @@ QUERIES = {
 
 ORACLES = {
     "e9_bound_sites": f"SELECT path, kind, '{SYMBOL}' AS symbol, line, col AS \"column\", scope AS enclosing_scope, own AS declared_line {_FROM}",
-    "p16_j11_def_use": f"SELECT CAST(row_number() OVER (ORDER BY kind = 'read', path, line, col) AS INTEGER) AS ord, path, kind, line, col AS \"column\" {_FROM}",
+    "p16_j11_def_use": f"SELECT row_number() OVER (ORDER BY kind = 'read', path, line, col) AS ord, path, kind, line, col AS \"column\" {_FROM}",
 }

@@ -37,10 +37,12 @@ def _transcripts(s, d) -> DataFrame:
 
 
 def _scores(s, d) -> DataFrame:
-    """One object with all runs: a run for each supplier."""
+    """An object for each fifty suppliers, with a run for each."""
     top = _folder(s)
     run = F.struct(F.concat(F.lit("run"), "s_suppkey").alias("key"), F.struct(F.concat(F.lit("C"), "s_nationkey").alias("condition"), F.create_map(F.lit("cost"), F.col("s_acctbal"), F.lit("key"), F.col("s_suppkey").cast("double")).alias("scores")).alias("value"))
-    table(s, d, "supplier").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(run)).alias("runs"))).alias("value")).write.text(top)
+    part = F.floor(F.col("s_suppkey") / 50)
+    objects = table(s, d, "supplier").groupBy(part.alias("part")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(run)).alias("runs"))).alias("content"))
+    listing.write_tree(objects.select(F.concat(F.lit("scores"), "part", F.lit(".json")).alias("path"), "content"), top)
     return files.scores(s, top).select("run_id", "condition", F.round(F.col("scores")["cost"], 2).alias("cost"))
 
 

@@ -77,7 +77,7 @@ QUERIES = {
 
 _SPLIT = "string_split(text, chr(10))"
 _RULES = "CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'git status' WHEN doc_id % 5 = 1 THEN 'git log' WHEN doc_id % 5 = 2 THEN 'cargo build' WHEN doc_id % 5 = 4 THEN 'git fetch' END"
-_SITES = "s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, l_partkey % 4 AS \"column\", CASE l_linenumber % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'write_read' END AS kind FROM lineitem), o AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'read' THEN 1 ELSE 0 END, path, line, \"column\") AS INTEGER) AS ord FROM s WHERE kind <> 'read' OR (path, line, \"column\") NOT IN (SELECT (path, line, \"column\") FROM s WHERE kind <> 'read'))"
+_SITES = "s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, l_partkey % 4 AS \"column\", CASE l_linenumber % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'write_read' END AS kind FROM lineitem), o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN kind = 'read' THEN 1 ELSE 0 END, path, line, \"column\") AS ord FROM s WHERE kind <> 'read' OR (path, line, \"column\") NOT IN (SELECT (path, line, \"column\") FROM s WHERE kind <> 'read'))"
 
 ORACLES = {
     "e10_css": f"SELECT path, rtrim(ltrim(name, ' ' || chr(9)), ' ,:{{') AS name, line FROM ({_KEYS(_CSS, r'^\s*[.#][\w-]+[\s,:{].*', 0)})",

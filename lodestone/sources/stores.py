@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,10 @@ def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select("key", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).distinct().agg(F.count_distinct("key").alias("entries"), F.sum("size").alias("bytes"))
 
 
-def log_events(m: DataFrame, folder: str, batch: int = 100) -> None:
-    """K1: JSON lines in a folder for each day, at most ``batch`` events a file; files appear whole."""
-    m.withColumn("date", F.to_date(F.timestamp_millis("ts"))).repartition("date").write.mode("append").option("maxRecordsPerFile", batch).partitionBy("date").json(folder)
+def log_events(m: DataFrame, folder: str, batch: int = 100, tasks: int = 8) -> None:
+    """K1: JSON lines in a folder for each day, at most ``batch`` events a file; files appear whole. A day is dealt over ``tasks`` tasks by its rows' hash."""
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in m.columns]), F.lit(tasks))
+    m.withColumn("date", F.to_date(F.timestamp_millis("ts"))).repartition("date", part).write.mode("append").option("maxRecordsPerFile", batch).partitionBy("date").json(folder)
 
 
 def fresh(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
@@ -36,14 +38,25 @@ def fresh(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
 
 
 def evict(spark: SparkSession, folder: str, days: float = 30) -> int:
-    """Deletes files that weren't changed in the last days; returns how many. The list of old files is what reaches the driver."""
+    """Deletes files that weren't changed in the last days, by the executors; returns how many. One that is gone already counts for nothing."""
+    from lodestone.sources.listing import opened
+
     age = (F.unix_millis(F.current_timestamp()) - F.unix_millis(F.col("_metadata.file_modification_time"))) / 86_400_000.0
-    old = [r["f"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("f"), age.alias("age")).filter(F.col("age") > days).collect()]
-    jvm = spark.sparkContext._jvm
-    for f in old:
-        at = jvm.org.apache.hadoop.fs.Path(f)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
-    return len(old)
+
+    def delete(batches):
+        for batch in batches:
+            done = 0
+            for f in batch["f"].to_pylist():
+                fs, at = opened(f)
+                try:
+                    fs.delete_file(at)
+                    done += 1
+                except FileNotFoundError:
+                    continue
+            yield pa.RecordBatch.from_pydict({"done": [done]})
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("f"), age.alias("age"))
+    return found.filter(F.col("age") > days).select("f").mapInArrow(delete, "done bigint").agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
 
 
 def put_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:

@@ -146,7 +146,7 @@ class _Drain(StatefulProcessor):
 def drained(lines: DataFrame, drain_ms: int = 500, hold_ms: int = 10_000, delay: str = "10 seconds") -> DataFrame:
     """What a command wrote in its two streams until ``drain_ms`` after its exit, and how many lines came later.
 
-    ``lines`` has run_id, source (stdout, stderr or exit; others are skipped) and at (ms, event time; rows without it or a run are skipped). A run's first exit sets its deadline; a line after it isn't
+    ``lines`` has run_id, source (stdout, stderr or exit; others are skipped) and at (ms, event time; rows without it or a run are skipped). The exit that comes first, the earliest of its batch, sets a run's deadline; a line after it isn't
     kept but counted, and the run flagged as truncated. Lines may come in any order, also before the exit: until that is known their times wait in the store.
     A run's row is given once the watermark, ``delay`` behind the latest time, is ``hold_ms`` past the deadline; one without an exit gives none. Lines that come after the row is given are lost to the watermark.
     """

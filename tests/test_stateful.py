@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lodestone.streaming import stateful as S
 
@@ -45,7 +46,9 @@ def test_streaks_go_on_after_a_restart(spark, tmp_path):
         assert got == by_loop(rows[: 150 * (k + 1)], 3)
 
 
-def test_late_lines_in_both_streams(spark, tmp_path):
+@pytest.mark.parametrize("rows", [1, 10_000])
+def test_late_lines_in_both_streams(spark, tmp_path, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # chunks of one row, and all in one
     first = [(1, "stdout", 100), (1, "stderr", 150), (2, "stdout", 90), (3, "stdout", 10), (1, "stdout", 1600), (1, "exit", 1000), (1, "exit", 5000), (4, "exit", 300), (5, "other", 1), (None, "stdout", 1), (6, "stdout", None)]
     second = [(1, "stdout", 1500), (1, "stderr", 1501), (1, "stderr", 1700), (2, "exit", 800), (2, "stderr", 1301), (2, "stdout", 1300), (3, "stderr", 20)]
     top = str(tmp_path)
@@ -55,3 +58,4 @@ def test_late_lines_in_both_streams(spark, tmp_path):
         assert drain(stream(), top) == []
     spark.createDataFrame([(9, "stdout", 10_000_000)], LINES).write.mode("append").parquet(f"{top}/lines")
     assert drain(stream(), top) == [(1, 2, 1, 1, 2, True), (2, 2, 0, 0, 1, True), (4, 0, 0, 0, 0, False)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
