@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import tokens as K
+from lodestone.session import checkpointed
 
 LAST = 2**31 - 1
 #: Languages whose sites are told.
@@ -32,6 +33,7 @@ def _names(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(names with all that the rules below look at, pairs, functions)."""
     c = F.col
     t, pairs, got, spans, _ = K.analysis(sources.filter(c("content").isNotNull()))
+    pairs, spans = checkpointed(pairs), checkpointed(spans)  # each is joined several times
     t = t.filter(c("language").isin(*LANGUAGES))
     file = Window.partitionBy("path").orderBy("i")
     same = Window.partitionBy("path", "depth", "around")
@@ -169,7 +171,7 @@ def sites(sources: DataFrame, symbols: list[str] | None = None) -> DataFrame:
     """
     c = F.col
     n, pairs, spans = _names(sources)
-    n = _rules(n.filter(c("text").isin(*symbols)) if symbols is not None else n)
+    n = checkpointed(_rules(n.filter(c("text").isin(*symbols)) if symbols is not None else n))
     s = n.select("path", c("text").alias("symbol"), "i", "line", "col", "access", "apart", "hidden", F.when(c("binds"), c("line")).alias("own"))
     bound = innermost(s, _scopes(n, pairs).withColumnRenamed("line", "found"), ["path", "symbol"], "found")
     inside = innermost(bound, spans.select("path", "start", "end", "name"), ["path"], "name")
@@ -179,6 +181,5 @@ def sites(sources: DataFrame, symbols: list[str] | None = None) -> DataFrame:
 def def_use(sources: DataFrame, symbol: str) -> DataFrame:
     """Sites of one symbol, writes first, then by file, line and column."""
     from lodestone.operators.text import def_use_order
-    from lodestone.session import checkpointed
 
     return def_use_order(checkpointed(sites(sources, [symbol])))
