@@ -166,9 +166,11 @@ def rank_tests(runs: DataFrame, value: str, by: str = "condition") -> DataFrame:
     w = Window.partitionBy("a", "b").orderBy("v")
     rank = F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t") + (F.col("t") + 1) / 2
     r1 = at.withColumn("r", F.col("own") * rank).groupBy("a", "b", "n1", "n2").agg(F.sum("r").alias("r1"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    mean, dev = F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
-    return r1.select("a", "b", "n1", "n2", u.alias("u"), F.round(F.when(dev > 0, (u - mean) / dev).otherwise(0.0), 4).alias("z"), F.round(F.when(F.col("n1") * F.col("n2") > 0, 1 - 2 * u / (F.col("n1") * F.col("n2"))).otherwise(0.0), 4).alias("r"))
+    # Products of counts are beyond a long from about two million rows a group.
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    u = F.col("r1") - n1 * (n1 + 1) / 2
+    mean, dev = n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    return r1.select("a", "b", "n1", "n2", u.alias("u"), F.round(F.when(dev > 0, (u - mean) / dev).otherwise(0.0), 4).alias("z"), F.round(F.when(n1 * n2 > 0, 1 - 2 * u / (n1 * n2)).otherwise(0.0), 4).alias("r"))
 
 
 def deltas(now: DataFrame, base: DataFrame, value: str) -> DataFrame:
