@@ -14,3 +14,11 @@ def test_rank_test_of_millions(spark):
     u = (n // 2) ** 2
     assert (r.n1, r.n2, r.u, r.r) == (n, n, float(u), round(1 - 2 * u / n**2, 4))
     assert r.z == round((u - n * n / 2) / (n * n * (2 * n + 1) / 12) ** 0.5, 4)
+
+
+def test_numbers_are_no_years(spark):
+    row = spark.sql("SELECT '5000' AS a, '123456' AS b, '2024-01-01T00:00:00Z' AS c, '12.5' AS d, 'x' AS e")
+    got = row.select(*[F.unix_micros(scalars.any_timestamp(F.col(c))) for c in "abcde"]).first()
+    assert tuple(got) == (5_000_000_000, 123_456_000_000, 1_704_067_200_000_000, 12_500_000, None)
+    turns = spark.createDataFrame([(1, 0, "995"), (1, 1, "1056")], "session int, idx int, ts string")
+    assert sessions.wall_time(turns).first().wall_s == 61
