@@ -22,3 +22,8 @@ def test_numbers_are_no_years(spark):
     assert tuple(got) == (5_000_000_000, 123_456_000_000, 1_704_067_200_000_000, 12_500_000, None)
     turns = spark.createDataFrame([(1, 0, "995"), (1, 1, "1056")], "session int, idx int, ts string")
     assert sessions.wall_time(turns).first().wall_s == 61
+
+
+def test_days_after_the_year_9999(spark):
+    days = spark.sql("SELECT unnest AS ms FROM (SELECT explode(array(253402300799999L, 253402300800000L, 311040000000000L)) AS unnest)")
+    assert [r.d for r in days.select(scalars.utc_day(F.col("ms")).alias("d")).collect()] == ["9999-12-31", "10000-01-01", "11826-06-20"]
