@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
 from lodestone.operators import sessions
+from lodestone.plans import relational
 
 
 def test_rank_test_of_millions(spark):
@@ -27,3 +28,10 @@ def test_numbers_are_no_years(spark):
 def test_days_after_the_year_9999(spark):
     days = spark.sql("SELECT unnest AS ms FROM (SELECT explode(array(253402300799999L, 253402300800000L, 311040000000000L)) AS unnest)")
     assert [r.d for r in days.select(scalars.utc_day(F.col("ms")).alias("d")).collect()] == ["9999-12-31", "10000-01-01", "11826-06-20"]
+
+
+def test_sketches_are_near_for_many_parts(spark, tmp_path):
+    rows = spark.range(1_200_000).select(F.lit("A").alias("l_returnflag"), (F.col("id") + 1).alias("l_partkey"), (F.col("id") % 50).cast("double").alias("l_quantity"))
+    rows.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS l_returnflag, CAST(NULL AS BIGINT) AS l_partkey, 1.0D AS l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = relational._approximate(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == [("A", 1_200_000, True, True), (None, 0, True, True)]
