@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, shuffled, spread_rows
 
 NODE = "path string, pre int, post int, parent int, place int, is_last boolean, above array<int>, kind string, field string, start_byte int, end_byte int, start_line int, end_line int, text string"
 
@@ -366,7 +366,7 @@ def trees(sources: DataFrame, language: str = "python") -> DataFrame:
                     part = rows[s : s + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), *(pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types[1:], strict=True))], schema=schema)
 
-    return sources.select("path", "content").mapInArrow(run, NODE)
+    return spread_rows(sources.select("path", "content"), "path").mapInArrow(run, NODE)
 
 
 # ---------------------------------------------------------------- patterns
@@ -553,7 +553,7 @@ class Matcher:
         out = rows.select(*keep)
         for name in p.absent:
             gone = self.tree.filter(F.col("field") == name).select(F.col("path").alias("_p"), F.col("parent").alias("_u")).distinct()
-            out = out.join(gone, (F.col("path") == F.col("_p")) & (F.col(f"n{k}") == F.col("_u")), "left_anti")
+            out = out.join(shuffled(gone), (F.col("path") == F.col("_p")) & (F.col(f"n{k}") == F.col("_u")), "left_anti")
         before = None
         for c in p.children:
             inner, j = self.matched(c, loose)
@@ -563,7 +563,7 @@ class Matcher:
                 on = on & (F.coalesce(F.col(f"i{before}"), F.lit(-1)) < F.col(f"i{j}"))
                 if c.after:
                     on = on & (F.col(f"i{before}") + 1 == F.col(f"i{j}"))
-            out = out.join(inner, on, "left" if c.many in ("?", "*") else "inner").drop("_p", f"u{j}", f"a{j}")
+            out = out.join(shuffled(inner), on, "left" if c.many in ("?", "*") else "inner").drop("_p", f"u{j}", f"a{j}")
             before = before if c.deep else j
         return out.drop(*[f"i{j}" for j in range(k + 1, self.n)]), k
 
@@ -572,7 +572,7 @@ class Matcher:
         out = self.plan.drop("u0", "i0")
         if self.sources is not None and (self.captured or self.late):
             wanted = self.sources.select(F.col("path").alias("_p"), F.encode("content", "UTF-8").alias("_b"))
-            out = out.join(wanted, F.col("path") == F.col("_p"))
+            out = out.join(shuffled(wanted), F.col("path") == F.col("_p"))
             for k in {k for _, k, _ in self.captured}:
                 c = F.col(f"c{k}")
                 text = F.coalesce(c["text"], F.decode(F.substring(F.col("_b"), c["start_byte"] + 1, c["end_byte"] - c["start_byte"]), "UTF-8"))

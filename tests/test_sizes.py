@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
-from lodestone.operators import sessions
+from lodestone.operators import extract, sessions, sites, tokens, trees
 from lodestone.plans import relational
 
 
@@ -35,3 +35,16 @@ def test_sketches_are_near_for_many_parts(spark, tmp_path):
     rows.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS l_returnflag, CAST(NULL AS BIGINT) AS l_partkey, 1.0D AS l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = relational._approximate(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect()), key=str) == [("A", 1_200_000, True, True), (None, 0, True, True)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_made_by_python_are_not_sent_to_the_driver(spark, tmp_path):
+    spark.range(50).select(F.concat(F.lit("a"), "id", F.lit(".go")).alias("path"), F.lit("package p\nfunc f(x int) { x = g(x) }\n").alias("content")).write.parquet(f"{tmp_path}/go")
+    spark.range(50).select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("path"), F.lit("def f(x):\n    return g(x)\n").alias("content")).write.parquet(f"{tmp_path}/py")
+    go, py = spark.read.parquet(f"{tmp_path}/go"), spark.read.parquet(f"{tmp_path}/py")
+    for df, n in ((tokens.functions(go), 50), (tokens.calls(go), 50), (tokens.references(go), 50), (sites.sites(go, ["x"]), 150), (trees.captures(py, "(function_definition name: (identifier) @f body: (block (return_statement (call function: (identifier) @g))))"), 100)):
+        assert "BroadcastExchange" not in plan_of(df)
+        assert df.count() == n
