@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from lodestone.functions.paths import language_label
+from lodestone.session import checkpointed, shuffled, spread_rows
 
 ROW = "kind string, name string, line int, end_line int, col int, owner string, params string, return_type string, items array<string>, n_args int, access string"
 FIELDS = [f.split()[0] for f in ROW.split(", ")]
@@ -365,7 +366,7 @@ def extract(sources: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[] for _ in FIELDS]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True))], ["path", *FIELDS])
 
-    return s.select("path", "language", "content").mapInArrow(run, f"path string, {ROW}")
+    return spread_rows(s.select("path", "language", "content"), "path").mapInArrow(run, f"path string, {ROW}")
 
 
 def functions(x: DataFrame) -> DataFrame:
@@ -422,7 +423,7 @@ def def_use(x: DataFrame, symbol: str) -> DataFrame:
     from lodestone.operators.text import def_use_order
 
     s = x.filter((F.col("kind") == "site") & (F.col("name") == symbol)).select("path", F.col("access").alias("kind"), F.col("name").alias("symbol"), "line", F.col("col").alias("column"), F.col("owner").alias("enclosing_scope"))
-    return def_use_order(s)
+    return def_use_order(checkpointed(s))  # writes, reads and their order are told from one extraction
 
 
 def module_index(x: DataFrame) -> DataFrame:
@@ -450,8 +451,8 @@ def wildcard_imports(x: DataFrame, sources: DataFrame) -> DataFrame:
     def exported(contents: pd.Series) -> pd.Series:
         return contents.map(names_in)
 
-    known = sources.filter(F.endswith("path", F.lit(".py"))).select(F.regexp_replace("path", r"(/__init__)?\.py$", "").alias("key"), F.struct(F.col("path").alias("target"), exported("content").alias("names")).alias("file"))
-    known = known.groupBy("key").agg(F.collect_list("file").alias("files"))  # two files a key, if paths don't repeat
+    known = spread_rows(sources.select("path", "content").filter(F.endswith("path", F.lit(".py"))), "path").select(F.regexp_replace("path", r"(/__init__)?\.py$", "").alias("key"), F.struct(F.col("path").alias("target"), exported("content").alias("names")).alias("file"))
+    known = shuffled(known.groupBy("key").agg(F.collect_list("file").alias("files")))  # two files a key, if paths don't repeat
     found = imports(x).withColumn("key", key).join(known, "key", "left")
     names = F.array_min(F.transform(F.filter("files", lambda f: f["target"] != F.col("path")), lambda f: f["names"]))
     return found.select("path", "module", F.coalesce(names, F.col("items")).alias("items"), "line")

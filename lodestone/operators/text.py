@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import content_hash, lf, match_lines, occurrences
 from lodestone.operators.ranks import global_rank
+from lodestone.session import shuffled
 
 # ---------------------------------------------------------------- regex extractors
 
@@ -154,6 +155,6 @@ def no_stat(command: Column) -> Column:
 def def_use_order(sites: DataFrame) -> DataFrame:
     """Reads at the place of a write go; writes come first, then path, line and column."""
     w, r = sites.filter("kind <> 'read'"), sites.filter("kind = 'read'")
-    left = r.join(w.select("path", "line", "column"), ["path", "line", "column"], "left_anti").select(sites.columns)
+    left = r.join(shuffled(w.select("path", "line", "column")), ["path", "line", "column"], "left_anti").select(sites.columns)
     both = w.unionByName(left)
     return global_rank(both, [F.when(F.col("kind") == "read", 1).otherwise(0), F.col("path"), F.col("line"), F.col("column")], "ord")

@@ -41,6 +41,17 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_python_work_of_a_small_file_is_spread(spark):
+    files = spark.range(200).coalesce(1)
+    py = files.select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("path"), F.lit("def f(x):\n    total = x\n    return total\n").alias("content"))
+    go = files.select(F.concat(F.lit("a"), "id", F.lit(".go")).alias("path"), F.lit("package p\nfunc f() { g(1) }\n").alias("content"))
+    for made in (extract.extract(py), tokens.tokens(go), trees.trees(py, "python")):
+        tasks = made.groupBy(F.spark_partition_id()).agg(F.count_distinct("path").alias("n")).collect()
+        assert len(tasks) > 1 and sum(r.n for r in tasks) == 200
+    # Reads, writes and ranks come from one extraction.
+    assert "MapInArrow" not in plan_of(extract.def_use(extract.extract(py), "total"))
+
+
 def test_rows_made_by_python_are_not_sent_to_the_driver(spark, tmp_path):
     spark.range(50).select(F.concat(F.lit("a"), "id", F.lit(".go")).alias("path"), F.lit("package p\nfunc f(x int) { x = g(x) }\n").alias("content")).write.parquet(f"{tmp_path}/go")
     spark.range(50).select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("path"), F.lit("def f(x):\n    return g(x)\n").alias("content")).write.parquet(f"{tmp_path}/py")
