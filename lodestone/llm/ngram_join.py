@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 from lodestone.llm.common import U, mix
+from lodestone.session import shuffled
 
 #: Most rows and bytes of shingles of a block that is one task.
 CHUNK, CHUNK_BYTES = 256, 4 << 20
@@ -49,8 +50,9 @@ LEADERS, LEADER_SHINGLES = 32, 1 << 17
 SKETCH_BITS, PART_BITS = 21, 12
 #: Representatives that share one bucket of fingerprints.
 BUCKET_ROWS = 2_000
-#: Rows of the second side of a join that may be sent to every executor; above, both sides are shuffled.
-SEND_ROWS = 400_000
+#: Rows of the second side of a join that may be sent to every executor, and of one of a single column; above, both sides are shuffled.
+#: The driver holds several times the bytes that it sends: at 390,000 rows of seven columns it grew by some 240 MB.
+SEND_ROWS, SEND_IDS = 50_000, 200_000
 
 
 class Threshold:
@@ -217,7 +219,13 @@ class Job:
 
     def texts(self, ids: DataFrame, n: int) -> DataFrame:
         """Texts of some rows; ``ids`` has the representative as doc_id, and whatever goes along."""
-        return self.docs.join(F.broadcast(ids) if n <= SEND_ROWS else ids, "doc_id")
+        return self.docs.join(F.broadcast(ids) if n <= SEND_ROWS else shuffled(ids), "doc_id")
+
+    def narrow(self, ids: DataFrame) -> None:
+        """From here on texts of ``ids`` are asked for only. If they are too many to be sent, all texts are shuffled this once, and later joins shuffle those that are left."""
+        ids = ids.select("doc_id").distinct()
+        if ids.count() > SEND_ROWS:
+            self.docs = common.checkpointed(self.docs.join(shuffled(ids), "doc_id", "left_semi"))
 
     def meeting(self, given: DataFrame, sigs) -> DataFrame:
         """(node, component): the blocks of rows that share one of the fingerprints that ``sigs`` makes."""
@@ -329,6 +337,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, text: str
     blocks = common.checkpointed(job.meeting(given, lambda h, counts: fingerprints(h, counts, t)))
     placed = lambda b: classes.join(b.withColumnRenamed("node", "a"), "a").select(F.col("rep").alias("doc_id"), "a", "b", "n", "step", "component")
     rows = _sized(placed(blocks), chunk)
+    job.narrow(rows)
     big = rows.filter("large").select("doc_id")
     n_big = big.count()
     links = [_products(job, rows.filter("not large"), t, repeated)]
@@ -429,8 +438,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> Da
     """
     found = common.checkpointed(join(docs, words, num, den))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    if found.filter("doc_id <> component_id").count() <= SEND_ROWS:
-        gone = F.broadcast(gone)
+    gone = F.broadcast(gone) if found.filter("doc_id <> component_id").count() <= SEND_IDS else shuffled(gone)
     left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     again = common.checkpointed(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if again.isEmpty():

@@ -93,3 +93,19 @@ def test_a_doc_id_with_two_texts(spark):
     got = sorted((x.doc_id, x.component_id) for x in ngram_join.join(docs, 3, 9, 10).collect())
     assert got == [(0, 0), (0, 0), (2, 0), (3, 0)]
     assert common.components(docs.limit(0).selectExpr("doc_id as src", "doc_id as dst")).count() == 0
+
+
+def test_ids_above_the_limit_are_shuffled(spark, monkeypatch):
+    """What the driver sends stays small; above it the texts outside of all blocks are left behind once."""
+    assert ngram_join.SEND_ROWS * 9 * 8 <= 4 << 20 and ngram_join.SEND_IDS * 2 * 8 <= 4 << 20
+    texts = [prose(k // 2, 40) + (" tail" if k % 2 else "") for k in range(12)] + [prose(50 + k, 30) for k in range(20)] + [None]
+    docs, read, texts_of = documents(spark, texts).repartition(3), [], ngram_join.Job.texts
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(docs).collect())
+    assert kept == [*range(0, 12, 2), *range(12, 33)]
+    monkeypatch.setattr(ngram_join.Job, "texts", lambda job, ids, n: read.append(job.docs.count()) or texts_of(job, ids, n))
+    for name in ("SEND_ROWS", "SEND_IDS"):
+        monkeypatch.setattr(ngram_join, name, 3)
+    found = ngram_join.join(docs, chunk=4)
+    assert [(r.doc_id, r.component_id) for r in found.orderBy("doc_id").collect()] == [(k, k - k % 2 if k < 12 else k) for k in range(33)]
+    assert read and max(read) == 12
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == kept
