@@ -144,6 +144,7 @@ _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*
 _CALL = re.compile(rf"(?:(?P<scope>(?:{_ID}\s*(?:::|\.|->)\s*)+))?(?P<name>{_ID})\s*(?:::<[^>]*>)?!?\(")
 _IMPL = re.compile(rf"\bimpl\s*(?:<[^{{]*?>\s*)?(?:(?P<trait>[\w:]+)(?:<[^{{]*?>)?\s+for\s+)?(?P<type>{_ID})(?:<[^{{]*>)?\s*(?:where[^{{]*)?\{{")
 _TYPE = re.compile(r"(?<![\w.])[A-Z]\w*")
+_NAME = re.compile(rf"(?<![\w.]){_ID}\b")
 
 
 #: Single quotes hold texts of any length.
@@ -171,7 +172,9 @@ def _close(text: str, at: int) -> int:
     return len(text) - 1
 
 
-def brace_rows(source: str, language: str) -> list[tuple]:
+def brace_rows(source: str, language: str, kinds: frozenset[str] | None = None) -> list[tuple]:
+    """Rows of all kinds; with ``kinds``, calls, imports, references and sites are looked for only if they are named there."""
+    found_too = lambda kind, matches: matches() if kinds is None or kind in kinds else ()
     script = language in ("typescript", "tsx", "javascript")
     rules, text = _COMPILED[language], blanked(source, script=script)
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
@@ -209,7 +212,7 @@ def brace_rows(source: str, language: str) -> list[tuple]:
         rows.append(row("function", bare, line(at), line(end), col(at), owner, (pick(m, "params") or "").strip(), (pick(m, "ret") or "").strip() or None))
     inside = lambda at: max(((s, n) for s, e, n in spans if s < at <= e), default=(0, MODULE))[1]
     named = {s for s, _, _ in spans}
-    for m in _CALL.finditer(text):
+    for m in found_too("call", lambda: _CALL.finditer(text)):
         at = m.start("name")
         if m["name"] in KEYWORDS or at in named:
             continue
@@ -221,18 +224,18 @@ def brace_rows(source: str, language: str) -> list[tuple]:
             some |= not c.isspace() and depth > 0
             k += 1
         rows.append(row("call", re.sub(r"\s+", "", m["scope"] or "").replace("->", ".") + m["name"], line(at), line(k - 1), col(at), inside(at), n_args=n + 1 if some or source[m.end() : k - 1].strip() else 0))
-    for m in rules["import"].finditer(blanked(source, imports=True, script=script)):
+    for m in found_too("import", lambda: rules["import"].finditer(blanked(source, imports=True, script=script))):
         name = (pick(m, "name") or "").strip()
         if language == "rust":
             rows += [row("import", p, line(m.start()), items=i) for p, i in use_tree(name)]
         else:
             rows.append(row("import", name, line(m.start())))
     seen = set()
-    for m in _TYPE.finditer(text):
+    for m in found_too("reference", lambda: _TYPE.finditer(text)):
         if m[0] not in seen:
             seen.add(m[0])
             rows.append(row("reference", m[0], line(m.start()), col=col(m.start()), owner=inside(m.start())))
-    for m in re.finditer(rf"(?<![\w.]){_ID}\b", text):
+    for m in found_too("site", lambda: _NAME.finditer(text)):
         if m[0] in KEYWORDS:
             continue
         after = text[m.end() : m.end() + 3].lstrip()
@@ -334,10 +337,12 @@ def register_language(name: str, reader: Callable[[str], list[tuple]]) -> None:
     READERS[name] = reader
 
 
-def rows_of(source: str, language: str, readers: dict | None = None) -> list[tuple]:
-    readers = READERS if readers is None else readers
+def rows_of(source: str, language: str, readers: dict | None = None, kinds: frozenset[str] | None = None) -> list[tuple]:
+    """Rows of the ``kinds`` (all: None), and of kind ``error``."""
+    readers = readers_of(kinds) if readers is None else readers
     try:
-        return readers[language](source) if source and language in readers else []
+        rows = readers[language](source) if source and language in readers else []
+        return rows if kinds is None else [r for r in rows if r[0] in kinds or r[0] == "error"]
     except (SyntaxError, ValueError, RecursionError) as e:
         return [row("error", type(e).__name__, 0, params=str(e)[:200])]
 
@@ -345,22 +350,27 @@ def rows_of(source: str, language: str, readers: dict | None = None) -> list[tup
 _BUILT_IN = dict(READERS)
 
 
+def readers_of(kinds: frozenset[str] | None) -> dict[str, Callable[[str], list[tuple]]]:
+    """What reads each language, those with braces looking for ``kinds`` only (all: None)."""
+    return dict(READERS) if kinds is None else READERS | {k: (lambda s, k=k: brace_rows(s, k, kinds)) for k in LANGUAGES if READERS[k] is _BUILT_IN[k]}
+
+
 # ---------------------------------------------------------------- tables
 
 
-def extract(sources: DataFrame) -> DataFrame:
-    """Rows of all kinds for (path, content), the language from the path or a column ``language``."""
+def extract(sources: DataFrame, *kinds: str) -> DataFrame:
+    """Rows of all kinds, or of ``kinds`` and errors, for (path, content), the language from the path or a column ``language``."""
     s = sources if "language" in sources.columns else sources.withColumn("language", language_label(F.col("path")))
 
-    own_readers = {k: f for k, f in READERS.items() if f is not _BUILT_IN.get(k)}
+    wanted = frozenset(kinds) or None
+    readers = readers_of(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers = READERS | own_readers
         kinds = dict(zip(FIELDS, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string()), strict=True))
         for batch in batches:
             paths, out = [], []
             for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
-                own = rows_of(content or "", language, readers)
+                own = rows_of(content or "", language, readers, wanted)
                 paths += [path] * len(own)
                 out += own
             cols = list(zip(*out, strict=True)) if out else [[] for _ in FIELDS]

@@ -11,12 +11,12 @@ _PY = """'import os' || chr(10) || 'from m' || p_size || ' import a, b' || chr(1
 _RS = """'use std::io;' || chr(10) || 'struct S' || p_partkey || ' { x: i32 }' || chr(10) || 'impl Show for S' || p_partkey || ' {' || chr(10) || '    fn show(&self) -> i32 { help(self.x, ' || p_size || ') }' || chr(10) || '}' || chr(10) || 'fn help(a: i32, b: i32) -> i32 { a + b }'"""
 
 
-def _python(s, d):
-    return E.extract(table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), F.expr(_PY).alias("content")))
+def _python(s, d, *kinds):
+    return E.extract(table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), F.expr(_PY).alias("content")), *kinds)
 
 
-def _rust(s, d):
-    return E.extract(table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".rs")).alias("path"), F.expr(_RS).alias("content")))
+def _rust(s, d, *kinds):
+    return E.extract(table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".rs")).alias("path"), F.expr(_RS).alias("content")), *kinds)
 
 
 def _captures(s, d):
@@ -30,23 +30,23 @@ def _wildcards(s, d):
     own = p.select(F.concat(F.lit("d/m"), "p_partkey", F.lit(".py")).alias("path"), F.expr("'def f' || p_partkey || '(): pass' || chr(10) || 'def _g(): pass'").alias("content"))
     users = p.select(F.concat(F.lit("d/u"), "p_partkey", F.lit(".py")).alias("path"), F.expr("'from .m' || p_partkey || ' import *'").alias("content"))
     src = own.unionByName(users)
-    return E.wildcard_imports(E.extract(src), src).select("path", "module", F.array_join("items", ",").alias("items"))
+    return E.wildcard_imports(E.extract(src, "import"), src).select("path", "module", F.array_join("items", ",").alias("items"))
 
 
 QUERIES = {
-    "e2_e3_functions": lambda s, d: E.functions(_python(s, d)),
-    "e3_classes": lambda s, d: E.classes(_python(s, d)).select("path", "name", "line", "end_line", F.array_join("inherits", ",").alias("inherits")),
-    "e4_calls": lambda s, d: E.calls(_python(s, d)).select("path", "caller", "callee", "line", "arg_count"),
-    "e5_imports": lambda s, d: E.imports(_python(s, d)).select("path", "module", F.array_join("items", ",").alias("items"), "line"),
-    "e6_j5_impl_methods": lambda s, d: E.impl_methods(_rust(s, d)).select("path", "class", "name", "line", "class_line"),
-    "e7_w2_references": lambda s, d: E.references(_python(s, d)).select("path", "symbol", "line"),
-    "e8_impl_traits": lambda s, d: E.impl_traits(_rust(s, d)),
-    "e9_o8_def_use": lambda s, d: E.def_use(_python(s, d), "total").select("path", "kind", "line", "enclosing_scope"),
-    "e15_module_index": lambda s, d: E.module_index(_python(s, d)).select("path", F.array_join(F.transform("functions", lambda f: f["name"]), ",").alias("functions"), F.array_join(F.transform("imports", lambda f: f["module"]), ",").alias("imports")),
+    "e2_e3_functions": lambda s, d: E.functions(_python(s, d, "function")),
+    "e3_classes": lambda s, d: E.classes(_python(s, d, "class")).select("path", "name", "line", "end_line", F.array_join("inherits", ",").alias("inherits")),
+    "e4_calls": lambda s, d: E.calls(_python(s, d, "call")).select("path", "caller", "callee", "line", "arg_count"),
+    "e5_imports": lambda s, d: E.imports(_python(s, d, "import")).select("path", "module", F.array_join("items", ",").alias("items"), "line"),
+    "e6_j5_impl_methods": lambda s, d: E.impl_methods(_rust(s, d, "function", "class")).select("path", "class", "name", "line", "class_line"),
+    "e7_w2_references": lambda s, d: E.references(_python(s, d, "reference")).select("path", "symbol", "line"),
+    "e8_impl_traits": lambda s, d: E.impl_traits(_rust(s, d, "impl_trait")),
+    "e9_o8_def_use": lambda s, d: E.def_use(_python(s, d, "site"), "total").select("path", "kind", "line", "enclosing_scope"),
+    "e15_module_index": lambda s, d: E.module_index(_python(s, d, "function", "import")).select("path", F.array_join(F.transform("functions", lambda f: f["name"]), ",").alias("functions"), F.array_join(F.transform("imports", lambda f: f["module"]), ",").alias("imports")),
     "e16_j12_wildcards": _wildcards,
     "e18_x1_captures": _captures,
-    "a6_e1_counts": lambda s, d: E.counts(_rust(s, d)),
-    "a7_call_frequency": lambda s, d: E.call_frequency(_rust(s, d)),
+    "a6_e1_counts": lambda s, d: E.counts(_rust(s, d, "function", "class")),
+    "a7_call_frequency": lambda s, d: E.call_frequency(_rust(s, d, "call")),
 }
 
 _P = "'p' || p_partkey || '.py' AS path"

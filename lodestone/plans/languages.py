@@ -90,7 +90,7 @@ def _rows(language: str):
         code = F.element_at(F.array(*[F.lit(c) for c, _ in shapes]), (k % len(shapes) + 1).cast("int"))
         feeds = F.lit(0) if language == "astro" else F.col("p_size") % 4  # frontmatter starts a file
         src = table(s, d, "part").select(F.concat(F.lit("p"), k, F.lit(f".{ext}")).alias("path"), F.concat(F.repeat(F.lit("\n"), feeds.cast("int")), F.replace(code, F.lit("{k}"), k.cast("string"))).alias("content"))
-        return E.extract(src).filter("kind in ('function', 'class', 'import', 'error')").select("path", "kind", "name", "line").distinct()
+        return E.extract(src, "function", "class", "import").filter("kind in ('function', 'class', 'import', 'error')").select("path", "kind", "name", "line").distinct()
 
     return query
 

@@ -134,3 +134,18 @@ def test_report_lets_go_of_its_scan(spark):
     with telemetry.report(metric_events(spark, "/root/testdata/sf0.001")) as sections:
         assert sections and all(df.columns for df in sections.values())
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_kinds_asked_for_are_all_that_is_read(spark, monkeypatch):
+    from lodestone.plans.languages import SHAPES
+
+    sources = [(f"p{k}.{ext}", code) for ext, shapes in SHAPES.values() for k, (code, _) in enumerate(shapes)] + [("bad.py", "def (:"), ("none.rs", None)]
+    df = spark.createDataFrame(sources, "path string, content string")
+    every = [tuple(r) for r in E.extract(df).collect()]
+    for kinds in (("function", "class", "import"), ("site",), ("impl_trait", "call"), ("reference",)):
+        got = [tuple(r) for r in E.extract(df, *kinds).collect()]
+        assert sorted(map(repr, got)) == sorted(repr(r) for r in every if r[1] in (*kinds, "error")) and any(r[1] == "error" for r in got)
+    monkeypatch.setattr(E, "_NAME", None)
+    assert {r[0] for r in E.rows_of("fn f(a: B) { g(a) }", "rust", kinds=frozenset({"function"}))} == {"function"}
+    own = lambda s: [E.row("site", s, 1), E.row("class", s, 2)]
+    assert [r[0] for r in E.rows_of("x", "rust", {"rust": own}, frozenset({"class"}))] == ["class"]
