@@ -33,26 +33,43 @@ def row(kind: str, name: str, line: int, end: int | None = None, col: int = 0, o
 # ---------------------------------------------------------------- Python
 
 
+#: Kinds of rows that come from statements alone: no expression holds a function, class or import.
+STATEMENTS = frozenset(("function", "class", "import"))
+
+
 class _Python(ast.NodeVisitor):
-    def __init__(self, source: str) -> None:
+    """Rows of all kinds; with ``kinds``, of these only, and expressions are visited only if some of the kinds are found there."""
+
+    def __init__(self, kinds: frozenset[str] | None = None) -> None:
         self.rows: list[tuple] = []
         self.scope: list[tuple[str, str]] = []
-        self.source = source
+        self.kinds = kinds
+        self.shallow = kinds is not None and kinds <= STATEMENTS
+
+    def wants(self, kind: str) -> bool:
+        return self.kinds is None or kind in self.kinds
+
+    def generic_visit(self, node) -> None:
+        if not self.shallow:
+            return super().generic_visit(node)
+        for field in ("body", "handlers", "cases", "orelse", "finalbody"):
+            for x in v if isinstance(v := getattr(node, field, None), list) else ():
+                self.visit(x)
 
     def inside(self) -> str:
         return next((n for k, n in reversed(self.scope) if k == "f"), MODULE)
 
     def function(self, node) -> None:
         a = node.args
-        params = ast.unparse(a)
-        owner = self.scope[-1][1] if self.scope and self.scope[-1][0] == "c" else None
-        self.rows.append(row("function", node.name, node.lineno, node.end_lineno, node.col_offset, owner, params, ast.unparse(node.returns) if node.returns else None))
-        for note in [*(x.annotation for x in [*a.posonlyargs, *a.args, *a.kwonlyargs]), node.returns]:
+        if self.wants("function"):
+            owner = self.scope[-1][1] if self.scope and self.scope[-1][0] == "c" else None
+            self.rows.append(row("function", node.name, node.lineno, node.end_lineno, node.col_offset, owner, ast.unparse(a), ast.unparse(node.returns) if node.returns else None))
+        for note in [*(x.annotation for x in [*a.posonlyargs, *a.args, *a.kwonlyargs]), node.returns] if self.wants("reference") else ():
             self.types(note)
-        for d in node.decorator_list:
+        for d in () if self.shallow else node.decorator_list:
             self.visit(d)
         self.scope.append(("f", node.name))
-        for x in [*a.defaults, *[d for d in a.kw_defaults if d]]:
+        for x in () if self.shallow else [*a.defaults, *[d for d in a.kw_defaults if d]]:
             self.visit(x)
         for x in node.body:
             self.visit(x)
@@ -66,18 +83,19 @@ class _Python(ast.NodeVisitor):
                 self.rows.append(row("reference", x.id, x.lineno, col=x.col_offset, owner=self.inside()))
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        bases = [ast.unparse(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
-        fields = [t.id for x in node.body if isinstance(x, (ast.Assign, ast.AnnAssign)) for t in (x.targets if isinstance(x, ast.Assign) else [x.target]) if isinstance(t, ast.Name)]
-        self.rows.append(row("class", node.name, node.lineno, node.end_lineno, node.col_offset, None, ",".join(fields), None, bases))
+        if self.wants("class"):
+            bases = [ast.unparse(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
+            fields = [t.id for x in node.body if isinstance(x, (ast.Assign, ast.AnnAssign)) for t in (x.targets if isinstance(x, ast.Assign) else [x.target]) if isinstance(t, ast.Name)]
+            self.rows.append(row("class", node.name, node.lineno, node.end_lineno, node.col_offset, None, ",".join(fields), None, bases))
         self.scope.append(("c", node.name))
-        for x in [*node.decorator_list, *node.bases, *node.body]:
+        for x in node.body if self.shallow else [*node.decorator_list, *node.bases, *node.body]:
             self.visit(x)
         self.scope.pop()
 
     def visit_Call(self, node: ast.Call) -> None:
         f = node.func
         name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-        if name:
+        if name and self.wants("call"):
             self.rows.append(row("call", name, node.lineno, node.end_lineno, node.col_offset, self.inside(), n_args=len(node.args) + len(node.keywords)))
         self.generic_visit(node)
 
@@ -89,25 +107,31 @@ class _Python(ast.NodeVisitor):
         self.rows.append(row("import", "." * node.level + (node.module or ""), node.lineno, items=[a.name for a in node.names]))
 
     def visit_Name(self, node: ast.Name) -> None:
-        self.rows.append(row("site", node.id, node.lineno, col=node.col_offset, owner=self.inside(), access="read" if isinstance(node.ctx, ast.Load) else "write"))
+        if self.wants("site"):
+            self.rows.append(row("site", node.id, node.lineno, col=node.col_offset, owner=self.inside(), access="read" if isinstance(node.ctx, ast.Load) else "write"))
 
     def visit_AugAssign(self, node: ast.AugAssign) -> None:
         if isinstance(node.target, ast.Name):
             t = node.target
-            self.rows.append(row("site", t.id, t.lineno, col=t.col_offset, owner=self.inside(), access="write_read"))
-            self.visit(node.value)
+            if self.wants("site"):
+                self.rows.append(row("site", t.id, t.lineno, col=t.col_offset, owner=self.inside(), access="write_read"))
+            if not self.shallow:
+                self.visit(node.value)
         else:
             self.generic_visit(node)
 
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
-        self.types(node.annotation)
+        if self.shallow:
+            return
+        if self.wants("reference"):
+            self.types(node.annotation)
         self.visit(node.target)
         if node.value:
             self.visit(node.value)
 
 
-def python_rows(source: str) -> list[tuple]:
-    v = _Python(source)
+def python_rows(source: str, kinds: frozenset[str] | None = None) -> list[tuple]:
+    v = _Python(kinds)
     v.visit(ast.parse(source))
     return v.rows
 
@@ -140,6 +164,9 @@ LANGUAGES: dict[str, dict[str, str]] = {
 LANGUAGES["c"] = LANGUAGES["cpp"]
 LANGUAGES["javascript"] = LANGUAGES["tsx"] = LANGUAGES["typescript"]
 _COMPILED = {k: {n: re.compile(p, re.M) for n, p in v.items()} for k, v in LANGUAGES.items()}
+#: Groups of each pattern by what they hold: those of its alternatives are numbered.
+_GROUPS: dict[re.Pattern, dict[str, list[str]]] = {p: {n: [g for g in p.groupindex if g.rstrip("0123456789") == n] for n in ("name", "params", "ret", "bases")} for v in _COMPILED.values() for p in v.values()}
+_BRACES = re.compile(r"[{};]")
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n]){1,2}'", re.S)
 _CALL = re.compile(rf"(?:(?P<scope>(?:{_ID}\s*(?:::|\.|->)\s*)+))?(?P<name>{_ID})\s*(?:::<[^>]*>)?!?\(")
 _IMPL = re.compile(rf"\bimpl\s*(?:<[^{{]*?>\s*)?(?:(?P<trait>[\w:]+)(?:<[^{{]*?>)?\s+for\s+)?(?P<type>{_ID})(?:<[^{{]*>)?\s*(?:where[^{{]*)?\{{")
@@ -153,13 +180,13 @@ _SCRIPT_NOISE = re.compile(_NOISE.pattern.removesuffix("{1,2}'") + "*'", re.S)
 
 def blanked(source: str, imports: bool = False, script: bool = False) -> str:
     """The text without comments and strings, every character in place."""
-    return (_SCRIPT_NOISE if script else _NOISE).sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if not imports or m[0][:2] in ("//", "/*") else m[0], source)
+    return (_SCRIPT_NOISE if script else _NOISE).sub(lambda m: m[0] if imports and m[0][:2] not in ("//", "/*") else re.sub(r"[^\n]", " ", m[0]) if "\n" in m[0] else " " * len(m[0]), source)
 
 
 def _close(text: str, at: int) -> int:
     """Where the brace closes that opens at or after ``at``; the line's end if a semicolon comes first."""
     depth = 0
-    for m in re.compile(r"[{};]").finditer(text, at):
+    for m in _BRACES.finditer(text, at):
         c = m[0]
         if c == "{":
             depth += 1
@@ -173,8 +200,9 @@ def _close(text: str, at: int) -> int:
 
 
 def brace_rows(source: str, language: str, kinds: frozenset[str] | None = None) -> list[tuple]:
-    """Rows of all kinds; with ``kinds``, calls, imports, references and sites are looked for only if they are named there."""
-    found_too = lambda kind, matches: matches() if kinds is None or kind in kinds else ()
+    """Rows of all kinds; with ``kinds``, of these only, and nothing is looked for that none of them needs."""
+    wants = lambda *some: kinds is None or not kinds.isdisjoint(some)
+    found_too = lambda kind, matches: matches() if wants(kind) else ()
     script = language in ("typescript", "tsx", "javascript")
     rules, text = _COMPILED[language], blanked(source, script=script)
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
@@ -182,33 +210,39 @@ def brace_rows(source: str, language: str, kinds: frozenset[str] | None = None)
 
     line = lambda at: bisect.bisect_right(starts, at)
     col = lambda at: at - starts[line(at) - 1]
-    pick = lambda m, n: next((v for k, v in m.groupdict().items() if v is not None and k.rstrip("0123456789") == n), None)
+    pick = lambda m, n: next((v for g in _GROUPS[m.re][n] if (v := m[g]) is not None), None)
     rows, spans, classes = [], [], []
-    for m in rules["class"].finditer(text):
+    # A function's owner is a class or impl block, the place of a call, reference or site a function.
+    for m in rules["class"].finditer(text) if wants("class", "function") else ():
         end = _close(text, m.end())
+        classes.append((m["name"], m.start(), end))
+        if not wants("class"):
+            continue
         bases = (pick(m, "bases") or "").strip()
         if language in ("typescript", "tsx", "javascript", "java"):
             found = [f"{k} {b.strip()}" for k, names in re.findall(r"\b(extends|implements)\s+((?:[\w.<>]+\s*,?\s*)+?)(?=\b(?:extends|implements)\b|$)", bases) for b in names.split(",") if b.strip()]
         else:
             found = [re.sub(r"\b(public|private|protected|virtual)\b|\(.*", "", b).strip() for b in bases.partition(":")[2].split(",") if b.strip()]
-        classes.append((m["name"], m.start(), end))
         rows.append(row("class", m["name"], line(m.start("name")), line(end), col(m.start("name")), items=found))
     impls = []
-    if language == "rust":
+    if language == "rust" and wants("impl_trait", "function"):
         for m in _IMPL.finditer(text):
             end = _close(text, m.end() - 1)
             impls.append((m["type"], m.start(), end))
             if m["trait"] and "::" not in m["trait"]:
                 rows.append(row("impl_trait", m["trait"], line(m.start()), line(end), owner=m["type"]))
-    for m in rules["function"].finditer(text):
+    owners = sorted([*impls, *classes], key=lambda x: -x[1])
+    for m in rules["function"].finditer(text) if wants("function", "call", "reference", "site") else ():
         name = pick(m, "name")
         if name in KEYWORDS or (pick(m, "ret") or "").strip() in KEYWORDS | {"new"}:
             continue
-        at = next(m.start(k) for k in m.groupdict() if k.startswith("name") and m[k] is not None)
+        at = next(m.start(k) for k in _GROUPS[m.re]["name"] if m[k] is not None)
         end = _close(text, m.end())
-        owner = next((n for n, s, e in sorted([*impls, *classes], key=lambda x: -x[1]) if s < at <= e), None)
         bare = name.rsplit("::", 1)[-1]
         spans.append((at, end, bare))
+        if not wants("function"):
+            continue
+        owner = next((n for n, s, e in owners if s < at <= e), None)
         rows.append(row("function", bare, line(at), line(end), col(at), owner, (pick(m, "params") or "").strip(), (pick(m, "ret") or "").strip() or None))
     inside = lambda at: max(((s, n) for s, e, n in spans if s < at <= e), default=(0, MODULE))[1]
     named = {s for s, _, _ in spans}
@@ -322,9 +356,9 @@ def keys_rows(source: str, language: str) -> list[tuple]:
 READERS = {"python": python_rows, "fortran": fortran_rows, "markdown": markdown_rows, "html": html_rows} | {k: (lambda s, k=k: brace_rows(s, k)) for k in LANGUAGES} | {k: (lambda s, k=k: keys_rows(s, k)) for k in ("css", "yaml", "json", "toml")}
 
 
-def astro_rows(source: str) -> list[tuple]:
+def astro_rows(source: str, kinds: frozenset[str] | None = None) -> list[tuple]:
     m = re.match(r"---[ \t]*\n(.*?)^---[ \t]*$", source, re.S | re.M)
-    return [(r[0], r[1], r[2] + 1, r[3] + 1, *r[4:]) for r in brace_rows(m[1], "typescript")] if m else []
+    return [(r[0], r[1], r[2] + 1, r[3] + 1, *r[4:]) for r in brace_rows(m[1], "typescript", kinds)] if m else []
 
 
 READERS["astro"] = astro_rows
@@ -348,18 +382,23 @@ def rows_of(source: str, language: str, readers: dict | None = None, kinds: froz
 
 
 _BUILT_IN = dict(READERS)
+#: Readers that look for some kinds only.
+_SELECTIVE = {"python": python_rows, "astro": astro_rows} | {k: (lambda s, kinds, k=k: brace_rows(s, k, kinds)) for k in LANGUAGES}
 
 
 def readers_of(kinds: frozenset[str] | None) -> dict[str, Callable[[str], list[tuple]]]:
-    """What reads each language, those with braces looking for ``kinds`` only (all: None)."""
-    return dict(READERS) if kinds is None else READERS | {k: (lambda s, k=k: brace_rows(s, k, kinds)) for k in LANGUAGES if READERS[k] is _BUILT_IN[k]}
+    """What reads each language, those of ``_SELECTIVE`` looking for ``kinds`` only (all: None)."""
+    return dict(READERS) if kinds is None else READERS | {k: (lambda s, read=read: read(s, kinds)) for k, read in _SELECTIVE.items() if READERS[k] is _BUILT_IN[k]}
 
 
 # ---------------------------------------------------------------- tables
 
 
-def extract(sources: DataFrame, *kinds: str) -> DataFrame:
-    """Rows of all kinds, or of ``kinds`` and errors, for (path, content), the language from the path or a column ``language``."""
+def extract(sources: DataFrame, *kinds: str, spread: bool = True) -> DataFrame:
+    """Rows of all kinds, or of ``kinds`` and errors, for (path, content), the language from the path or a column ``language``.
+
+    With ``spread`` false, ``sources`` are read in the tasks they come in.
+    """
     s = sources if "language" in sources.columns else sources.withColumn("language", language_label(F.col("path")))
 
     wanted = frozenset(kinds) or None
@@ -376,7 +415,8 @@ def extract(sources: DataFrame, *kinds: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[] for _ in FIELDS]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True))], ["path", *FIELDS])
 
-    return spread_rows(s.select("path", "language", "content"), "path").mapInArrow(run, f"path string, {ROW}")
+    s = s.select("path", "language", "content")
+    return (spread_rows(s, "path") if spread else s).mapInArrow(run, f"path string, {ROW}")
 
 
 def functions(x: DataFrame) -> DataFrame:

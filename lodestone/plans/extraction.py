@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as E
-from lodestone.session import table
+from lodestone.session import spread_rows, table
 
 _PY = """'import os' || chr(10) || 'from m' || p_size || ' import a, b' || chr(10) || chr(10) || 'def f' || p_partkey || '(x, y: int) -> T' || p_size || ':' || chr(10) || '    total = g' || p_size || '(x, y)' || chr(10) || '    total += 1' || chr(10) || '    return total' || chr(10) || chr(10) || 'class C' || p_partkey || '(Base, m.Other):' || chr(10) || '    def run(self):' || chr(10) || '        return f' || p_partkey || '(1, 2)'"""
 _RS = """'use std::io;' || chr(10) || 'struct S' || p_partkey || ' { x: i32 }' || chr(10) || 'impl Show for S' || p_partkey || ' {' || chr(10) || '    fn show(&self) -> i32 { help(self.x, ' || p_size || ') }' || chr(10) || '}' || chr(10) || 'fn help(a: i32, b: i32) -> i32 { a + b }'"""
 
 
+def parts(s, d):
+    """Keys and sizes over all tasks, so that sources, which are many times as large, are made where they are read."""
+    return spread_rows(table(s, d, "part").select("p_partkey", "p_size"), "p_partkey")
+
+
 def _python(s, d, *kinds):
-    return E.extract(table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), F.expr(_PY).alias("content")), *kinds)
+    return E.extract(parts(s, d).select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), F.expr(_PY).alias("content")), *kinds, spread=False)
 
 
 def _rust(s, d, *kinds):
-    return E.extract(table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".rs")).alias("path"), F.expr(_RS).alias("content")), *kinds)
+    return E.extract(parts(s, d).select(F.concat(F.lit("p"), "p_partkey", F.lit(".rs")).alias("path"), F.expr(_RS).alias("content")), *kinds, spread=False)
 
 
 def _captures(s, d):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
 from lodestone.operators import extract, sessions, sites, tokens, trees
-from lodestone.plans import relational
+from lodestone.plans import languages, registry, relational
 
 
 def test_rank_test_of_millions(spark):
@@ -59,3 +59,22 @@ def test_rows_made_by_python_are_not_sent_to_the_driver(spark, tmp_path):
     for df, n in ((tokens.functions(go), 50), (tokens.calls(go), 50), (tokens.references(go), 50), (sites.sites(go, ["x"]), 150), (trees.captures(py, "(function_definition name: (identifier) @f body: (block (return_statement (call function: (identifier) @g))))"), 100)):
         assert "BroadcastExchange" not in plan_of(df)
         assert df.count() == n
+
+
+def test_only_what_the_kinds_need_is_visited():
+    deep = "import os\nx = " + "1 + " * 700 + "1\nclass A(B):\n    def f(self, y=(lambda: 0)): return g(y)\n"
+    assert [r[0] for r in extract.rows_of(deep, "python")] == ["error"]
+    for kind, name in (("import", "os"), ("class", "A"), ("function", "f")):
+        assert [r[:2] for r in extract.rows_of(deep, "python", kinds=frozenset((kind,)))] == [(kind, name)]
+    nested = "try:\n    import a\nexcept E:\n    def f(): pass\nelse:\n    class C: pass\nfinally:\n    import b\nmatch x:\n    case 1:\n        import c\nfor i in g(i):\n    y: T = h(i)\nelse:\n    y += k(y)\n"
+    rust = "impl T for S { fn f(&self) -> X { g(1) } }\nstruct S;\nuse a::b;\n"
+    for text, language in ((nested, "python"), (rust, "rust"), *((c.replace("{k}", "7"), k) for k, (_, shapes) in languages.SHAPES.items() for c, _ in shapes)):
+        every = extract.rows_of(text, language)
+        for kinds in ({"impl_trait"}, {"import"}, {"class"}, {"function"}, {"reference"}, {"call"}, {"site"}, {"function", "class", "import"}):
+            assert extract.rows_of(text, language, kinds=frozenset(kinds)) == [r for r in every if r[0] in kinds], (language, kinds)
+
+
+def test_sources_are_made_after_the_shuffle(spark):
+    for name in ("e8_impl_traits", "e5_imports", "e1_e3_go"):
+        plan = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert "hashpartitioning(p_partkey" in plan and plan.count("MapInArrow") == 1 and "hashpartitioning(path#" not in plan.split("MapInArrow")[-1], plan
