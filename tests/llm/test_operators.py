@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import ball_tree, common, decontaminate, hilbert, lang_id, mixing, ngram_join, secret_scan, units, wrappers
+from lodestone.llm import ball_tree, common, decontaminate, hilbert, lang_id, mixing, ngram_join, passages, secret_scan, units, wrappers
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, key string, row int, rank int, c0 int, t string, hits int, component_id int, lang_pred string"
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -393,6 +393,45 @@ def test_units_of_long_and_repeated_rows(spark):
     assert time.time() - begun < 90
 
 
+def test_passages_cut_out_of_sentences(spark):
+    a, b, c = prose(11, 70), prose(12, 30), prose(13, 40)
+    words = a.split()
+    broken = "\n".join(" ".join(words[k : k + 9]).upper() for k in range(5, 65, 9))
+    texts = [f"{b} {a} {c}. All rights\nreserved.", f"{c} {broken} {b}", "All rights\nreserved.", f"{prose(14, 9)} {' '.join(words[:49])} end", None, "", f"{a}\nand {a}\u3002", "w " * 200]
+    docs = documents(spark, texts)
+    assert not units.repeated_units(docs, 6).filter("doc_id = 1").count() and units.repeated_units(docs).filter("doc_id = 2").count() == 2
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.first_word, r.n_words) for r in passages.repeated_passages(docs).collect()}
+    cut = [" ".join(words[5:65][k : k + 9]).upper() for k in range(0, 60, 9)]
+    assert got == {(1, "\n".join([*cut[:-1], " ".join(words[59:68]).upper()]), 40, 63), (6, a, 0, 70), (6, " ".join(words[:69]), 71, 69), (7, ("w " * 150).strip(), 50, 150)}
+    kept = {r.doc_id: r.text for r in units.without(docs, passages.repeated_passages(docs)).collect()}
+    assert kept[0] == texts[0] and kept[1] == f"{c}  {b}" and kept[2] == texts[2] and kept[3] == texts[3] and kept[4] is None and len(kept) == 8
+    assert passages.repeated_passages(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 20])
+def test_passages_by_brute_force(spark, size):
+    r = random.Random(size)
+    pool = [[r.choice("abc\u00c4") for _ in range(r.randint(1, 40))] for _ in range(8)]
+    texts = ["".join(w + r.choice([" ", "\n", "\t "]) for _ in range(r.randint(0, 4)) for w in (r.choice(pool) if r.random() < 0.7 else [r.choice("defgh") + str(r.randint(0, 9)) for _ in range(9)])) for _ in range(60)]
+    docs = documents(spark, [*texts, None]).withColumn("doc_id", F.when(F.col("doc_id") % 10 == 3, F.lit(None)).when(F.col("doc_id") % 10 == 4, F.col("doc_id") - 1).otherwise(F.col("doc_id")))
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0"))
+    first, seen = {}, {}
+    for none, doc, tie, text in sorted({(x.doc_id is None, x.doc_id or 0, x.tie, x.text or "") for x in docs.select("doc_id", units._tie("text"), "text").collect()}):
+        words, gone = text.lower().split(), set()
+        for k in range(len(words) - size + 1):
+            place = first.setdefault(tuple(words[k : k + size]), (doc if not none else None, tie, k))
+            if place[:2] != (doc if not none else None, tie) or k - place[2] >= size:
+                gone |= set(range(k, k + size))
+        if gone:
+            seen[None if none else doc, tie] = gone
+    got = collections.defaultdict(set)
+    for x in passages.repeated_passages(docs, size).collect():
+        run = set(range(x.first_word, x.first_word + x.n_words))
+        assert not got[x.doc_id, x.tie] & run
+        got[x.doc_id, x.tie] |= run
+    assert seen and got == seen
+
+
 def test_windows(spark):
     lines = [prose(i, 5) for i in range(20)]
     texts = ["\n".join(lines[:8]), "\n".join(["x", *lines[2:7], "y"]), "\n".join(lines[4:6]), None, "\n\n\n\n", "\n\n\n\n", "\n".join(lines[:3] + ["q"] + lines[:3])]
