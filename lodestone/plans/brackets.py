@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import tokens as K
-from lodestone.session import table
+from lodestone.session import spread_rows, table
 
 # Each language: source, and its calls (caller, callee, line, arguments) and functions with a body (name, line, end line).
 SHAPES: dict[str, tuple[str, list[tuple[str, str, int, int]], list[tuple[str, int, int]]]] = {
@@ -59,7 +59,8 @@ def _sources(s, d):
         ext = F.when(F.col("p_partkey") % len(SHAPES) == n, F.lit(kind)).otherwise(ext)
     key = F.col("p_partkey").cast("string")
     content = F.concat(F.repeat(F.lit("\n"), F.col("p_size") % 4), F.replace(own, F.lit("{k}"), key))
-    return table(s, d, "part").select(F.concat(F.lit("b"), "p_partkey", F.lit("."), ext).alias("path"), content.alias("content"))
+    parts = spread_rows(table(s, d, "part").select("p_partkey", "p_size"), "p_partkey")  # keys are shuffled, the sources are made behind that
+    return parts.select(F.concat(F.lit("b"), "p_partkey", F.lit("."), ext).alias("path"), content.alias("content"))
 
 
 def _values(rows) -> str:
@@ -71,8 +72,8 @@ _FUNCTIONS = _values((n, *f) for n, (_, _, functions) in enumerate(SHAPES.values
 _EXT = "CASE p_partkey % 7 " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(SHAPES)) + " END"
 
 QUERIES = {
-    "e4_bracket_calls": lambda s, d: K.calls(_sources(s, d)).select("path", "caller", "callee", "line", "arg_count"),
-    "e3_bracket_functions": lambda s, d: K.functions(_sources(s, d)),
+    "e4_bracket_calls": lambda s, d: K.calls(_sources(s, d), spread=False).select("path", "caller", "callee", "line", "arg_count"),
+    "e3_bracket_functions": lambda s, d: K.functions(_sources(s, d), spread=False),
 }
 
 ORACLES = {

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import sites as S
-from lodestone.session import table
+from lodestone.session import spread_rows, table
 
 SYMBOL = "x"
 # Each language: source, and the sites of the symbol (kind, line, column, enclosing function, line of the declaration or 0).
@@ -46,10 +46,17 @@ SHAPES: dict[str, tuple[str, list[tuple[str, int, int, str, int]]]] = {
 }
 
 
-def _sources(s, d):
-    pick = lambda at: F.element_at(F.array(*[F.lit(v) for v in at]), (F.col("p_partkey") % len(SHAPES) + 1).cast("int"))
-    content = F.concat(F.repeat(F.lit("\n"), F.col("p_size") % 4), pick([v for v, _ in SHAPES.values()]))
-    return table(s, d, "part").select(F.concat(F.lit("u"), "p_partkey", F.lit("."), pick(SHAPES)).alias("path"), content.alias("content"))
+def _pick(at):
+    return F.element_at(F.array(*[F.lit(v) for v in at]), (F.col("p_partkey") % len(SHAPES) + 1).cast("int"))
+
+
+def _parts(s, d):
+    return table(s, d, "part").select(F.concat(F.lit("u"), "p_partkey", F.lit("."), _pick(SHAPES)).alias("path"), "p_partkey", "p_size")
+
+
+def _sources(parts):
+    """Keys are shuffled, the sources are made behind that."""
+    return parts.select("path", F.concat(F.repeat(F.lit("\n"), F.col("p_size") % 4), _pick([v for v, _ in SHAPES.values()])).alias("content"))
 
 
 _SITES = ", ".join(f"({n}, '{k}', {line}, {col}, '{scope}', {own})" for n, (_, rows) in enumerate(SHAPES.values()) for k, line, col, scope, own in rows)
@@ -57,8 +64,8 @@ _EXT = "['" + "', '".join(SHAPES) + "']"
 _FROM = f"FROM (SELECT 'u' || p_partkey || '.' || {_EXT}[p_partkey % {len(SHAPES)} + 1] AS path, kind, CAST(line + p_size % 4 AS INTEGER) AS line, CAST(col AS INTEGER) AS col, scope, CAST(CASE WHEN own > 0 THEN own + p_size % 4 END AS INTEGER) AS own FROM part JOIN (VALUES {_SITES}) v(shape, kind, line, col, scope, own) ON shape = p_partkey % {len(SHAPES)})"
 
 QUERIES = {
-    "e9_bound_sites": lambda s, d: S.sites(_sources(s, d), [SYMBOL]),
-    "p16_j11_def_use": lambda s, d: S.def_use(_sources(s, d), SYMBOL).select("ord", "path", "kind", "line", "column"),
+    "e9_bound_sites": lambda s, d: S.sites(_sources(spread_rows(_parts(s, d), "p_partkey")), [SYMBOL], spread=False),
+    "p16_j11_def_use": lambda s, d: S.def_use(_sources(S.by_path(_parts(s, d))), SYMBOL, ranged=True).select("ord", "path", "kind", "line", "column"),
 }
 
 ORACLES = {

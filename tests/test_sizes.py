@@ -78,3 +78,14 @@ def test_sources_are_made_after_the_shuffle(spark):
     for name in ("e8_impl_traits", "e5_imports", "e1_e3_go"):
         plan = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001"))
         assert "hashpartitioning(p_partkey" in plan and plan.count("MapInArrow") == 1 and "hashpartitioning(path#" not in plan.split("MapInArrow")[-1], plan
+
+
+def exchanges(df):
+    return plan_of(df).count("Exchange ")
+
+
+def test_functions_of_brackets_leave_no_tokens_on_disk(spark):
+    df = registry.queries()["e3_bracket_functions"](spark, "/root/testdata/sf0.001")
+    assert exchanges(df) == 1 and "hashpartitioning(p_partkey" in plan_of(df) and plan_of(df).count("MapInArrow") == 1 and "ExistingRDD" not in plan_of(df)
+    odd = [("a.go", "func (x T"), ("b.go", "func f() { return func ("), ("c.java", "class A { void m() { n(List<A> (")]
+    assert [tuple(r) for r in tokens.functions(spark.createDataFrame(odd, "path string, content string")).orderBy("path").collect()] == [("b.go", "f", 1, 1), ("c.java", "m", 1, 1)]
