@@ -89,3 +89,11 @@ def test_functions_of_brackets_leave_no_tokens_on_disk(spark):
     assert exchanges(df) == 1 and "hashpartitioning(p_partkey" in plan_of(df) and plan_of(df).count("MapInArrow") == 1 and "ExistingRDD" not in plan_of(df)
     odd = [("a.go", "func (x T"), ("b.go", "func f() { return func ("), ("c.java", "class A { void m() { n(List<A> (")]
     assert [tuple(r) for r in tokens.functions(spark.createDataFrame(odd, "path string, content string")).orderBy("path").collect()] == [("b.go", "f", 1, 1), ("c.java", "m", 1, 1)]
+
+
+def test_calls_in_brackets_leave_no_tokens_on_disk(spark):
+    df = registry.queries()["e4_bracket_calls"](spark, "/root/testdata/sf0.001")
+    assert exchanges(df) == 1 and "hashpartitioning(p_partkey" in plan_of(df) and plan_of(df).count("MapInArrow") == 1 and "ExistingRDD" not in plan_of(df)
+    # Functions that end together: what follows is in neither.
+    row = ("a.c", "int f(int a)\nint g(int b) { h(a); }\nint k = m(1);\n")
+    assert {(r.caller, r.callee) for r in tokens.calls(spark.createDataFrame([row], "path string, content string")).collect()} == {("g", "h"), ("<module>", "m")}
