@@ -97,3 +97,11 @@ def test_calls_in_brackets_leave_no_tokens_on_disk(spark):
     # Functions that end together: what follows is in neither.
     row = ("a.c", "int f(int a)\nint g(int b) { h(a); }\nint k = m(1);\n")
     assert {(r.caller, r.callee) for r in tokens.calls(spark.createDataFrame([row], "path string, content string")).collect()} == {("g", "h"), ("<module>", "m")}
+
+
+def test_bound_sites_leave_no_tokens_on_disk(spark):
+    df = registry.queries()["e9_bound_sites"](spark, "/root/testdata/sf0.001")
+    assert exchanges(df) == 1 and "hashpartitioning(p_partkey" in plan_of(df) and plan_of(df).count("MapInArrow") == 1 and "ExistingRDD" not in plan_of(df)
+    # An unclosed bar of Rust and unclosed parameters.
+    odd = [("a.rs", "fn f() { let g = |x"), ("b.ts", "function f(x")]
+    assert {(r.path, r.kind, r.declared_line) for r in sites.sites(spark.createDataFrame(odd, "path string, content string"), ["x"]).collect()} == {("a.rs", "read", 1), ("b.ts", "read", None)}
