@@ -1,10 +1,13 @@
 """What goes wrong only on larger tables, on the smallest rows that show it."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
 from lodestone.operators import extract, sessions, sites, tokens, trees
 from lodestone.plans import languages, registry, relational
+from lodestone.session import shared_folder
 
 
 def test_rank_test_of_millions(spark):
@@ -105,3 +108,19 @@ def test_bound_sites_leave_no_tokens_on_disk(spark):
     # An unclosed bar of Rust and unclosed parameters.
     odd = [("a.rs", "fn f() { let g = |x"), ("b.ts", "function f(x")]
     assert {(r.path, r.kind, r.declared_line) for r in sites.sites(spark.createDataFrame(odd, "path string, content string"), ["x"]).collect()} == {("a.rs", "read", 1), ("b.ts", "read", None)}
+
+
+def test_def_use_holds_a_packed_row_a_file(spark):
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    files = spark.range(2_000).select(F.concat(F.lit("a"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(".go")).alias("path"), F.lit("package p\nfunc f(x int) {\n" + "\tx = g(x)\n" * 20 + "}\n").alias("content"))
+    before = held()
+    found = sites.def_use(files, "x")
+    assert held() - before < 2_000 * 400  # 41 sites a file
+    got = [(r.ord, r.path, r.kind, r.line, r.column) for r in found.collect()]
+    order = [(k, f"a{p:04d}.go", line, col) for k, places in (("write", [(line, 1) for line in range(3, 23)]), ("read", [(2, 7), *((line, 7) for line in range(3, 23))])) for p in range(2_000) for line, col in places]
+    assert sorted(got) == [(n, p, k, line, col) for n, (k, p, line, col) in enumerate(order, 1)]
+    # A path that comes twice is one file to the order, files without the name have no place in it.
+    twice = spark.createDataFrame([("b.c", "int x = 1;\nint y = x;\n"), ("b.c", "\nint x = 2;\n"), ("a.c", "int y;"), ("c.c", None)], "path string, content string")
+    assert [(r.ord, r.path, r.kind, r.line) for r in sites.def_use(twice, "x").orderBy("ord").collect()] == [(1, "b.c", "write", 1), (2, "b.c", "write", 2), (3, "b.c", "read", 2)]
+    assert sites.def_use(twice, "z").count() == 0
