@@ -147,19 +147,6 @@ def _set_keys(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def _merge(src: np.ndarray, dst: np.ndarray, m: int) -> np.ndarray:
-    """Smallest row of the component of each of m rows."""
-    root = np.arange(m)
-    while len(src):
-        a, b = root[src], root[dst]
-        if (a == b).all():
-            break
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root != root[root]).any():
-            root = root[root]
-    return root
-
-
 def overlaps(h: np.ndarray, counts: np.ndarray, left: np.ndarray, t: Threshold, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Links (row of ``left``, row): incidence times its transpose, in slices of columns, for pairs that can still reach their bound."""
     m = len(counts)
@@ -192,7 +179,7 @@ def _forest(table: pa.Table, left: np.ndarray | None, t: Threshold) -> tuple[np.
     ids, counts = table.column("rep").to_numpy(), table.column("n").to_numpy().astype(np.int64)
     left = np.arange(len(ids)) if left is None else left
     a, b = overlaps(np.frombuffer(b"".join(table.column("h").to_pylist()), U), counts, left, t)
-    root = _merge(left[a], b, len(ids))
+    root = common.merged(left[a], b, len(ids))
     moved = np.flatnonzero(root != np.arange(len(ids)))
     if table.nbytes > 1 << 20:
         common.release()

@@ -109,3 +109,15 @@ def test_ids_above_the_limit_are_shuffled(spark, monkeypatch):
     assert [(r.doc_id, r.component_id) for r in found.orderBy("doc_id").collect()] == [(k, k - k % 2 if k < 12 else k) for k in range(33)]
     assert read and max(read) == 12
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == kept
+
+
+def test_few_edges_take_no_rounds(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 300) if k % 50] + [(900, 7), (7, 900), (5, 5), (-3, 901)], "src long, dst long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    found = sorted(map(tuple, common.components(edges).collect()))
+    jobs = len(tracker.getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    assert found == sorted(map(tuple, common.components(edges, few=0).collect())) and (900, 1) in found and (901, -3) in found
+    assert jobs < 10 < len(tracker.getJobIdsForGroup("rounds"))
+    assert common.components(edges.filter("src = dst")).count() == 0
